@@ -32,19 +32,24 @@ def running(
     order: list[str],
     specs: list[Running],
     inclusive: bool = False,
+    derived: bool = False,
 ) -> DataFrame:
     """Add one column per spec: the aggregate over all earlier rows of the key
     (and the current row when ``inclusive``), in (block, order) order.
 
     Sums default to 0 and the others to NULL when there is no earlier row.
+    Set ``derived`` when ``df`` is the result of earlier shuffles rather than a
+    scan: see ``shuffled_once``.
     """
     part = keys + [block]
+    if derived:
+        df = _spread(df, part)
     local = Window.partitionBy(*part).orderBy(*order).rowsBetween(
         Window.unboundedPreceding, 0 if inclusive else -1
     )
     before = Window.partitionBy(*keys).orderBy(block).rowsBetween(Window.unboundedPreceding, -1)
 
-    totals = df.groupBy(*part).agg(*[_total(s, order).alias(f"__t_{s.name}") for s in specs])
+    totals = shuffled_once(df, part, [_total(s, order).alias(f"__t_{s.name}") for s in specs], derived)
     carry = totals.select(
         *part, *[_over(s.op, F.col(f"__t_{s.name}"), before).alias(f"__c_{s.name}") for s in specs]
     )
@@ -53,15 +58,43 @@ def running(
     return out.select(*kept, *[_merge(s).alias(s.name) for s in specs])
 
 
+def shuffled_once(df: DataFrame, part: list[str], totals: list[Column], derived: bool = True) -> DataFrame:
+    """Per-group totals over a frame that the caller also uses row by row.
+
+    Both uses read the same exchange only while they need the same columns; column
+    pruning would otherwise give the totals their own, second run of everything
+    below. Touching every column with one cheap hash keeps the plans equal, so the
+    exchange is reused.
+    """
+    if not derived:
+        return df.groupBy(*part).agg(*totals)
+    rest = [c for c in df.columns if c not in part]
+    touch = F.bit_xor(F.xxhash64(*rest)).alias("__touch")
+    return df.groupBy(*part).agg(*totals, touch).where(F.col("__touch").isNotNull()).drop("__touch")
+
+
+def _spread(df: DataFrame, part: list[str]) -> DataFrame:
+    # The null test is what a join on these columns would add to one side only.
+    return not_null(df, part).repartition(*part)
+
+
+def not_null(df: DataFrame, names: list[str]) -> DataFrame:
+    for n in names:
+        df = df.where(F.col(n).isNotNull())
+    return df
+
+
 def row_numbers(
-    df: DataFrame, keys: list[str], block: str, order: list[Column | str], name: str = "rn"
+    df: DataFrame, keys: list[str], block: str, order: list[Column | str], name: str = "rn", derived: bool = False
 ) -> DataFrame:
     """Exact 1-based numbering per key in (block, order) order."""
     part = keys + [block]
+    if derived:
+        df = _spread(df, part)
     local = Window.partitionBy(*part).orderBy(*order)
     before = Window.partitionBy(*keys).orderBy(block).rowsBetween(Window.unboundedPreceding, -1)
     offsets = (
-        df.groupBy(*part).agg(F.count(F.lit(1)).alias("__n"))
+        shuffled_once(df, part, [F.count(F.lit(1)).alias("__n")], derived)
         .select(*part, F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__off"))
     )
     return (

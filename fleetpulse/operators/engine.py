@@ -107,7 +107,7 @@ def number_matches(matched: DataFrame, stream: DataFrame) -> DataFrame:
         "feed_id", "rule_idx", "sensor", "reading", "pos", "x", "sig",
         (F.col("__t") + F.col("__ot")).alias("tick"),
         (F.col("__s") + F.col("__os")).alias("sample"),
-        F.struct("unit", "ts", "raw_timestamp").alias("row"),
+        "unit", "ts", "raw_timestamp",
     )
 
 
@@ -119,11 +119,12 @@ def _chunked(numbered: DataFrame, rules: list[Rule], chunk: int) -> DataFrame:
     idx = F.when(kind == "source-unavailable", F.col("tick")).otherwise(F.col("sample"))
     home = F.floor(F.col("idx") / chunk).cast("long")
     at_end = F.col("idx") >= (home + 1) * chunk - back
-    return (
+    placed = (
         numbered.withColumn("idx", idx)
         .withColumn("chunk", F.explode(F.when(at_end, F.array(home, home + 1)).otherwise(F.array(home))))
         .withColumn("halo", F.col("chunk") != home)
     )
+    return blocked.not_null(placed, [*SERIES, "chunk"])
 
 
 def _judged(chunked: DataFrame, rules: list[Rule]) -> DataFrame:
@@ -135,7 +136,7 @@ def _judged(chunked: DataFrame, rules: list[Rule]) -> DataFrame:
 
     kind = _by_rule(rules, lambda r: r.kind, "string")
     widths = sorted({r.lookback for r in rules if r.kind == "rate"})
-    looked = first.withColumn("prev_idx", F.lag("idx").over(w)).withColumn("prev_row", F.lag("row").over(w))
+    looked = first.withColumn("prev_idx", F.lag("idx").over(w)).withColumn("prev_unit", F.lag("unit").over(w))
     if any(r.kind == "stale" for r in rules):
         looked = looked.withColumn("__sig", F.lag("sig").over(w))
     for n in widths:
@@ -169,7 +170,8 @@ def _judged(chunked: DataFrame, rules: list[Rule]) -> DataFrame:
     broken = counted.withColumn(
         "base", F.max(F.when(F.col("v") != 1, F.col("cum")).when(F.col("start"), F.col("cum") - 1)).over(upto))
     return broken.select(
-        *SERIES, "chunk", "idx", "pos", "tick", "prev_idx", F.col("prev_row.unit").alias("prev_unit"), "row", "cmp", "v", "cum", "last_clear",
+        *SERIES, "chunk", "idx", "pos", "tick", "prev_idx", "prev_unit",
+        "unit", "ts", "raw_timestamp", "cmp", "v", "cum", "last_clear",
         F.col("base").isNull().alias("leading"),
         (F.col("cum") - F.coalesce("base", F.lit(0))).alias("run"),
     )
@@ -179,7 +181,7 @@ def _summaries(judged: DataFrame, rules: list[Rule]) -> DataFrame:
     """One row per (series, chunk)."""
     need = _by_rule(rules, lambda r: r.for_samples, "long")
     fires = (F.col("v") == 1) & ~F.col("leading") & (F.col("run") == need)
-    return judged.groupBy(*SERIES, "chunk").agg(
+    return blocked.shuffled_once(judged, [*SERIES, "chunk"], [
         F.count_if(F.col("v") == 1).alias("n_v"),
         F.count_if("leading").alias("lead"),
         F.bool_and("leading").alias("whole"),
@@ -189,8 +191,8 @@ def _summaries(judged: DataFrame, rules: list[Rule]) -> DataFrame:
         # violations counted at the first fire after the chunk's last clear
         F.min(F.when(fires, F.struct(-F.coalesce("last_clear", F.lit(-1)), F.col("cum").alias("cum")))).alias("fire_at"),
         F.max("idx").alias("last_idx"),
-        F.max_by("row", "idx").alias("last_row"),
-    )
+        F.max_by("unit", "idx").alias("last_unit"),
+    ])
 
 
 def _carried(summaries: DataFrame, rules: list[Rule]) -> DataFrame:
@@ -225,8 +227,8 @@ def _carried(summaries: DataFrame, rules: list[Rule]) -> DataFrame:
         *SERIES, "chunk", "run_in", "fired_in", "cum_in",
         F.last("__f", ignorenulls=True).over(before).alias("fire_cum_in"),
         F.lag("last_idx").over(prior).alias("last_idx_in"),
-        F.lag("last_row").over(prior).getField("unit").alias("last_unit_in"),
-        "last_idx", F.col("last_row.unit").alias("last_unit"),
+        F.lag("last_unit").over(prior).alias("last_unit_in"),
+        "last_idx", "last_unit",
         F.lead("chunk").over(prior).isNull().alias("is_last"),
     )
 
@@ -253,7 +255,7 @@ def _gate_edges(rows: DataFrame, rules: list[Rule]) -> DataFrame:
         F.lit(0).alias("pass"), "pos",
         F.when(fired, "fired").otherwise("cleared").alias("state"),
         value.alias("value"),
-        F.col("row.unit").alias("unit"), F.col("row.ts").alias("ts"), F.col("row.raw_timestamp").alias("raw_timestamp"),
+        "unit", "ts", "raw_timestamp",
         F.when(fired, need).otherwise(F.col("__total") - F.col("__fc") + need).alias("samples_in_violation"),
     )
 
@@ -275,7 +277,7 @@ def _missing_edges(rows: DataFrame, carried: DataFrame, sizes: DataFrame, rules:
     cleared = gaps.select(
         *SERIES, "tick", F.lit(None).cast("long").alias("at_sample"), F.lit(0).alias("pass"), "pos",
         F.lit("cleared").alias("state"), F.lit(None).cast("double").alias("value"),
-        F.col("row.unit").alias("unit"), F.col("row.ts").alias("ts"), F.col("row.raw_timestamp").alias("raw_timestamp"),
+        "unit", "ts", "raw_timestamp",
         F.col("__gap").alias("samples_in_violation"),
     )
     def fire(at, unit):
@@ -337,7 +339,7 @@ def transitions(stream: DataFrame, rules: list[Rule], chunk: int = DEFAULT_CHUNK
         F.floor(F.col("tick") / NUMBERING_BLOCK).cast("long").alias("__blk"),
     )
     order = ["tick", "rule_idx", "pass", "pos", "sensor", "reading"]
-    return blocked.row_numbers(named, ["feed_id"], "__blk", order, "seq").select(*TRANSITION_COLUMNS)
+    return blocked.row_numbers(named, ["feed_id"], "__blk", order, "seq", derived=True).select(*TRANSITION_COLUMNS)
 
 
 def to_events(transitions_: DataFrame) -> DataFrame:
