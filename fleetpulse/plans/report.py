@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from fleetpulse.operators import digest as D, engine, readings as R, series as A
 from fleetpulse.operators.rules import Rule
 from fleetpulse.schema import DEFAULT_MAX_BYTES, DEFAULT_TOP, MIN_MAX_BYTES
+from fleetpulse.session import written
 from fleetpulse.sources import sample_log
 
 
@@ -25,14 +26,18 @@ class ReportOptions:
 
 
 def report_parts(stream: DataFrame, folded: DataFrame, rules: list[Rule], opt: ReportOptions) -> dict[str, DataFrame]:
-    """The frames a digest is made of, before anything is cut to size."""
+    """The frames a digest is made of, before anything is cut to size.
+
+    Events, series and gaps are read several times below and are small next to
+    the readings, so each is computed once and written.
+    """
     ticks = R.markers(stream)
     series = A.series_aggregates(folded)
     # Rules see every sample of the window; filters below only choose what is shown.
-    events = engine.to_events(engine.transitions(stream, rules, opt.chunk))
+    events = written(engine.to_events(engine.transitions(stream, rules, opt.chunk)), "events")
     return {
-        "ticks": ticks, "events": events, "series": D.flag_violated(series, events),
-        "gaps": A.gaps(ticks, opt.interval_seconds), "meta": A.feed_meta(ticks),
+        "ticks": ticks, "events": events, "series": written(D.flag_violated(series, events), "series"),
+        "gaps": written(A.gaps(ticks, opt.interval_seconds), "gaps"), "meta": A.feed_meta(ticks),
     }
 
 
@@ -84,6 +89,8 @@ def report(
         raise ValueError("since is after until")
     samples, parsed = sample_log.scan(spark, root, since, until)
     a, b = F.lit(since.astimezone(timezone.utc)), F.lit(until.astimezone(timezone.utc))
+    # The text is parsed once; aggregates, gaps and rules read the columns they need.
+    samples = written(samples, "samples")
     folded = R.flatten(R.fold_samples(samples))
     return digest(R.to_stream(samples), folded, rules, a, b, opt, parsed)
 
