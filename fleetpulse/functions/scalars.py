@@ -128,7 +128,7 @@ def window_bound(c: Column, zone: str = "UTC", end: bool = False) -> Column:
     midnight = F.try_to_timestamp(F.when(bare, F.concat(c, F.lit(" 00:00:00 UTC"))))
     if end:
         midnight = midnight + F.expr("INTERVAL 1 DAY") - F.expr("INTERVAL 1 MICROSECOND")
-    civil = F.try_to_timestamp(F.when(local, F.concat(c, F.lit("Z"))))
+    civil = F.try_to_timestamp(F.when(local, F.concat(c, F.when(F.length(c) == 16, ":00Z").otherwise("Z"))))
     return (
         F.when(bare, F.to_utc_timestamp(midnight, zone))
         .when(local, F.to_utc_timestamp(civil, zone))
