@@ -53,8 +53,8 @@ def match_rules(stream: DataFrame, rules: list[Rule]) -> DataFrame:
     on_reading = F.filter(F.array(*series_hits), lambda h: h.isNotNull()) if series_hits else none
     on_marker = F.array(F.lit(None).cast("int"), *source_ids)
     paired = tagged.withColumn(
-        "rule_idx", F.explode(F.when(marker, on_marker).otherwise(on_reading).cast("array<int>"))
-    )
+        "rule_idx", F.explode_outer(F.when(marker, on_marker).otherwise(on_reading).cast("array<int>"))
+    ).where(marker | F.col("rule_idx").isNotNull())
     metric = S.select_metric(_by_rule(rules, lambda r: r.metric, "string"), *[F.col(c) for c in ("value", "min", "max", "avg")])
     stale = [i for i, r in enumerate(rules) if r.kind == "stale"]
     # Text keeps NaN equal to itself and -0.0 apart from 0.0, like a bit compare.
@@ -121,7 +121,7 @@ def _chunked(numbered: DataFrame, rules: list[Rule], chunk: int) -> DataFrame:
     at_end = F.col("idx") >= (home + 1) * chunk - back
     placed = (
         numbered.withColumn("idx", idx)
-        .withColumn("chunk", F.explode(F.when(at_end, F.array(home, home + 1)).otherwise(F.array(home))))
+        .withColumn("chunk", F.explode_outer(F.when(at_end, F.array(home, home + 1)).otherwise(F.array(home))))
         .withColumn("halo", F.col("chunk") != home)
     )
     return blocked.not_null(placed, [*SERIES, "chunk"])

@@ -8,6 +8,8 @@ events is spread over tasks.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
@@ -191,21 +193,25 @@ def escalation_tiers(tagged: DataFrame) -> DataFrame:
 
 
 def _decide(cooldown_us: int, cap: int):
-    def run(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values(["us", "seq"], kind="stable")
-        last: dict[str, int] = {}
-        day, sent, out = None, 0, []
-        for rule, us, today in zip(group["rule"], group["us"], group["day"]):
-            if today != day:
-                day, sent = today, 0
-            if rule in last and us - last[rule] < cooldown_us:
-                out.append("suppress")
-            elif sent >= cap:
-                out.append("batch")
-            else:
-                out.append("allow")
-                last[rule], sent = us, sent + 1
-        return group.assign(decision=out)[["feed_id", "rule", "us", "decision"]]
+    """Decisions over rows sorted by (feed, stretch, time), batch by batch: only
+    the state of the current stretch is kept, however long it is."""
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        here, day, sent, last = None, None, 0, {}
+        for b in batches:
+            out = []
+            for feed, stretch, rule, us, today in zip(b["feed_id"], b["stretch"], b["rule"], b["us"], b["day"]):
+                if (feed, stretch) != here:
+                    here, day, last = (feed, stretch), None, {}
+                if today != day:
+                    day, sent = today, 0
+                if rule in last and us - last[rule] < cooldown_us:
+                    out.append("suppress")
+                elif sent >= cap:
+                    out.append("batch")
+                else:
+                    out.append("allow")
+                    last[rule], sent = us, sent + 1
+            yield b[["feed_id", "rule", "us"]].assign(decision=out)
 
     return run
 
@@ -235,8 +241,9 @@ def suppression(
     p = blocked.running(
         p, ["feed_id"], "__sb", ["us", "seq"], [blocked.Running("stretch", "sum", F.col("__start"))], inclusive=True, derived=True)
     decided = (
-        p.select("feed_id", "rule", "us", "seq", "day", "stretch").groupBy("feed_id", "stretch")
-        .applyInPandas(_decide(cooldown_us, daily_cap), "feed_id string, rule string, us long, decision string")
+        p.select("feed_id", "stretch", "rule", "us", "seq", "day").repartition("feed_id", "stretch")
+        .sortWithinPartitions("feed_id", "stretch", "us", "seq")
+        .mapInPandas(_decide(cooldown_us, daily_cap), "feed_id string, rule string, us long, decision string")
     )
     first = points.select("feed_id", "rule", "us", F.col("seq").alias("__first"))
     lead = first.join(decided, ["feed_id", "rule", "us"])

@@ -31,8 +31,13 @@ def _reading_fields(r: str) -> list[Column]:
 
 
 def flatten(samples: DataFrame) -> DataFrame:
-    """One row per reading, array order kept in ``pos``; a narrow operation."""
-    return samples.select(*TICK_COLUMNS, F.posexplode("sensors").alias("__p", "__r")).select(
+    """One row per reading, array order kept in ``pos``; a narrow operation.
+
+    The outer form is used because the plain one also tests the array's size in a
+    filter below, which would compute a derived array twice.
+    """
+    each = samples.select(*TICK_COLUMNS, F.posexplode_outer("sensors").alias("__p", "__r"))
+    return each.where(F.col("__p").isNotNull()).select(
         *TICK_COLUMNS, F.col("__p").cast("long").alias("pos"), *_reading_fields("__r")
     )
 
@@ -42,7 +47,7 @@ def to_stream(samples: DataFrame) -> DataFrame:
     marker = F.array(F.lit(None).cast(READING_STRUCT))
     body = F.coalesce(F.col("sensors"), F.array().cast(samples.schema["sensors"].dataType))
     return samples.select(
-        *TICK_COLUMNS, "available", F.posexplode(F.concat(marker, body)).alias("__p", "__r")
+        *TICK_COLUMNS, "available", F.posexplode_outer(F.concat(marker, body)).alias("__p", "__r")
     ).select(
         *TICK_COLUMNS, "available", (F.col("__p") - 1).cast("long").alias("pos"), *_reading_fields("__r")
     )
