@@ -106,6 +106,38 @@ def row_numbers(
     )
 
 
+def range_row_numbers(
+    df: DataFrame, keys: list[str], order: list[Column], name: str = "rank"
+) -> DataFrame:
+    """Exact numbering per key in any order, for keys of any size.
+
+    Range partitioning on (keys, order) yields sorted slices of even size even
+    where one key holds most rows; a slice is the block. The sliced frame is
+    written, so that every use sees the same slices.
+    """
+    from fleetpulse.session import written
+
+    sliced = df.repartitionByRange(*[F.col(k) for k in keys], *order).withColumn("__slice", F.spark_partition_id().cast("long"))
+    return row_numbers(written(sliced, "sliced"), keys, "__slice", order, name).drop("__slice")
+
+
+SALTS = 64
+
+
+def top_per_key(df: DataFrame, keys: list[str], order: list[Column], n: int) -> DataFrame:
+    """The first ``n`` rows of every key, for keys of any size.
+
+    Each of a fixed number of salted parts keeps its own first ``n``, so the last
+    step sees at most ``SALTS * n`` rows of a key.
+    """
+    rest = [c for c in df.columns if c not in keys]
+    salted = df.withColumn("__salt", F.pmod(F.xxhash64(*rest), F.lit(SALTS)))
+    for part in (["__salt", *keys], keys):
+        w = Window.partitionBy(*part).orderBy(*order)
+        salted = salted.withColumn("__r", F.row_number().over(w)).where(F.col("__r") <= n).drop("__r")
+    return salted.drop("__salt")
+
+
 def _total(spec: Running, order: list[str]) -> Column:
     if spec.op == "last":
         return F.max_by(spec.expr, F.when(spec.expr.isNotNull(), F.struct(*order)))

@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from fleetpulse.functions import scalars as S
-from fleetpulse.operators import readings as R
+from fleetpulse.operators import blocked, readings as R
 from fleetpulse.schema import (
     DEFAULT_MAX_BYTES, DEFAULT_TOP, DIGEST_SCHEMA_VERSION, EVENT_KEYS, MAX_VIOLATIONS_SHOWN,
 )
@@ -42,38 +42,40 @@ def violation_filter(needles: list[str] | None = None, type_label: str | None =
     return keep
 
 
-def ranked(series: DataFrame, top: int = DEFAULT_TOP, keep_all: bool = False) -> DataFrame:
+def ranked(series: DataFrame, top: int = DEFAULT_TOP, keep_all: bool = False, limit: int | None = None) -> DataFrame:
     """Violated series first, then by relative movement, then by name; ``rank``
-    is 1-based. Kept are all violated series, and others up to ``top`` in all.
+    is 1-based. Kept are all violated series, and others up to ``top`` in all;
+    ``keep_all`` keeps everything and ``limit`` cuts the ranks of both tiers.
 
-    The two tiers are ranked apart, so that the rank limit of the second can be
-    applied before its shuffle.
+    A feed may have any number of series: where a limit applies it is taken in
+    salted parts, otherwise the numbering runs over range slices.
     """
     scored = series.withColumn("score", S.mover_score(F.col("first"), F.col("last")))
-    w = Window.partitionBy("feed_id").orderBy(F.desc("score"), "sensor", "reading")
-    forced = scored.where("in_violation").withColumn("rank", F.row_number().over(w))
-    rest = scored.where("NOT in_violation").withColumn("rank", F.row_number().over(w))
-    if not keep_all:
-        rest = rest.where(F.col("rank") <= top)
-    n_forced = forced.groupBy("feed_id").agg(F.max("rank").alias("__n"))
-    rest = (
-        rest.join(n_forced, "feed_id", "left")
-        .withColumn("rank", F.col("rank") + F.coalesce("__n", F.lit(0))).drop("__n")
-    )
-    if not keep_all:
-        rest = rest.where(F.col("rank") <= top)
+    order = [F.desc("score"), F.col("sensor"), F.col("reading")]
+    w = Window.partitionBy("feed_id").orderBy(*order)
+
+    def numbered(df: DataFrame, n: int | None) -> DataFrame:
+        if n is None:
+            return blocked.range_row_numbers(df, ["feed_id"], order, "rank")
+        return blocked.top_per_key(df, ["feed_id"], order, n).withColumn("rank", F.row_number().over(w).cast("long"))
+
+    n_forced = scored.where("in_violation").groupBy("feed_id").agg(F.count(F.lit(1)).alias("__n"))
+    forced = numbered(scored.where("in_violation"), limit)
+    most = None if keep_all else top
+    if limit is not None:
+        most = limit if most is None else min(most, limit)
+    rest = numbered(scored.where("NOT in_violation"), most).join(n_forced, "feed_id", "left")
+    rest = rest.withColumn("rank", F.col("rank") + F.coalesce("__n", F.lit(0))).drop("__n")
+    if most is not None:
+        rest = rest.where(F.col("rank") <= most)
     return forced.unionByName(rest)
 
 
 def last_transitions(events: DataFrame, keep: int = MAX_VIOLATIONS_SHOWN) -> DataFrame:
     """The latest ``keep`` transitions of each feed, renumbered from 1."""
-    down = Window.partitionBy("feed_id").orderBy(F.desc("seq"))
-    kept = events.withColumn("__k", F.row_number().over(down)).where(F.col("__k") <= keep)
-    n = kept.groupBy("feed_id").agg(F.max("__k").alias("__n"))
-    return (
-        kept.join(n, "feed_id").withColumn("seq", (F.col("__n") - F.col("__k") + 1).cast("long"))
-        .withColumn("id", S.event_id(F.col("rule"), F.col("seq"))).drop("__k", "__n")
-    )
+    kept = blocked.top_per_key(events, ["feed_id"], [F.desc("seq")], keep)
+    up = Window.partitionBy("feed_id").orderBy("seq")
+    return kept.withColumn("seq", F.row_number().over(up).cast("long")).withColumn("id", S.event_id(F.col("rule"), F.col("seq")))
 
 
 def feed_totals(name: str, df: DataFrame) -> DataFrame:

@@ -11,7 +11,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from fleetpulse.functions import scalars as S
 from fleetpulse.operators import blocked
@@ -88,9 +88,8 @@ def ack_cursor(acks: DataFrame, keep: int = ACKED_IDS_KEPT) -> DataFrame:
     """
     first = acks.groupBy("feed_id", "id").agg(F.min("ack_ord").alias("ack_ord"), F.min("seq").alias("seq"))
     high = first.groupBy("feed_id").agg(F.max("seq").alias("last_acked_seq"), F.count(F.lit(1)).alias("acked_total"))
-    w = Window.partitionBy("feed_id").orderBy(F.desc("ack_ord"), F.desc("id"))
     ring = (
-        first.withColumn("__r", F.row_number().over(w)).where(F.col("__r") <= keep)
+        blocked.top_per_key(first, ["feed_id"], [F.desc("ack_ord"), F.desc("id")], keep)
         .groupBy("feed_id").agg(F.array_sort(F.collect_list(F.struct("ack_ord", "id"))).alias("__ids"))
         .select("feed_id", F.transform("__ids", lambda x: x["id"]).alias("recent_ids"))
     )

@@ -83,21 +83,16 @@ def largest_gaps(found: DataFrame, keep: int = MAX_GAPS_SHOWN) -> DataFrame:
     met while fewer than ``keep`` gaps of at least that size existed were ever
     taken in, and of these the latest remain. All three steps are rank limits.
     """
-    by_size = Window.partitionBy("feed_id").orderBy(F.desc("seconds"))
     cut = (
-        found.select("feed_id", "seconds").withColumn("__r", F.row_number().over(by_size)).where(F.col("__r") <= keep)
-        .groupBy("feed_id").agg(F.min("seconds").alias("__cut"), F.count(F.lit(1)).alias("__n"),
-                                F.count(F.lit(1)).alias("__have"))
+        blocked.top_per_key(found.select("feed_id", "blk", "ord", "seconds"), ["feed_id"], [F.desc("seconds")], keep)
+        .groupBy("feed_id").agg(F.min("seconds").alias("__cut"), F.count(F.lit(1)).alias("__have"))
         .withColumn("__cut", F.when(F.col("__have") == keep, F.col("__cut"))).select("feed_id", "__cut")
     )
     cols = found.columns
     marked = found.join(cut, "feed_id")
     above = marked.where(F.col("__cut").isNull() | (F.col("seconds") > F.col("__cut")))
-    early = Window.partitionBy("feed_id").orderBy("blk", "ord")
-    taken = (
-        marked.where(F.col("seconds") >= F.col("__cut")).withColumn("__e", F.row_number().over(early))
-        .where(F.col("__e") <= keep).where(F.col("seconds") == F.col("__cut"))
-    )
+    reached = marked.where(F.col("seconds") >= F.col("__cut"))
+    taken = blocked.top_per_key(reached, ["feed_id"], [F.col("blk"), F.col("ord")], keep).where(F.col("seconds") == F.col("__cut"))
     over = above.where(F.col("__cut").isNotNull()).groupBy("feed_id").agg(F.count(F.lit(1)).alias("__over"))
     late = Window.partitionBy("feed_id").orderBy(F.desc("blk"), F.desc("ord"))
     ties = (

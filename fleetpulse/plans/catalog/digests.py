@@ -122,7 +122,7 @@ def flagged_series(spark, sf_dir) -> DataFrame:
 SELECT feed_id, reading, in_violation, round(score, 6) AS score, rank FROM (
   SELECT *, row_number() OVER (PARTITION BY feed_id ORDER BY in_violation DESC, score DESC, sensor, reading) AS rank FROM flagged)""")
 def movers_ranked(spark, sf_dir):
-    return D.ranked(flagged_series(spark, sf_dir), keep_all=True).select("feed_id", "reading", "in_violation", F.round("score", 6).alias("score"), "rank")
+    return D.ranked(written(flagged_series(spark, sf_dir), "flagged"), keep_all=True).select("feed_id", "reading", "in_violation", F.round("score", 6).alias("score"), "rank")
 
 
 @query("top_movers", f"""{DAILY_HOT}
@@ -130,7 +130,7 @@ SELECT feed_id, reading, in_violation, rank FROM (
   SELECT *, row_number() OVER (PARTITION BY feed_id ORDER BY in_violation DESC, score DESC, sensor, reading) AS rank,
          count_if(in_violation) OVER (PARTITION BY feed_id) AS forced FROM flagged) WHERE rank <= greatest(forced, 2)""")
 def top_movers(spark, sf_dir):
-    return D.ranked(flagged_series(spark, sf_dir), top=2).select("feed_id", "reading", "in_violation", "rank")
+    return D.ranked(written(flagged_series(spark, sf_dir), "flagged"), top=2).select("feed_id", "reading", "in_violation", "rank")
 
 
 @query("row_display_filter", f"""{DAILY_HOT}

@@ -77,7 +77,7 @@ def digest(
     )
     return D.assemble(
         meta, D.last_transitions(typed).where(keep), A.largest_gaps(p["gaps"]),
-        D.ranked(shown_rows, opt.top), opt.max_bytes)
+        D.ranked(shown_rows, opt.top, limit=opt.max_bytes), opt.max_bytes)
 
 
 def report(

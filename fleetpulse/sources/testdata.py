@@ -54,15 +54,16 @@ def _reading_columns(value: Column) -> list[Column]:
     ]
 
 
-def _with_markers(rows: DataFrame) -> DataFrame:
+def _with_markers(rows: DataFrame, available: Column | None = None) -> DataFrame:
     """One reading per poll: the marker is an extra copy of the row's header."""
+    ok = F.lit(True) if available is None else available
     blank = [F.lit(None).cast(rows.schema[c].dataType) for c in ("sensor", "reading", "type", "value", "min", "max", "avg", "unit")]
     names = ["pos", "sensor", "reading", "type", "value", "min", "max", "avg", "unit"]
     marker = F.struct(*[c.alias(n) for c, n in zip([F.lit(-1).cast("long"), *blank], names)])
     here = F.struct(*[F.col(n) for n in names])
     return rows.select(
-        "feed_id", "blk", "ord", "ts", "raw_timestamp", F.lit(True).alias("available"),
-        F.inline(F.array(marker, here)),
+        "feed_id", "blk", "ord", "ts", "raw_timestamp", ok.alias("available"),
+        F.inline_outer(F.when(ok, F.array(marker, here)).otherwise(F.array(marker))),
     )
 
 
@@ -89,11 +90,9 @@ def poll_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def polls_with_outages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """polls, where an event of type error is a poll that found no source."""
-    s = poll_stream(spark, sf_dir)
-    e = table(spark, sf_dir, "events").where("event_type = 'error'").select(F.col("event_id").alias("ord"))
-    flagged = s.join(e.withColumn("__off", F.lit(True)), "ord", "left")
-    return flagged.withColumn("available", F.col("__off").isNull()).where((F.col("pos") < 0) | F.col("available")).drop("__off").select(*s.columns)
+    """polls, where an event of type error is a poll that found no source: its
+    marker stays, as unavailable, and its reading goes."""
+    return _with_markers(poll_readings(spark, sf_dir), F.col("reading") != "error")
 
 
 def daily_readings(spark: SparkSession, sf_dir: str) -> DataFrame:
