@@ -147,21 +147,21 @@ def display_filter(needles: list[str] | None = None, type_label: str | None = No
     return keep & (F.col("type") == type_label) if type_label else keep
 
 
-def latest_samples(samples: DataFrame) -> DataFrame:
-    """The newest sample of every feed, by stream order.
+def _newest(df: DataFrame) -> DataFrame:
+    """The newest (blk, ord) of every feed: numeric hash aggregates, first per
+    block, so nothing is sorted and no feed is gathered."""
+    per_block = df.groupBy("feed_id", "blk").agg(F.max("ord").alias("ord"))
+    last = per_block.groupBy("feed_id").agg(F.max("blk").alias("blk"), F.max_by("ord", "blk").alias("ord"))
+    return last.select("feed_id", "blk", "ord")
 
-    The newest (blk, ord) per feed is a partial aggregate; only those few keys
-    are joined back, so no feed is sorted.
-    """
-    newest = samples.where("available").groupBy("feed_id").agg(F.max(F.struct("blk", "ord")).alias("k"))
-    newest = newest.select("feed_id", F.col("k.blk").alias("blk"), F.col("k.ord").alias("ord"))
-    return samples.join(newest, ["feed_id", "blk", "ord"], "left_semi")
+
+def latest_samples(samples: DataFrame) -> DataFrame:
+    """The newest sample of every feed, by stream order."""
+    return samples.join(_newest(samples.where("available")), ["feed_id", "blk", "ord"], "left_semi")
 
 
 def latest_readings(readings: DataFrame) -> DataFrame:
-    newest = readings.groupBy("feed_id").agg(F.max(F.struct("blk", "ord")).alias("k"))
-    newest = newest.select("feed_id", F.col("k.blk").alias("blk"), F.col("k.ord").alias("ord"))
-    return readings.join(newest, ["feed_id", "blk", "ord"], "left_semi")
+    return readings.join(_newest(readings), ["feed_id", "blk", "ord"], "left_semi")
 
 
 def snapshot(readings: DataFrame, type_label: str | None = None, needle: str | None = None) -> DataFrame:

@@ -41,14 +41,12 @@ def report_parts(stream: DataFrame, folded: DataFrame, rules: list[Rule], opt: R
     }
 
 
-def digest(
+def digest_inputs(
     stream: DataFrame, folded: DataFrame, rules: list[Rule], since: Column, until: Column,
-    opt: ReportOptions | None = None, parsed: DataFrame | None = None,
-) -> DataFrame:
-    """One size-bounded JSON digest per feed for an already windowed stream."""
-    opt = opt or ReportOptions()
-    if opt.max_bytes < MIN_MAX_BYTES:
-        raise ValueError(f"max_bytes must be at least {MIN_MAX_BYTES}")
+    opt: ReportOptions, parsed: DataFrame | None = None,
+) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """(meta with exact totals, violations, gaps, ranked rows): the lists are at
+    their caps but not yet cut to a byte budget."""
     p = report_parts(stream, folded, rules, opt)
     shown_rows = p["series"].where(R.display_filter(opt.match, opt.type_label))
     typed = D.with_series_type(p["events"], p["series"])
@@ -75,9 +73,19 @@ def digest(
         F.lit(opt.log_dir).alias("log_dir"), F.lit(opt.interval_seconds).alias("interval_seconds"),
         F.lit(len(rules)).alias("rules_evaluated"),
     )
-    return D.assemble(
-        meta, D.last_transitions(typed).where(keep), A.largest_gaps(p["gaps"]),
-        D.ranked(shown_rows, opt.top, limit=opt.max_bytes), opt.max_bytes)
+    return (meta, D.last_transitions(typed).where(keep), A.largest_gaps(p["gaps"]),
+            D.ranked(shown_rows, opt.top, limit=opt.max_bytes))
+
+
+def digest(
+    stream: DataFrame, folded: DataFrame, rules: list[Rule], since: Column, until: Column,
+    opt: ReportOptions | None = None, parsed: DataFrame | None = None,
+) -> DataFrame:
+    """One size-bounded JSON digest per feed for an already windowed stream."""
+    opt = opt or ReportOptions()
+    if opt.max_bytes < MIN_MAX_BYTES:
+        raise ValueError(f"max_bytes must be at least {MIN_MAX_BYTES}")
+    return D.assemble(*digest_inputs(stream, folded, rules, since, until, opt, parsed), opt.max_bytes)
 
 
 def report(
