@@ -233,63 +233,70 @@ def _carried(summaries: DataFrame, rules: list[Rule]) -> DataFrame:
     )
 
 
-def _gate_edges(rows: DataFrame, rules: list[Rule]) -> DataFrame:
-    """Fired/cleared edges of the gated kinds."""
+def _edge(state: str | Column, place: int, pos: Column, tick: Column, at: Column, value: Column, unit: Column, n: Column, here: bool) -> Column:
+    none = F.lit(None)
+    return F.struct(
+        (F.lit(state) if isinstance(state, str) else state).alias("state"), F.lit(place).alias("pass"), pos.cast("long").alias("pos"),
+        tick.cast("long").alias("tick"), at.cast("long").alias("at_sample"), value.cast("double").alias("value"), unit.alias("unit"),
+        (F.col("ts") if here else none.cast("timestamp")).alias("ts"),
+        (F.col("raw_timestamp") if here else none.cast("string")).alias("raw_timestamp"),
+        n.cast("long").alias("samples_in_violation"),
+    )
+
+
+def _edges(rows: DataFrame, rules: list[Rule]) -> DataFrame:
+    """Every edge that shows at a matched row, from one pass over the rows.
+
+    A gated row gives at most one edge. A row of a missing rule that ends an
+    absence gives two: the fire back when the absence had lasted long enough, at
+    a sample the series is not in, and the clear here. No absent sample is
+    enumerated: an absence is a jump in the sample numbers.
+    """
     w = Window.partitionBy(*SERIES, "chunk").orderBy("idx")
     before = w.rowsBetween(Window.unboundedPreceding, -1)
     need = _by_rule(rules, lambda r: r.for_samples, "long")
+    kind = _by_rule(rules, lambda r: r.kind, "string")
     run = F.when(F.col("leading"), F.col("run") + F.col("run_in")).otherwise(F.col("run"))
     mark = F.when((F.col("v") == 1) & (run == need), 1).when(F.col("v") == -1, -1)
     m = rows.withColumn("__m", mark).withColumn("__total", F.col("cum") + F.col("cum_in"))
     m = m.withColumn("__p", F.coalesce(
         F.last("__m", ignorenulls=True).over(before), F.when(F.col("fired_in"), 1).otherwise(-1)))
-    edge = F.coalesce(F.col("__m") != F.col("__p"), F.lit(False))
-    m = m.withColumn("__edge", edge)
+    m = m.withColumn("__edge", F.coalesce(F.col("__m") != F.col("__p"), F.lit(False)))
     m = m.withColumn("__fc", F.coalesce(
         F.last(F.when(F.col("__edge") & (F.col("__m") == 1), F.col("__total")), ignorenulls=True).over(before),
         F.col("fire_cum_in")))
     fired = F.col("__m") == 1
-    value = F.when(_by_rule(rules, lambda r: r.kind, "string") != "source-unavailable", F.col("cmp"))
-    return m.where("__edge").select(
-        *SERIES, "tick", F.lit(None).cast("long").alias("at_sample"),
-        F.lit(0).alias("pass"), "pos",
-        F.when(fired, "fired").otherwise("cleared").alias("state"),
-        value.alias("value"),
-        "unit", "ts", "raw_timestamp",
-        F.when(fired, need).otherwise(F.col("__total") - F.col("__fc") + need).alias("samples_in_violation"),
-    )
-
-
-_ABSENT_POS = 0
-
-
-def _missing_edges(rows: DataFrame, carried: DataFrame, sizes: DataFrame, rules: list[Rule]) -> tuple[DataFrame, DataFrame]:
-    """Edges of the missing kind: (reappearances, fires at a sample number).
-
-    No sample is enumerated: an absence is a jump in the series' sample numbers,
-    or the distance from its last row to the end of the feed.
-    """
+    own = F.when(kind == "source-unavailable", -F.col("tick")).otherwise(F.col("idx"))  # ticks have no sample to look up
+    gated = F.when(F.col("__edge"), _edge(
+        F.when(fired, "fired").otherwise("cleared"), 0, F.col("pos"), F.col("tick"), own,
+        F.when(kind != "source-unavailable", F.col("cmp")), F.col("unit"),
+        F.when(fired, need).otherwise(F.col("__total") - F.col("__fc") + need), here=True))
+    found = [gated]
+    if any(r.kind == "missing" for r in rules):
+        seen = F.coalesce("prev_idx", "last_idx_in")
+        unit = F.when(F.col("prev_idx").isNotNull(), F.col("prev_unit")).otherwise(F.col("last_unit_in"))
+        gap = F.col("idx") - seen - 1
+        ended = (kind == "missing") & (gap >= need)
+        none = F.lit(None)
+        found += [
+            F.when(ended, _edge("cleared", 0, F.col("pos"), F.col("tick"), own, none, F.col("unit"), gap, here=True)),
+            F.when(ended, _edge("fired", 1, F.lit(0), none, seen + need, none, unit, need, here=False)),
+        ]
+    each = m.select(*SERIES, F.explode_outer(F.filter(F.array(*found), lambda e: e.isNotNull())).alias("e"))
+    return each.where(F.col("e").isNotNull()).select(*SERIES, "e.*")
+
+
+def _still_missing(carried: DataFrame, sizes: DataFrame, rules: list[Rule]) -> DataFrame:
+    """Fires of series that never came back: from the last row to the feed's end."""
     need = _by_rule(rules, lambda r: r.for_samples, "long")
     kind = _by_rule(rules, lambda r: r.kind, "string")
-    seen = F.coalesce("prev_idx", "last_idx_in")
-    gaps = rows.where(kind == "missing").withColumn("__seen", seen).withColumn("__gap", F.col("idx") - seen - 1)
-    gaps = gaps.where(F.col("__gap") >= need)
-    cleared = gaps.select(
-        *SERIES, "tick", F.lit(None).cast("long").alias("at_sample"), F.lit(0).alias("pass"), "pos",
-        F.lit("cleared").alias("state"), F.lit(None).cast("double").alias("value"),
-        "unit", "ts", "raw_timestamp",
-        F.col("__gap").alias("samples_in_violation"),
-    )
-    def fire(at, unit):
-        return [*SERIES, at.alias("at_sample"), unit.alias("unit"), need.alias("samples_in_violation")]
-
-    inner = gaps.select(*fire(F.col("__seen") + need, F.when(F.col("prev_idx").isNotNull(), F.col("prev_unit")).otherwise(F.col("last_unit_in"))))
-    tail = (
+    none = F.lit(None)
+    out = (
         carried.where((kind == "missing") & F.col("is_last")).join(sizes, "feed_id")
         .where(F.col("n_samples") - F.col("last_idx") >= need)
-        .select(*fire(F.col("last_idx") + need, F.col("last_unit")))
     )
-    return cleared, inner.unionByName(tail)
+    edge = _edge("fired", 1, F.lit(0), none, F.col("last_idx") + need, none, F.col("last_unit"), need, here=False)
+    return out.select(*SERIES, edge.alias("e")).select(*SERIES, "e.*")
 
 
 def transitions(stream: DataFrame, rules: list[Rule], chunk: int = DEFAULT_CHUNK) -> DataFrame:
@@ -307,23 +314,17 @@ def transitions(stream: DataFrame, rules: list[Rule], chunk: int = DEFAULT_CHUNK
         carried.select(*SERIES, "chunk", "run_in", "fired_in", "cum_in", "fire_cum_in", "last_idx_in", "last_unit_in"),
         [*SERIES, "chunk"],
     )
-    kinds = {r.kind for r in rules}
-    parts = []
-    if kinds - {"missing"}:
-        parts.append(_gate_edges(rows, rules))
-    if "missing" in kinds:
-        ticks = tick_numbers(R.markers(stream))
+    edges = _edges(rows, rules)
+    if any(r.kind == "missing" for r in rules):
         sizes = R.markers(stream).where("available").groupBy("feed_id").agg(F.count(F.lit(1)).alias("n_samples"))
-        cleared, fires = _missing_edges(rows, carried, sizes, rules)
-        at = ticks.where("available").select(
-            "feed_id", F.col("sample").alias("at_sample"), "tick", "ts", "raw_timestamp")
-        fired = fires.join(at, ["feed_id", "at_sample"]).withColumn("pass", F.lit(1)).withColumn(
-            "pos", F.lit(_ABSENT_POS).cast("long")).withColumn("state", F.lit("fired")).withColumn(
-            "value", F.lit(None).cast("double"))
-        parts += [cleared, fired]
-    edges = parts[0]
-    for p in parts[1:]:
-        edges = edges.unionByName(p)
+        edges = edges.unionByName(_still_missing(carried, sizes, rules))
+        # A fire at a sample the series is not in takes its time from that sample.
+        at = tick_numbers(R.markers(stream)).where("available").select(
+            "feed_id", F.col("sample").alias("at_sample"), F.col("tick").alias("at_tick"), F.col("ts").alias("at_ts"),
+            F.col("raw_timestamp").alias("at_raw"))
+        edges = edges.join(at, ["feed_id", "at_sample"], "left").withColumns({
+            "tick": F.coalesce("tick", "at_tick"), "ts": F.coalesce("ts", "at_ts"),
+            "raw_timestamp": F.coalesce("raw_timestamp", "at_raw")})
 
     no_series = _by_rule(rules, lambda r: r.kind, "string") == "source-unavailable"
     named = edges.select(
