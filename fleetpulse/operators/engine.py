@@ -27,7 +27,7 @@ MATCH_COLUMNS = ["rule_idx", "x", "sig"]
 NO_SERIES = ""  # sensor/reading of rules that watch the source itself
 
 TRANSITION_COLUMNS = [
-    "feed_id", "seq", "rule_idx", "rule", "type", "severity", "state", "ts", "timestamp", "tick",
+    "feed_id", "seq", "rule_idx", "rule", "type", "severity", "state", "timestamp", "tick",
     "sensor", "reading", "value", "unit", "threshold", "samples_in_violation",
 ]
 
@@ -60,7 +60,7 @@ def match_rules(stream: DataFrame, rules: list[Rule]) -> DataFrame:
     # Text keeps NaN equal to itself and -0.0 apart from 0.0, like a bit compare.
     frozen = F.concat_ws("|", *[F.coalesce(F.col(c).cast("string"), F.lit("NaN")) for c in ("value", "min", "max", "avg")])
     return paired.select(
-        *R.TICK_COLUMNS, "available", "pos",
+        "feed_id", "blk", "ord", "raw_timestamp", "available", "pos",
         F.when(marker & F.col("rule_idx").isNotNull(), F.lit(NO_SERIES)).otherwise(F.col("sensor")).alias("sensor"),
         F.when(marker & F.col("rule_idx").isNotNull(), F.lit(NO_SERIES)).otherwise(F.col("reading")).alias("reading"),
         "unit", "rule_idx",
@@ -72,7 +72,7 @@ def match_rules(stream: DataFrame, rules: list[Rule]) -> DataFrame:
 def tick_numbers(ticks: DataFrame) -> DataFrame:
     """(feed_id, blk, ord) -> dense ``tick`` and ``sample`` numbers, block by block."""
     flags = ticks.select(
-        "feed_id", "blk", "ord", "ts", "raw_timestamp", "available",
+        "feed_id", "blk", "ord", "raw_timestamp", "available",
         F.lit(1).cast("long").alias("__one"), F.col("available").cast("long").alias("__av"),
     )
     return blocked.running(
@@ -107,7 +107,7 @@ def number_matches(matched: DataFrame, stream: DataFrame) -> DataFrame:
         "feed_id", "rule_idx", "sensor", "reading", "pos", "x", "sig",
         (F.col("__t") + F.col("__ot")).alias("tick"),
         (F.col("__s") + F.col("__os")).alias("sample"),
-        "unit", "ts", "raw_timestamp",
+        "unit", "raw_timestamp",
     )
 
 
@@ -171,7 +171,7 @@ def _judged(chunked: DataFrame, rules: list[Rule]) -> DataFrame:
         "base", F.max(F.when(F.col("v") != 1, F.col("cum")).when(F.col("start"), F.col("cum") - 1)).over(upto))
     return broken.select(
         *SERIES, "chunk", "idx", "pos", "tick", "prev_idx", "prev_unit",
-        "unit", "ts", "raw_timestamp", "cmp", "v", "cum", "last_clear",
+        "unit", "raw_timestamp", "cmp", "v", "cum", "last_clear",
         F.col("base").isNull().alias("leading"),
         (F.col("cum") - F.coalesce("base", F.lit(0))).alias("run"),
     )
@@ -238,7 +238,6 @@ def _edge(state: str | Column, place: int, pos: Column, tick: Column, at: Column
     return F.struct(
         (F.lit(state) if isinstance(state, str) else state).alias("state"), F.lit(place).alias("pass"), pos.cast("long").alias("pos"),
         tick.cast("long").alias("tick"), at.cast("long").alias("at_sample"), value.cast("double").alias("value"), unit.alias("unit"),
-        (F.col("ts") if here else none.cast("timestamp")).alias("ts"),
         (F.col("raw_timestamp") if here else none.cast("string")).alias("raw_timestamp"),
         n.cast("long").alias("samples_in_violation"),
     )
@@ -320,27 +319,25 @@ def transitions(stream: DataFrame, rules: list[Rule], chunk: int = DEFAULT_CHUNK
         edges = edges.unionByName(_still_missing(carried, sizes, rules))
         # A fire at a sample the series is not in takes its time from that sample.
         at = tick_numbers(R.markers(stream)).where("available").select(
-            "feed_id", F.col("sample").alias("at_sample"), F.col("tick").alias("at_tick"), F.col("ts").alias("at_ts"),
-            F.col("raw_timestamp").alias("at_raw"))
+            "feed_id", F.col("sample").alias("at_sample"), F.col("tick").alias("at_tick"), F.col("raw_timestamp").alias("at_raw"))
         edges = edges.join(at, ["feed_id", "at_sample"], "left").withColumns({
-            "tick": F.coalesce("tick", "at_tick"), "ts": F.coalesce("ts", "at_ts"),
-            "raw_timestamp": F.coalesce("raw_timestamp", "at_raw")})
+            "tick": F.coalesce("tick", "at_tick"), "raw_timestamp": F.coalesce("raw_timestamp", "at_raw")})
 
-    no_series = _by_rule(rules, lambda r: r.kind, "string") == "source-unavailable"
-    named = edges.select(
-        "feed_id", "tick", "rule_idx", "pass", "pos", "state", "value", "ts", "samples_in_violation",
-        F.col("raw_timestamp").alias("timestamp"),
-        F.when(~no_series, F.col("sensor")).alias("sensor"),
-        F.when(~no_series, F.col("reading")).alias("reading"),
-        F.when(~no_series, F.col("unit")).alias("unit"),
-        _by_rule(rules, lambda r: r.name, "string").alias("rule"),
-        _by_rule(rules, lambda r: r.kind, "string").alias("type"),
-        _by_rule(rules, lambda r: r.severity, "string").alias("severity"),
-        _by_rule(rules, lambda r: r.threshold, "double").alias("threshold"),
-        F.floor(F.col("tick") / NUMBERING_BLOCK).cast("long").alias("__blk"),
-    )
+    edges = edges.select(
+        "feed_id", "tick", "rule_idx", "pass", "pos", "sensor", "reading", "state", "value", "unit", "raw_timestamp",
+        "samples_in_violation", F.floor(F.col("tick") / NUMBERING_BLOCK).cast("long").alias("__blk"))
     order = ["tick", "rule_idx", "pass", "pos", "sensor", "reading"]
-    return blocked.row_numbers(named, ["feed_id"], "__blk", order, "seq", derived=True).select(*TRANSITION_COLUMNS)
+    numbered = blocked.row_numbers(edges, ["feed_id"], "__blk", order, "seq", derived=True)
+    no_series = _by_rule(rules, lambda r: r.kind, "string") == "source-unavailable"
+    # What follows from the rule alone is added last, outside the shuffles.
+    return numbered.select(
+        "feed_id", "seq", "rule_idx", _by_rule(rules, lambda r: r.name, "string").alias("rule"),
+        _by_rule(rules, lambda r: r.kind, "string").alias("type"), _by_rule(rules, lambda r: r.severity, "string").alias("severity"),
+        "state", F.col("raw_timestamp").alias("timestamp"), "tick",
+        *[F.when(~no_series, F.col(c)).alias(c) for c in ("sensor", "reading")], "value",
+        F.when(~no_series, F.col("unit")).alias("unit"), _by_rule(rules, lambda r: r.threshold, "double").alias("threshold"),
+        "samples_in_violation",
+    ).select(*TRANSITION_COLUMNS)
 
 
 def to_events(transitions_: DataFrame) -> DataFrame:
