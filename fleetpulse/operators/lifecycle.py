@@ -19,6 +19,7 @@ from fleetpulse.schema import (
     ACKED_IDS_KEPT, DEFAULT_BLIND_AFTER, DEFAULT_COOLDOWN_SECONDS, DEFAULT_DAILY_CAP,
     DEFAULT_SNOOZE_SECONDS, EVENT_KEYS, EVENT_SCHEMA_VERSION, SEVERITIES, STATES,
 )
+from fleetpulse.session import written
 
 SEQ_BLOCK = 4_096
 
@@ -215,37 +216,104 @@ def _decide(cooldown_us: int, cap: int):
     return run
 
 
+DAY_US = 86_400_000_000
+_STRETCH = ["feed_id", "stretch"]
+
+
+def _earliest_deliveries(points: DataFrame, carry: DataFrame | None, cooldown_us: int, cap: int) -> DataFrame | None:
+    """Deliveries of every day, given what cooldowns run into it: the day's next
+    delivery is the earliest later point whose rule is free, at most ``cap`` times.
+    Each round is one minimum per day with map-side combining."""
+    day = [*_STRETCH, "day"]
+    found: DataFrame | None = None
+    for _ in range(cap):
+        busy = [carry] if carry is not None else []
+        p = points
+        if found is not None:
+            busy.append(found.select(*day, "rule", (F.col("us") + cooldown_us).alias("free_at")))
+            reached = found.groupBy(*day).agg(F.max(F.struct("us", "seq")).alias("__reached"))
+            p = p.join(reached, day, "left").where(
+                F.col("__reached").isNull() | (F.struct("us", "seq") > F.col("__reached"))).drop("__reached")
+        if busy:
+            both = busy[0] if len(busy) == 1 else busy[0].unionByName(busy[1])
+            p = p.join(both.groupBy(*day, "rule").agg(F.max("free_at").alias("free_at")), [*day, "rule"], "left")
+            p = p.where(F.col("free_at").isNull() | (F.col("us") >= F.col("free_at"))).drop("free_at")
+        new = p.groupBy(*day).agg(F.min(F.struct("us", "seq", "rule")).alias("m")).select(*day, "m.*")
+        new = written(new, "deliveries")
+        if new.isEmpty():
+            break
+        found = new if found is None else written(found.unionByName(new), "deliveries")
+    return found
+
+
+def _decide_by_rounds(points: DataFrame, cooldown_us: int, cap: int) -> DataFrame:
+    """The same decisions without stepping through a stretch.
+
+    Days are solved side by side. What one day leaves to the next, its running
+    cooldowns, is taken from the previous pass, until a pass changes nothing; day
+    k is final after k passes at the latest, and cooldowns fade much sooner.
+    """
+    points = written(points, "points")
+    later = F.explode(F.sequence(F.col("day") + 1, F.floor((F.col("us") + cooldown_us - 1) / DAY_US).cast("long")))
+    sent, carry = None, None
+    while True:
+        found = _earliest_deliveries(points, carry, cooldown_us, cap)
+        if found is None or (sent is not None and found.exceptAll(sent).isEmpty() and sent.exceptAll(found).isEmpty()):
+            break
+        sent = found
+        spills = sent.where(F.col("us") + cooldown_us - 1 >= (F.col("day") + 1) * DAY_US)
+        carry = written(
+            spills.select(*_STRETCH, later.alias("day"), "rule", (F.col("us") + cooldown_us).alias("free_at")), "carry")
+    if sent is None:
+        return points.select("feed_id", "rule", "us", F.lit("batch").alias("decision"))
+    covered = F.explode(F.sequence(F.col("day"), F.floor((F.col("us") + cooldown_us - 1) / DAY_US).cast("long")))
+    cover = sent.select(*_STRETCH, "rule", covered.alias("day"), F.col("us").alias("at"))
+    # Deliveries of a rule lie a cooldown apart, so at most one covers a point.
+    j = points.alias("p").join(
+        cover.alias("c"),
+        (F.col("p.feed_id") == F.col("c.feed_id")) & (F.col("p.stretch") == F.col("c.stretch")) & (F.col("p.rule") == F.col("c.rule"))
+        & (F.col("p.day") == F.col("c.day")) & (F.col("c.at") <= F.col("p.us")) & (F.col("p.us") < F.col("c.at") + cooldown_us), "left")
+    decision = F.when(F.col("c.at") == F.col("p.us"), "allow").when(F.col("c.at").isNotNull(), "suppress").otherwise("batch")
+    return j.select("p.feed_id", "p.rule", "p.us", decision.alias("decision"))
+
+
 def suppression(
     tiered: DataFrame, cooldown_seconds: int = DEFAULT_COOLDOWN_SECONDS, daily_cap: int = DEFAULT_DAILY_CAP,
+    max_stretch: int = 2_000_000,
 ) -> DataFrame:
     """allow / suppress / batch per event.
 
     Up to tier 1 everything is allowed and nothing is counted. Above, a decision
     depends on earlier deliveries of the feed. Only what such a decision needs is
-    stepped through: one row per (rule, instant), in independent stretches. A
-    stretch starts on a new day after a pause of at least the cooldown, when no
-    cooldown runs and the day's count is zero. All other events get their
-    decision by joining back.
+    looked at: one row per (rule, instant), in independent stretches. A stretch
+    starts on a new day after a pause of at least the cooldown, when no cooldown
+    runs and the day's count is zero. Stretches up to ``max_stretch`` rows are
+    stepped through; longer ones are solved by rounds over all their days. All
+    other events get their decision by joining back.
     """
     loud = tiered.where(F.col("tier") >= 2).withColumn("us", F.unix_micros("processed_at"))
     points = loud.groupBy("feed_id", "rule", "us").agg(F.min("seq").alias("seq"))
-    points = points.withColumn("day", F.floor(F.col("us") / 86_400_000_000).cast("long"))
-    # a block of time; (rule, instant) pairs bound what it can hold
-    points = points.withColumn("__sb", F.col("day"))
+    # A block is an hour of a feed; it holds one row per (rule, instant).
+    points = points.withColumn("day", F.floor(F.col("us") / DAY_US).cast("long"))
+    points = points.withColumn("__sb", F.floor(F.col("us") / 3_600_000_000).cast("long"))
     cooldown_us = cooldown_seconds * 1_000_000
     p = blocked.running(points, ["feed_id"], "__sb", ["us", "seq"], [blocked.Running("__prev", "max", F.col("us"))], derived=True)
     start = F.col("__prev").isNull() | (
-        (F.col("us") - F.col("__prev") >= cooldown_us) & (F.floor(F.col("__prev") / 86_400_000_000) < F.col("day")))
+        (F.col("us") - F.col("__prev") >= cooldown_us) & (F.floor(F.col("__prev") / DAY_US) < F.col("day")))
     p = p.withColumn("__start", F.coalesce(start, F.lit(True)).cast("long"))
     p = blocked.running(
         p, ["feed_id"], "__sb", ["us", "seq"], [blocked.Running("stretch", "sum", F.col("__start"))], inclusive=True, derived=True)
+    p = written(p.select("feed_id", "stretch", "rule", "us", "seq", "day"), "points")
+    long = p.groupBy(*_STRETCH).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > max_stretch).select(*_STRETCH)
+    any_long = not long.isEmpty()
+    short = p.join(long, _STRETCH, "left_anti") if any_long else p
     decided = (
-        p.select("feed_id", "stretch", "rule", "us", "seq", "day").repartition("feed_id", "stretch")
-        .sortWithinPartitions("feed_id", "stretch", "us", "seq")
+        short.repartition(*_STRETCH).sortWithinPartitions(*_STRETCH, "us", "seq")
         .mapInPandas(_decide(cooldown_us, daily_cap), "feed_id string, rule string, us long, decision string")
     )
-    first = points.select("feed_id", "rule", "us", F.col("seq").alias("__first"))
-    lead = first.join(decided, ["feed_id", "rule", "us"])
+    if any_long:
+        decided = decided.unionByName(_decide_by_rounds(p.join(long, _STRETCH, "left_semi"), cooldown_us, daily_cap))
+    lead = p.select("feed_id", "rule", "us", F.col("seq").alias("__first")).join(decided, ["feed_id", "rule", "us"])
     out = loud.join(lead, ["feed_id", "rule", "us"]).withColumn(
         "decision", F.when((F.col("seq") > F.col("__first")) & (F.col("decision") == "allow"), "suppress").otherwise(F.col("decision")))
     quiet = tiered.where(F.col("tier") <= 1).withColumn("decision", F.lit("allow"))

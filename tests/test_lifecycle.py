@@ -3,7 +3,7 @@
 import random
 from datetime import datetime, timedelta, timezone
 
-from pyspark.sql import functions as F
+import pytest
 
 from fleetpulse.operators import lifecycle as L
 
@@ -70,7 +70,8 @@ def stepwise(rows, cooldown, cap):
     return out
 
 
-def test_suppression_equals_the_stepwise_model(spark):
+@pytest.mark.parametrize("max_stretch", [2_000_000, 30, 0])
+def test_suppression_equals_the_stepwise_model(spark, max_stretch):
     rng = random.Random(5)
     rows, want, seq = [], {}, 0
     for f in range(12):
@@ -82,7 +83,7 @@ def test_suppression_equals_the_stepwise_model(spark):
         want.update(stepwise(mine, timedelta(hours=6), 2))
         rows += mine
     rng.shuffle(rows)
-    out = L.suppression(spark.createDataFrame(rows, TIERED), daily_cap=2)
+    out = L.suppression(spark.createDataFrame(rows, TIERED), daily_cap=2, max_stretch=max_stretch)
     got = {r.seq: r.decision for r in out.collect()}
     assert got == want and {"allow", "batch", "suppress"} == set(got.values())
 
