@@ -12,7 +12,7 @@ from fleetpulse.session import build_session
 HEADLINE = [
     "scan_log_readings", "flat_export", "flatten_samples", "fold_nested_duplicates", "series_aggregates", "feed_meta",
     "sampling_gaps", "logger_health", "threshold_events", "rate_events", "stale_events", "missing_events",
-    "source_unavailable_events", "all_rules_events", "top_movers", "digest_documents", "load_bands", "pivot_readings",
+    "source_unavailable_events", "all_rules_events", "hot_feed_events", "top_movers", "digest_documents", "load_bands", "pivot_readings",
     "minute_peaks", "incidents", "escalation_tiers", "notification_decisions", "stream_rule_events",
 ]
 

@@ -90,6 +90,23 @@ def threshold_events_with_absence(spark, sf_dir):
     return shown(engine.to_events(engine.transitions(T.poll_stream(spark, sf_dir), [rule], chunk=16)))
 
 
+@query("hot_feed_events", f"""
+WITH RECURSIVE {POLL},
+x AS (SELECT *, row_number() OVER (PARTITION BY feed, sensor, reading ORDER BY ord) AS k
+      FROM (SELECT *, CASE WHEN feed_id::INT % 4 < 3 THEN 'big' ELSE feed_id END AS feed FROM poll)),
+obs AS (SELECT feed AS feed_id, sensor || '/' || reading AS series, k, {threshold_sym('value', '>', 60.0, 30.0)} AS sym, 1::BIGINT AS need FROM x),
+{GATE}
+SELECT e.feed_id, row_number() OVER (PARTITION BY e.feed_id ORDER BY x.ord) AS seq, 'hot' AS rule, e.state, x.raw_timestamp AS timestamp,
+       x.sensor, x.reading, {finite('x.value')} AS value, x.unit, e.n AS samples_in_violation
+FROM edges e JOIN x ON x.feed = e.feed_id AND x.sensor || '/' || x.reading = e.series AND x.k = e.k""")
+def hot_feed_events(spark, sf_dir):
+    """One feed holds three quarters of all polls; its blocks and chunks are spread."""
+    p = T.poll_readings(spark, sf_dir)
+    p = p.withColumn("feed_id", F.when(F.col("feed_id").cast("int") % 4 < 3, "big").otherwise(F.col("feed_id")))
+    rule = make_rule(name="hot", kind="threshold", sensor="user_", op=">", threshold=60.0, clear=30.0)
+    return shown(engine.to_events(engine.transitions(T._with_markers(p), [rule], chunk=1024)))
+
+
 # --- rate, stale, missing, source ------------------------------------------------------------
 
 @query("rate_events", f"""
