@@ -14,16 +14,18 @@ rule's clear region lies inside its non-violating region.
 
 from __future__ import annotations
 
+from dataclasses import asdict
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from fleetpulse.functions import scalars as S
 from fleetpulse.operators import blocked, readings as R
 from fleetpulse.operators.rules import Rule
+from fleetpulse.schema import EVENT_KEYS, RULE_SCHEMA
 
 DEFAULT_CHUNK = 65_536
 NUMBERING_BLOCK = 4_096
 SERIES = ["feed_id", "rule_idx", "sensor", "reading"]
-MATCH_COLUMNS = ["rule_idx", "x", "sig"]
 NO_SERIES = ""  # sensor/reading of rules that watch the source itself
 
 TRANSITION_COLUMNS = [
@@ -354,8 +356,6 @@ def to_events(transitions_: DataFrame) -> DataFrame:
 
 def event_json(events: DataFrame, name: str = "event") -> DataFrame:
     """One JSON line per event, NULL fields written as null."""
-    from fleetpulse.schema import EVENT_KEYS
-
     return events.select(
         "feed_id", "seq", F.to_json(F.struct(*EVENT_KEYS), {"ignoreNullFields": "false"}).alias(name))
 
@@ -368,9 +368,5 @@ def first_fires(events: DataFrame) -> DataFrame:
 
 
 def rules_frame(spark: SparkSession, rules: list[Rule]) -> DataFrame:
-    from dataclasses import asdict
-
-    from fleetpulse.schema import RULE_SCHEMA
-
     rows = [{"rule_idx": i, **asdict(r)} for i, r in enumerate(rules)]
     return spark.createDataFrame(rows, RULE_SCHEMA)

@@ -7,15 +7,15 @@ earlier id, and some fires are classified benign.
 
 from __future__ import annotations
 
+import uuid
 from datetime import date
 
 from pyspark.sql import DataFrame, functions as F
 
 from fleetpulse.operators import lifecycle as L
 from fleetpulse.plans.catalog.registry import query
-from fleetpulse.schema import EVENT_KEYS
-from fleetpulse.session import written
-from fleetpulse.sources import testdata as T
+from fleetpulse.session import shared_folder, written
+from fleetpulse.sources import tables, testdata as T
 
 # Three users of four share one feed, so that one feed holds most events.
 EV = """
@@ -251,11 +251,6 @@ def watcher_failures(spark, sf_dir):
 SELECT strftime(processed_at, '%Y-%m') AS month, CASE state WHEN 'cleared' THEN 'close' ELSE 'open' END AS action, rule, count(*) AS n FROM ev GROUP BY ALL""")
 def action_journal(spark, sf_dir):
     """Append the journal by month and count what was written."""
-    import uuid
-
-    from fleetpulse.session import shared_folder
-    from fleetpulse.sources import tables
-
     path = f"{shared_folder(spark)}/journal-{uuid.uuid4().hex}"
     tables.append_journal(L.journal(events_frame(spark, sf_dir)), path)
     return spark.read.schema("action string, rule string, month string").parquet(path).groupBy("month", "action", "rule").agg(F.count(F.lit(1)).alias("n"))

@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from fleetpulse.operators import digest as D, engine, readings as R, series as A
-from fleetpulse.plans.catalog.registry import DAILY, FOLDED, POLL, finite, query
-from fleetpulse.plans.catalog.rules import ALL_RULES, ALL_SQL, HOT, HOT_SQL, all_events, hot_events
+from fleetpulse.operators import digest as D, readings as R, series as A
+from fleetpulse.plans.catalog.registry import DAILY, FOLDED, POLL, query
+from fleetpulse.plans.catalog.rules import ALL_RULES, ALL_SQL, HOT_SQL, all_events, hot_events
 from fleetpulse.plans.report import ReportOptions, digest
 from fleetpulse.session import written
 from fleetpulse.sources import testdata as T

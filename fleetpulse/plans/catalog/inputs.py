@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
 from datetime import date, datetime, timezone
 
 from pyspark.sql import DataFrame, functions as F
 
 from fleetpulse.functions import scalars as S
 from fleetpulse.operators import readings as R
-from fleetpulse.plans.catalog.registry import DAILY, DENSE, FOLDED, POLL, TYPE_CASE, UNIT_CASE, finite, query
+from fleetpulse.plans.catalog.registry import DAILY, FOLDED, POLL, TYPE_CASE, UNIT_CASE, finite, query
 from fleetpulse.session import shared_folder
 from fleetpulse.sources import sample_log, tables, testdata as T
 
@@ -16,8 +17,6 @@ RAW_LABEL = "CASE event_type WHEN 'view' THEN 'usage' WHEN 'click' THEN 'Clock'
 
 
 def _new_folder(spark, name: str) -> str:
-    import uuid
-
     return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
 
 
@@ -104,7 +103,7 @@ def log_files_round_trip(spark, sf_dir):
         F.col("user_id").cast("string").alias("feed_id"), F.lit(0).cast("long").alias("blk"), F.col("event_id").alias("ord"),
         F.col("ts").cast("timestamp").alias("ts"), T.raw_text(F.col("ts")).alias("raw_timestamp"), F.array(entry).alias("sensors"))
     lines = tables.record_json(samples)
-    lines.repartition("dt").select("dt", "feed_id", "blk", "ord", "value").write.partitionBy("dt").parquet(root)
+    lines.repartitionByRange("dt", "feed_id", "ord").select("dt", "feed_id", "blk", "ord", "value").write.partitionBy("dt").parquet(root)
     days = sample_log.candidate_dates(datetime(2024, 1, 5, tzinfo=timezone.utc), datetime(2024, 1, 6, 12, tzinfo=timezone.utc))
     back = spark.read.parquet(root).where(F.col("dt").between(days[0], days[-1]))  # partition pruning
     parsed = sample_log.good_samples(sample_log.parse_lines(back.withColumn("file", F.lit("f"))))

@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from fleetpulse.operators import blocked, digest as D, engine, readings as R, series as A
+from fleetpulse.functions import scalars as S
+from fleetpulse.operators import blocked, engine, readings as R
 from fleetpulse.operators.rules import Rule, make_rule, prune, prune_rules, rule_errors, with_defaults
-from fleetpulse.plans.catalog.registry import DENSE, GATE, POLL, RAW, UNIT_CASE, finite, query, threshold_sym
-from fleetpulse.schema import EVENT_KEYS
+from fleetpulse.plans.catalog.registry import DENSE, GATE, POLL, UNIT_CASE, finite, query, threshold_sym
 from fleetpulse.sources import testdata as T
 
 SHOWN = ["feed_id", "seq", "rule", "state", "timestamp", "sensor", "reading", "value", "unit", "samples_in_violation"]
@@ -281,8 +281,6 @@ WITH {POLL}, r AS (SELECT op, b FROM (VALUES ('>', 50.0), ('>=', 50.0), ('<', 20
 SELECT r.op, p.reading, count(*) AS n, count_if(NOT isnan(value) AND CASE r.op WHEN '>' THEN value > b WHEN '>=' THEN value >= b WHEN '<' THEN value < b ELSE value <= b END) AS hits
 FROM poll p, r GROUP BY r.op, p.reading""")
 def comparisons(spark, sf_dir):
-    from fleetpulse.functions import scalars as S
-
     p = T.poll_readings(spark, sf_dir)
     bounds = {">": 50.0, ">=": 50.0, "<": 20.0, "<=": 20.0}
     rows = F.explode(F.array(*[F.struct(F.lit(o).alias("op"), S.compare(F.lit(o), F.col("value"), F.lit(b)).alias("hit")) for o, b in bounds.items()]))

@@ -10,7 +10,6 @@ from fleetpulse.operators import readings as R
 from fleetpulse.plans.catalog.digests import GAP_CTE, INTERVAL
 from fleetpulse.plans.catalog.registry import POLL, finite, query
 from fleetpulse.plans.catalog.rules import ALL_RULES, ALL_SQL, SHOWN
-from fleetpulse.functions import scalars as S
 from fleetpulse.session import shared_folder
 from fleetpulse.sources import testdata as T
 from fleetpulse.streaming import engine as E, panels

@@ -5,13 +5,12 @@ import time
 
 import pytest
 
-from fleetpulse.operators import readings as R
 from fleetpulse.plans.catalog.streams import drain
 from fleetpulse.schema import SAMPLE_SCHEMA
 from fleetpulse.streaming import engine as E
 from fleetpulse.streaming import panels
 from tests.brute import run_rules
-from tests.test_engine import RULES, plain, random_ticks, samples_frame
+from tests.test_engine import RULES, random_ticks, samples_frame
 
 
 def feeds(seed, n=5, length=40):
