@@ -8,6 +8,11 @@ from pyspark.sql import DataFrame, SparkSession
 
 from fleetpulse.llm.common import table
 from fleetpulse.llm.exact_dedup import exact_dedup
+from fleetpulse.llm.html_text import extract_pages
+from fleetpulse.llm.jaccard_join import jaccard_components
+from fleetpulse.llm.sequence_pack import pack_documents
+from fleetpulse.llm.source_mix import mix_sources, mix_sql
+from fleetpulse.llm.url_templates import document_labels, judge_urls
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -31,3 +36,34 @@ FROM rows WINDOW w AS (PARTITION BY text_sha256)""")
 def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document with the id of the copy that stays."""
     return exact_dedup(table(spark, sf_dir, "documents"))
+
+
+@query("op2_html_text")
+def op2_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The article of every page."""
+    return extract_pages(table(spark, sf_dir, "pages"))
+
+
+@query("op7_sequence_pack")
+def op7_sequence_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's pieces in sequences of at most 4096 tokens."""
+    return pack_documents(table(spark, sf_dir, "documents"))
+
+
+@query("op3_url_templates")
+def op3_url_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A verdict for every page's url."""
+    pages = table(spark, sf_dir, "pages").select("page_id", "url")
+    return judge_urls(pages, document_labels(pages, table(spark, sf_dir, "labels")))
+
+
+@query("op6_source_mix", mix_sql())
+def op6_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with its weight, its probability and whether it is drawn."""
+    return mix_sources(table(spark, sf_dir, "documents"))
+
+
+@query("op8_jaccard_join")
+def op8_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with the smallest id that it is linked with."""
+    return jaccard_components(table(spark, sf_dir, "documents"))
