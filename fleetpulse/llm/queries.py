@@ -10,8 +10,10 @@ from fleetpulse.llm.common import table
 from fleetpulse.llm.exact_dedup import exact_dedup
 from fleetpulse.llm.html_text import extract_pages
 from fleetpulse.llm.jaccard_join import jaccard_components
+from fleetpulse.llm.kneser_ney import quality
 from fleetpulse.llm.sequence_pack import pack_documents
 from fleetpulse.llm.source_mix import mix_sources, mix_sql
+from fleetpulse.llm.suffix_dedup import suffix_dedup
 from fleetpulse.llm.url_templates import document_labels, judge_urls
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -67,3 +69,15 @@ def op6_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document with the smallest id that it is linked with."""
     return jaccard_components(table(spark, sf_dir, "documents"))
+
+
+@query("op4_kneser_ney")
+def op4_kneser_ney(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's perplexity, its language's limits, and whether it is kept."""
+    return quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@query("op9_suffix_dedup")
+def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's size, and what is left of it without repeated strings."""
+    return suffix_dedup(table(spark, sf_dir, "documents")).drop("kept")
