@@ -14,6 +14,7 @@ from fleetpulse.llm.kneser_ney import quality
 from fleetpulse.llm.sequence_pack import pack_documents
 from fleetpulse.llm.source_mix import mix_sources, mix_sql
 from fleetpulse.llm.suffix_dedup import suffix_dedup
+from fleetpulse.llm.toxicity_knn import toxicity
 from fleetpulse.llm.url_templates import document_labels, judge_urls
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -81,3 +82,9 @@ def op4_kneser_ney(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's size, and what is left of it without repeated strings."""
     return suffix_dedup(table(spark, sf_dir, "documents")).drop("kept")
+
+
+@query("op10_toxicity_knn")
+def op10_toxicity_knn(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's toxicity, with the nearest labelled examples."""
+    return toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))

@@ -9,10 +9,17 @@ from fleetpulse.llm.common import BASE, BYTE_KEYS, doc_slices, mix64, powers
 STEP = np.uint64(0xD6E8FEB86659FD93)
 
 
-def word_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(hash, text) of each word of the texts; A-Z count as a-z, words end at ASCII white space and at the text's end."""
+def word_hashes(data: np.ndarray, offsets: np.ndarray, letters_only: bool = False) -> tuple[np.ndarray, np.ndarray]:
+    """(hash, text) of each word of the texts; A-Z count as a-z.
+
+    Words end at ASCII white space and at the text's end, with ``letters_only`` also at any other
+    ASCII character than letters and digits.
+    """
     data = np.where((data >= 65) & (data <= 90), data + 32, data).astype(np.uint8)
-    solid = ~((data == 32) | ((data >= 9) & (data <= 13)))
+    if letters_only:
+        solid = (data >= 128) | ((data >= 97) & (data <= 122)) | ((data >= 48) & (data <= 57))
+    else:
+        solid = ~((data == 32) | ((data >= 9) & (data <= 13)))
     first = solid.copy()
     first[1:] &= ~solid[:-1]
     edges = offsets[:-1][offsets[:-1] < len(data)]
