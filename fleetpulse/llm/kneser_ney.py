@@ -176,15 +176,15 @@ def perplexities(docs: DataFrame, trusted: DataFrame, order: int = ORDER, block_
 
 
 def quality(
-    docs: DataFrame, labels: DataFrame, high: float = 0.995, low: float = 0.0, order: int = ORDER, block_chars: int = BLOCK_CHARS,
+    docs: DataFrame, labels: DataFrame, high: float = 0.995, low: float | None = None, order: int = ORDER, block_chars: int = BLOCK_CHARS,
     id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang",
 ) -> DataFrame:
     """``doc_id, lang, symbols, perplexity, least, most, kept`` for every document.
 
     ``labels`` has doc_id and quality (0 or 1). Texts with quality 1 are trusted; the model of each
     language is trained on four fifths of them, all of these and whole, and the limits ``least`` and ``most``
-    are quantiles of the perplexities of the other fifth, by language. A document is kept
-    within them.
+    are quantiles of the perplexities of the other fifth, by language (no lower limit with ``low`` None). A
+    document is kept within them.
 
     Nulls: a null text is empty (one closing symbol), a null language is a language of its
     own. Documents of a language without trusted text have no perplexity and are kept, as is anything
@@ -197,9 +197,11 @@ def quality(
     scored = scores.withColumn("perplexity", F.exp(-F.col("log_sum") / F.col("symbols")))
     limits = (
         scored.join(good.filter(fold(F.col("doc_id")) == 0), "doc_id").filter("perplexity is not null").groupBy("lang")
-        .agg(F.percentile("perplexity", F.lit(low)).alias("least"), F.percentile("perplexity", F.lit(high)).alias("most"))
+        .agg((F.lit(None).cast("double") if low is None else F.percentile("perplexity", F.lit(low))).alias("least"),
+             F.percentile("perplexity", F.lit(high)).alias("most"))
     )
-    inside = F.coalesce(F.col("perplexity").between(F.col("least"), F.col("most")), F.lit(True))
+    p = F.col("perplexity")
+    inside = F.coalesce(p <= F.col("most"), F.lit(True)) & F.coalesce(p >= F.col("least"), F.lit(True))
     return scored.join(limits, "lang", "left").select("doc_id", "lang", "symbols", "perplexity", "least", "most", inside.alias("kept"))
 
 

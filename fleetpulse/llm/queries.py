@@ -5,12 +5,14 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from fleetpulse.llm.common import table
 from fleetpulse.llm.exact_dedup import exact_dedup
 from fleetpulse.llm.html_text import extract_pages
 from fleetpulse.llm.jaccard_join import jaccard_components
 from fleetpulse.llm.kneser_ney import quality
+from fleetpulse.llm.nn_descent import nearest_neighbours
 from fleetpulse.llm.sequence_pack import pack_documents
 from fleetpulse.llm.source_mix import mix_sources, mix_sql
 from fleetpulse.llm.suffix_dedup import suffix_dedup
@@ -88,3 +90,9 @@ def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_toxicity_knn(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's toxicity, with the nearest labelled examples."""
     return toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@query("op5_nn_descent")
+def op5_nn_descent(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The nearest five of every fiftieth vector."""
+    return nearest_neighbours(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
