@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+from array import array
 
 import numpy as np
 import regex
@@ -66,18 +67,27 @@ class WordTokenizer:
 
     def word_ids(self, word: bytes) -> bytes:
         text = word.decode()
-        if len(word) <= 64 and b"<|" not in word and PLAIN.fullmatch(text):
+        core = text[:-1] if text[-1] in ".,;:!?" else text
+        if core.isalpha() and len(word) <= 64 and (core.isascii() or max(core) <= "ÿ"):
+            ids = self.piece_ids(core.lower())
+            if len(core) < len(text):
+                ids = ids + self.piece_ids(text[-1])
+        elif len(word) <= 64 and b"<|" not in word and PLAIN.fullmatch(text):
             ids = [i for piece in self.pieces.findall(text.lower()) for i in self.piece_ids(piece)]
         else:
             ids = self.whole.encode(text, add_special_tokens=False).ids
-        return np.array(ids, dtype="<u4").tobytes()
+        return array("I", ids).tobytes()
 
     def encode(self, text: str) -> np.ndarray:
         words, known = text.encode().split(), self.known
-        new = [w for w in set(words) if w not in known]
-        if len(known) + len(new) > self.most:
+        if len(known) > self.most:
             known.clear()
-            new = list(set(words))
-        for w in new:
-            known[w] = self.word_ids(w)
-        return np.frombuffer(b"".join([known[w] for w in words]), dtype="<u4")
+        found = list(map(known.get, words))
+        if None in found:
+            for k, ids in enumerate(found):
+                if ids is None:
+                    word = words[k]
+                    ids = found[k] = known.get(word) or self.word_ids(word)
+                    if len(word) <= 64:
+                        known[word] = ids
+        return np.frombuffer(b"".join(found), dtype=np.uint32)
