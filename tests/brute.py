@@ -1,94 +1,95 @@
-"""Step-by-step models used to check the set-based jobs on small inputs."""
+"""Expected rule events, found by searching each series' row of verdicts.
+
+A verdict is V (in violation), C (in the clear region) or N (neither: not a number,
+between the two levels, or nothing to compare). A rule fires at the end of the first
+stretch of ``for_samples`` V in a row, and clears at the first C after that.
+"""
 
 from __future__ import annotations
 
 import math
+import operator
+import re
+import struct
+
+COMPARE = {">": operator.gt, ">=": operator.ge, "<": operator.lt, "<=": operator.le}
+FIELDS = {"value": 3, "min": 4, "max": 5, "avg": 6}
+
+
+def fires_and_clears(verdicts: str, need: int):
+    """(place, state, samples in violation), by search in the text of verdicts."""
+    at = 0
+    while fire := re.compile("V" * need).search(verdicts, at):
+        yield fire.end() - 1, "fired", need
+        clear = verdicts.find("C", fire.end())
+        if clear < 0:
+            return
+        yield clear, "cleared", need + verdicts.count("V", fire.end(), clear)
+        at = clear + 1
+
+
+def level_verdict(rule, x: float) -> str:
+    if math.isnan(x):
+        return "N"
+    beyond = COMPARE[rule.op]
+    return "V" if beyond(x, rule.threshold) else "N" if beyond(x, rule.clear_level) else "C"
 
-OPS = {">": lambda a, b: a > b, ">=": lambda a, b: a >= b, "<": lambda a, b: a < b, "<=": lambda a, b: a <= b}
+
+def verdict(rule, recent: list):
+    """(verdict, shown value) of the last of a series' readings in consecutive samples."""
+    row, field = recent[-1], FIELDS[rule.metric]
+    if rule.kind == "missing":
+        return "C", None
+    if rule.kind == "stale":
+        bits = [struct.pack("4d", *(math.nan if math.isnan(x) else x for x in r[3:7])) for r in recent[-2:]]
+        return ("N" if len(bits) < 2 else "V" if bits[0] == bits[1] else "C"), row[3]
+    if rule.kind == "rate":
+        if len(recent) < rule.window_samples:
+            return "N", None
+        change = row[field] - recent[-rule.window_samples][field]
+        return level_verdict(rule, change), change
+    return level_verdict(rule, row[field]), row[field]
+
+
+def matching(rule, tick) -> dict:
+    """Series -> (place in the sample, its first matching reading)."""
+    fits = lambda want, have: want is None or want in have.lower()
+    rows = [(k, r) for k, r in enumerate(tick) if fits(rule.sensor, r[0]) and fits(rule.reading, r[1]) and rule.type in (None, r[2])]
+    return {(r[0], r[1]): (k, r) for k, r in reversed(rows)}
+
+
+def series_events(rule, key, samples):
+    """Events of one series; ``samples`` are (tick, matching readings) of the samples that came."""
+    steps, recent, unit = [], [], None
+    for tick, hits in samples:
+        if key in hits:
+            place, row = hits[key]
+            recent.append(row)
+            unit = row[7]
+            sign, shown = verdict(rule, recent)
+            steps.append((sign, tick, (0, place), shown, unit))
+        elif steps:
+            recent = []
+            steps.append(("V" if rule.kind == "missing" else "N", tick, (1, key), None, unit))
+    for at, state, count in fires_and_clears("".join(s[0] for s in steps), rule.for_samples):
+        _, tick, order, shown, unit = steps[at]
+        yield tick, order, (state, *key, shown, unit, count)
 
 
 def run_rules(rules, ticks):
-    """ticks: list of None (unavailable) or list of readings
-    (sensor, reading, type, value, min, max, avg, unit). Returns edges in order:
-    (seq, tick, rule, state, sensor, reading, value, unit, samples)."""
-    out = []
-    memory = [dict() for _ in rules]
-    source = [dict(fired=False, run=0, total=0) for _ in rules]
-
-    def step(g, verdict, need):
-        if verdict == "V":
-            if g["fired"]:
-                g["total"] += 1
-            else:
-                g["run"] += 1
-                if g["run"] == need:
-                    g["fired"], g["total"] = True, g["run"]
-                    return ("fired", need)
-        elif verdict == "C":
-            if g["fired"]:
-                total = g["total"]
-                g.update(fired=False, run=0, total=0)
-                return ("cleared", total)
-            g["run"] = 0
-        elif verdict == "H" and not g["fired"]:
-            g["run"] = 0
-        return None
-
-    for t, tick in enumerate(ticks, 1):
-        for i, r in enumerate(rules):
-            if r.kind == "source-unavailable":
-                e = step(source[i], "V" if tick is None else "C", r.for_samples)
-                if e:
-                    out.append((t, r.name, e[0], None, None, None, None, e[1]))
-                continue
-            if tick is None:
-                continue
-            seen = set()
-            for s, n, ty, v, lo, hi, av, u in tick:
-                if r.sensor is not None and r.sensor not in s.lower():
-                    continue
-                if r.reading is not None and r.reading not in n.lower():
-                    continue
-                if r.type is not None and r.type != ty:
-                    continue
-                if (s, n) in seen:
-                    continue
-                seen.add((s, n))
-                m = memory[i].setdefault((s, n), dict(fired=False, run=0, total=0, base=None, win=[]))
-                m["unit"] = u
-                x = {"value": v, "min": lo, "max": hi, "avg": av}[r.metric]
-                shown, verdict = x, None
-                if r.kind == "missing":
-                    verdict, shown = "C", None
-                elif r.kind == "stale":
-                    now = tuple("nan" if math.isnan(q) else q.hex() for q in (v, lo, hi, av))
-                    if m["base"] is not None:
-                        verdict = "V" if m["base"] == now else "C"
-                    m["base"], shown = now, v
-                else:
-                    if r.kind == "rate":
-                        width = r.window_samples - 1
-                        shown = x - m["win"][0] if len(m["win"]) == width else None
-                        m["win"] = (m["win"] + [x])[-width:]
-                    if shown is not None:
-                        if math.isnan(shown):
-                            verdict = "H"
-                        elif OPS[r.op](shown, r.threshold):
-                            verdict = "V"
-                        elif m["fired"] and OPS[r.op](shown, r.clear_level):
-                            verdict = None
-                        else:
-                            verdict = "C"
-                e = step(m, verdict, r.for_samples) if verdict else None
-                if e:
-                    out.append((t, r.name, e[0], s, n, shown, u, e[1]))
-            for (s, n), m in sorted(memory[i].items()):
-                if (s, n) in seen:
-                    continue
-                if r.kind == "missing":
-                    e = step(m, "V", r.for_samples)
-                    if e:
-                        out.append((t, r.name, e[0], s, n, None, m["unit"], e[1]))
-                else:
-                    m.update(run=0, base=None, win=[])
-    return [(k, *e) for k, e in enumerate(out, 1)]
+    """All events in order: (seq, tick, rule, state, sensor, reading, value, unit, samples).
+
+    ``ticks`` holds None (no data) or a list of readings (sensor, reading, type, value,
+    min, max, avg, unit).
+    """
+    found = []
+    for i, rule in enumerate(rules):
+        if rule.kind == "source-unavailable":
+            states = "".join("V" if t is None else "C" for t in ticks)
+            found += [(at + 1, i, (0, 0), (state, None, None, None, None, n)) for at, state, n in fires_and_clears(states, rule.for_samples)]
+            continue
+        samples = [(k, matching(rule, t)) for k, t in enumerate(ticks, 1) if t is not None]
+        for key in {key for _, hits in samples for key in hits}:
+            found += [(tick, i, order, event) for tick, order, event in series_events(rule, key, samples)]
+    found.sort(key=lambda e: e[:3])
+    return [(seq, tick, rules[i].name, *event) for seq, (tick, i, _, event) in enumerate(found, 1)]
