@@ -164,4 +164,4 @@ def mover_score(first: Column, last: Column) -> Column:
 
 def leading_timestamp(line: Column) -> Column:
     """The timestamp text when it is the record's first key, else ''."""
-    return F.regexp_extract(F.substring(line, 1, 96), r'^\s*\{\s*"timestamp"\s*:\s*"([^"\\]*)"', 1)
+    return F.regexp_extract(line, r'^\s*\{\s*"timestamp"\s*:\s*"([^"\\]*)"', 1)

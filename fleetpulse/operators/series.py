@@ -46,14 +46,20 @@ def series_aggregates(folded: DataFrame) -> DataFrame:
     return merged.withColumn("delta", F.col("last") - F.col("first"))
 
 
-def feed_meta(ticks: DataFrame) -> DataFrame:
-    """Sample count and first/last raw timestamps in stream order, per feed."""
+def feed_meta(ticks: DataFrame, feeds: DataFrame | None = None) -> DataFrame:
+    """Sample count and first/last raw timestamps in stream order, per feed.
+
+    ``feeds`` names all feeds; one without a good sample has 0 of them and no times.
+    """
     row = F.struct("blk", "ord", "raw_timestamp", "ts")
-    return ticks.where("available").groupBy("feed_id").agg(
+    meta = ticks.where("available").groupBy("feed_id").agg(
         F.count(F.lit(1)).alias("samples"), F.min(row).alias("a"), F.max(row).alias("z"),
     ).select(
         "feed_id", "samples", F.col("a.raw_timestamp").alias("first_sample"),
         F.col("z.raw_timestamp").alias("last_sample"), F.col("z.ts").alias("last_ts"))
+    if feeds is None:
+        return meta
+    return feeds.select("feed_id").distinct().join(meta, "feed_id", "left").na.fill(0, ["samples"])
 
 
 def series_total(readings: DataFrame) -> DataFrame:

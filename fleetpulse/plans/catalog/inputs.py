@@ -8,7 +8,7 @@ from datetime import date, datetime, timezone
 from pyspark.sql import DataFrame, functions as F
 
 from fleetpulse.functions import scalars as S
-from fleetpulse.operators import readings as R
+from fleetpulse.operators import readings as R, series as A
 from fleetpulse.plans.catalog.registry import DAILY, FOLDED, POLL, TYPE_CASE, UNIT_CASE, finite, query
 from fleetpulse.session import shared_folder
 from fleetpulse.sources import sample_log, tables, testdata as T
@@ -52,6 +52,47 @@ _PROBLEM = """CASE event_id % 23 WHEN 0 THEN 'not JSON' WHEN 1 THEN 'field missi
   WHEN 7 THEN 'not JSON' WHEN 9 THEN 'field missing' END"""
 
 
+BROKEN = (0, 1, 2, 5, 7, 9)  # values of event_id % 23 whose lines are damaged, see log_lines
+_WITH_DEAD = f"""
+line AS (SELECT CASE WHEN event_id % 23 IN {BROKEN} THEN 'bad/' || (user_id % 7)::VARCHAR ELSE user_id::VARCHAR END AS feed_id, event_id, ts,
+                strftime(ts, '%Y-%m-%dT%H:%M:%S.%fZ') AS raw, event_id % 23 NOT IN {BROKEN} AS good FROM events WHERE event_id % 23 <> 4),
+meta AS (SELECT feed_id, count_if(good) AS samples, count_if(NOT good) AS skipped_lines, arg_min(raw, event_id) FILTER (good) AS first_sample,
+                arg_max(raw, event_id) FILTER (good) AS last_sample, arg_max(ts, event_id) FILTER (good) AS last_ts FROM line GROUP BY feed_id)"""
+
+
+def meta_with_dead_feeds(spark, sf_dir) -> DataFrame:
+    """Feeds of good lines, and feeds that hold nothing but damaged ones."""
+    dead = F.concat(F.lit("bad/"), (F.col("feed_id").cast("bigint") % 7).cast("string"))
+    lines = log_lines(spark, sf_dir).withColumn("feed_id", F.when((F.col("ord") % 23).isin(*BROKEN), dead).otherwise(F.col("feed_id")))
+    parsed = sample_log.parse_lines(lines)
+    ticks = R.markers(R.to_stream(sample_log.good_samples(parsed)))
+    return A.feed_meta(ticks, parsed.select("feed_id")).join(sample_log.skipped_lines(parsed), "feed_id", "left")
+
+
+@query("report_dead_feeds", f"WITH {_WITH_DEAD} SELECT feed_id, samples, first_sample, last_sample, skipped_lines FROM meta")
+def report_dead_feeds(spark, sf_dir):
+    return meta_with_dead_feeds(spark, sf_dir).drop("last_ts")
+
+
+@query("freshness_all_branches", f"""WITH {_WITH_DEAD},
+aimed AS (SELECT feed_id, samples, CASE WHEN k = 5 THEN NULL ELSE last_ts END AS last_ts,
+            coalesce(last_ts, TIMESTAMP '2024-01-15') + to_seconds(CASE k WHEN 3 THEN -1 WHEN 4 THEN 100 ELSE 5 END) AS until,
+            CASE k WHEN 1 THEN -1 WHEN 2 THEN 601 ELSE 10 END AS age
+          FROM (SELECT *, coalesce(try_cast(feed_id AS INT), 0) % 7 AS k FROM meta))
+SELECT feed_id, CASE WHEN age < 0 THEN 'window ends after now' WHEN age > 600 THEN 'window is too old' WHEN samples = 0 THEN 'no samples'
+  WHEN last_ts IS NULL THEN 'no last sample' WHEN until < last_ts THEN 'last sample after window end'
+  WHEN epoch(until) - epoch(last_ts) > 30 THEN 'last sample too old' ELSE 'fresh' END AS fresh_reason FROM aimed""")
+def freshness_all_branches(spark, sf_dir):
+    """Window ends and times of asking are aimed so that every reason occurs."""
+    k = F.coalesce(F.expr("try_cast(feed_id AS int)"), F.lit(0)) % 7
+    seconds = F.when(k == 3, -1).when(k == 4, 100).otherwise(5)
+    base = F.coalesce("last_ts", F.lit("2024-01-15 00:00:00").cast("timestamp"))
+    m = meta_with_dead_feeds(spark, sf_dir).withColumn("until", F.timestamp_seconds(base.cast("double") + seconds))
+    m = m.withColumn("now", F.timestamp_seconds(F.col("until").cast("double") + F.when(k == 1, -1).when(k == 2, 601).otherwise(10)))
+    m = m.withColumn("last_ts", F.when(k != 5, F.col("last_ts")))
+    return A.freshness(m, F.col("until"), F.col("until"), F.col("now"), 10).select("feed_id", "fresh_reason")
+
+
 @query("scan_log_records", f"""
 SELECT user_id::VARCHAR AS feed_id, {_PROBLEM} AS problem, count(*) AS n FROM events WHERE event_id % 23 <> 4 GROUP BY ALL""")
 def scan_log_records(spark, sf_dir):

@@ -25,7 +25,9 @@ class ReportOptions:
     chunk: int = engine.DEFAULT_CHUNK
 
 
-def report_parts(stream: DataFrame, folded: DataFrame, rules: list[Rule], opt: ReportOptions) -> dict[str, DataFrame]:
+def report_parts(
+    stream: DataFrame, folded: DataFrame, rules: list[Rule], opt: ReportOptions, feeds: DataFrame | None = None,
+) -> dict[str, DataFrame]:
     """The frames a digest is made of, before anything is cut to size.
 
     Events, series and gaps are read several times below and are small next to
@@ -37,7 +39,7 @@ def report_parts(stream: DataFrame, folded: DataFrame, rules: list[Rule], opt: R
     events = written(engine.to_events(engine.transitions(stream, rules, opt.chunk)), "events")
     return {
         "ticks": ticks, "events": events, "series": written(D.flag_violated(series, events), "series"),
-        "gaps": written(A.gaps(ticks, opt.interval_seconds), "gaps"), "meta": A.feed_meta(ticks),
+        "gaps": written(A.gaps(ticks, opt.interval_seconds), "gaps"), "meta": A.feed_meta(ticks, feeds),
     }
 
 
@@ -47,7 +49,9 @@ def digest_inputs(
 ) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
     """(meta with exact totals, violations, gaps, ranked rows): the lists are at
     their caps but not yet cut to a byte budget."""
-    p = report_parts(stream, folded, rules, opt)
+    # A feed whose lines are all broken, or all outside the window, still has a digest.
+    feeds = None if parsed is None else parsed.select("feed_id").union(stream.select("feed_id"))
+    p = report_parts(stream, folded, rules, opt, feeds)
     shown_rows = p["series"].where(R.display_filter(opt.match, opt.type_label))
     typed = D.with_series_type(p["events"], p["series"])
     keep = D.violation_filter(opt.match, opt.type_label)

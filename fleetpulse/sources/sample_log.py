@@ -17,6 +17,8 @@ from fleetpulse.functions import scalars as S
 from fleetpulse.schema import MAX_LINE_BYTES, RECORD_SCHEMA
 
 PREFIX = "sensors_"
+#: The window's length where only its end is given.
+DEFAULT_LAST = timedelta(hours=24)
 LINE_SCHEMA = "feed_id string, file string, blk bigint, ord bigint, value string"
 _SPLIT_BITS = 44  # a block start fits below this, a day number above it
 
@@ -36,13 +38,21 @@ def candidate_dates(since: datetime, until: datetime, zone: str = "UTC") -> list
     return out
 
 
+def window(
+    since: datetime | None, until: datetime | None, last: timedelta = DEFAULT_LAST, now: datetime | None = None,
+) -> tuple[datetime, datetime]:
+    """Both ends of a window: ``until`` defaults to now, ``since`` to ``last`` before ``until``."""
+    until = until or now or datetime.now(timezone.utc)
+    return since or until - last, until
+
+
 def read_lines(
     spark: SparkSession, root: str, since: datetime | None = None, until: datetime | None = None,
     prefix: str = PREFIX, zone: str = "UTC",
 ) -> DataFrame:
     """Raw lines of all feeds under ``root``; files outside the padded window are
     not opened, and a missing folder is an empty result."""
-    days = candidate_dates(since, until, zone) if since and until else None
+    days = candidate_dates(*window(since, until), zone) if since or until else None
     glob = f"{prefix}{{{','.join(days)}}}.jsonl" if days else f"{prefix}????-??-??.jsonl"
     try:
         text = (
@@ -69,11 +79,11 @@ def _place(text: DataFrame, prefix: str) -> DataFrame:
 
 def drop_outside(lines: DataFrame, since: Column, until: Column) -> DataFrame:
     """Drop lines outside the window by their leading timestamp, before the
-    readings are parsed. Lines that are not JSON stay, to be counted."""
+    readings are parsed. Lines that are not JSON or too long stay, to be counted."""
     lead = S.leading_timestamp(F.col("value"))
     at = F.when(S.has_offset(lead), F.try_to_timestamp(F.when(lead != "", lead)))
     probe = F.from_json("value", "timestamp string, _bad string", _OPTIONS)
-    outside = F.coalesce(~at.between(since, until), F.lit(False))
+    outside = (F.octet_length("value") <= MAX_LINE_BYTES) & F.coalesce(~at.between(since, until), F.lit(False))
     whole = F.when(outside, probe["_bad"].isNull() & F.rtrim(_clean()).endswith("}")).otherwise(False)
     return lines.where(~F.coalesce(whole, F.lit(False)))
 
@@ -131,7 +141,12 @@ def scan(
     spark: SparkSession, root: str, since: datetime | None = None, until: datetime | None = None,
     prefix: str = PREFIX, zone: str = "UTC",
 ) -> tuple[DataFrame, DataFrame]:
-    """(samples in the window, parsed lines for the counts)."""
+    """(samples in the window, parsed lines for the counts).
+
+    Without both ends everything is read; with one, ``window`` gives the other.
+    """
+    if since or until:
+        since, until = window(since, until)
     lines = read_lines(spark, root, since, until, prefix, zone)
     if since and until:
         a, b = F.lit(since.astimezone(timezone.utc)), F.lit(until.astimezone(timezone.utc))
