@@ -50,7 +50,7 @@ class Index:
         place = np.empty(len(toxic), np.int64)
         self.order = np.argsort(strongest, kind="stable")  # neighbours by content share blocks
         place[self.order] = np.arange(len(toxic))
-        self.vocabulary, self.idf, self.toxic = vocabulary, idf, toxic[self.order]
+        self.vocabulary, self.idf, self.toxic = vocabulary, idf, np.append(toxic[self.order], 0)
         self.blocks = max(1, -(-len(toxic) // BLOCK))
         at = place[example]
         self.rows, self.parts, most = [], [], np.zeros((len(vocabulary), self.blocks), np.float32)
