@@ -56,9 +56,6 @@ def select_metric(metric: Column, value: Column, low: Column, high: Column, avg:
     return F.when(metric == "min", low).when(metric == "max", high).when(metric == "avg", avg).otherwise(value)
 
 
-def contains_ci(c: Column, needle: str) -> Column:
-    return F.lower(c).contains(needle.strip().lower())
-
 
 def any_of(conditions: list[Column]) -> Column:
     return reduce(lambda a, b: a | b, conditions, F.lit(False))

@@ -17,7 +17,7 @@ from fleetpulse.functions import scalars as S
 from fleetpulse.operators import blocked
 from fleetpulse.schema import (
     ACKED_IDS_KEPT, DEFAULT_BLIND_AFTER, DEFAULT_COOLDOWN_SECONDS, DEFAULT_DAILY_CAP,
-    DEFAULT_SNOOZE_SECONDS, EVENT_KEYS, EVENT_SCHEMA_VERSION, SEVERITIES, STATES,
+    DEFAULT_SNOOZE_SECONDS, EVENT_KINDS, EVENT_SCHEMA_VERSION, SEVERITIES, STATES,
 )
 from fleetpulse.session import written
 
@@ -30,14 +30,6 @@ def _blocked(events: DataFrame) -> DataFrame:
 
 # --- event contract ---------------------------------------------------------------
 
-_KIND_OF = {
-    "schema_version": "int", "seq": "int", "samples_in_violation": "int",
-    "id": "text!", "rule": "text!", "type": "text", "severity": "severity", "state": "state",
-    "timestamp": "instant", "sensor": "text?", "reading": "text?", "unit": "text?",
-    "value": "number?", "threshold": "number?",
-}
-
-
 def check_events(lines: DataFrame, column: str = "line") -> DataFrame:
     """Add ``reasons`` (array of text, empty when valid) to JSON event lines."""
     doc = F.try_parse_json(F.col(column))
@@ -46,7 +38,7 @@ def check_events(lines: DataFrame, column: str = "line") -> DataFrame:
     is_object = F.coalesce(kind.startswith("OBJECT"), F.lit(False))
     present = F.from_json(F.col(column), "map<string,string>")
     checks = [F.when(~is_object, F.lit("not an object"))]
-    for key in EVENT_KEYS:
+    for key in EVENT_KINDS:
         got = F.try_variant_get("__doc", f"$.{key}", "variant")
         ty = F.schema_of_variant(got)
         text = F.try_variant_get("__doc", f"$.{key}", "string")
@@ -55,7 +47,7 @@ def check_events(lines: DataFrame, column: str = "line") -> DataFrame:
         is_text = F.coalesce(ty == "STRING", F.lit(False))
         is_int = F.coalesce(ty == "BIGINT", F.lit(False))
         is_num = is_int | F.coalesce(ty.startswith("DECIMAL") | ty.isin("DOUBLE", "FLOAT"), F.lit(False))
-        want = _KIND_OF[key]
+        want = EVENT_KINDS[key]
         ok = {
             "int": is_int,
             "text": is_text, "text!": is_text & (text != ""), "text?": is_null | is_text, "number?": is_null | is_num,

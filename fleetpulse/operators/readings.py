@@ -155,10 +155,6 @@ def _newest(df: DataFrame) -> DataFrame:
     return last.select("feed_id", "blk", "ord")
 
 
-def latest_samples(samples: DataFrame) -> DataFrame:
-    """The newest sample of every feed, by stream order."""
-    return samples.join(_newest(samples.where("available")), ["feed_id", "blk", "ord"], "left_semi")
-
 
 def latest_readings(readings: DataFrame) -> DataFrame:
     return readings.join(_newest(readings), ["feed_id", "blk", "ord"], "left_semi")

@@ -151,6 +151,30 @@ def log_files_round_trip(spark, sf_dir):
     return parsed.groupBy("feed_id", F.to_date("ts").cast("string").alias("day")).agg(F.count(F.lit(1)).alias("samples"))
 
 
+@query("written_log_scan", """
+WITH day AS (SELECT user_id::VARCHAR AS feed_id, ts::DATE AS dt, count(*) AS n, count_if(event_id % 23 = 0) AS broken,
+               count_if(event_id % 23 <> 0 AND ts BETWEEN TIMESTAMP '2024-01-05 06:00:00' AND TIMESTAMP '2024-01-07 18:00:00') AS good
+             FROM events WHERE ts::DATE BETWEEN DATE '2024-01-04' AND DATE '2024-01-08' GROUP BY ALL)
+SELECT feed_id, sum(good)::BIGINT AS samples, sum(broken)::BIGINT AS skipped_lines, count(*) AS days FROM day GROUP BY feed_id""")
+def written_log_scan(spark, sf_dir):
+    """Write a log of many days, then scan a window of it: pruned folders, samples inside, and broken lines of the days read."""
+    root = _new_folder(spark, "days")
+    e = T.table(spark, sf_dir, "events")
+    entry = F.struct(*[F.lit(x).alias(n) for n, x in (("sensor", "s"), ("reading", "r"), ("type", "Clock"))],
+                     *[F.col("value").alias(n) for n in ("value", "min", "max", "avg")], F.lit("u").alias("unit"))
+    stamp = F.when(F.col("event_id") % 23 == 0, F.lit("no time")).otherwise(T.raw_text(F.col("ts")))
+    tables.write_log(e.select(
+        F.col("user_id").cast("string").alias("feed_id"), F.lit(0).cast("long").alias("blk"), F.col("event_id").alias("ord"),
+        F.col("ts").cast("timestamp").alias("ts"), stamp.alias("raw_timestamp"), F.array(entry).alias("sensors")), root)
+    since, until = datetime(2024, 1, 5, 6, tzinfo=timezone.utc), datetime(2024, 1, 7, 18, tzinfo=timezone.utc)
+    parsed = sample_log.parse_lines(sample_log.read_written(spark, root, since, until))
+    day = F.substring("file", 1, 10)
+    inside = F.try_to_timestamp("rec.timestamp").between(F.lit(since), F.lit(until)) & F.col("problem").isNull()
+    return parsed.groupBy("feed_id").agg(
+        F.count_if(F.coalesce(inside, F.lit(False))).alias("samples"), F.count_if(F.col("problem").isNotNull()).alias("skipped_lines"),
+        F.countDistinct(day).alias("days"))
+
+
 @query("log_record_json", f"""
 SELECT user_id::VARCHAR AS feed_id, event_id AS ord,
   '{{"timestamp":"' || strftime(ts, '%Y-%m-%dT%H:%M:%S.%fZ') || '","sensors":[{{"sensor":"user_' || user_id || '","reading":"' || event_type

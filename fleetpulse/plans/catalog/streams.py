@@ -57,7 +57,7 @@ def stream_event_log(spark, sf_dir):
     base = f"{shared_folder(spark)}/follow-{uuid.uuid4().hex}"
     q = E.follow(E.stream_events(E.stream_transitions(event_stream(spark, sf_dir), ALL_RULES)), f"{base}/log", f"{base}/state", availableNow=True)
     q.awaitTermination()
-    log = spark.read.schema("rule string, state string, batch int, written date").parquet(f"{base}/log")
+    log = spark.read.schema("rule string, state string, query string, batch int, written date").parquet(f"{base}/log")
     return log.groupBy("rule", "state").agg(F.count(F.lit(1)).alias("n"))
 
 

@@ -111,9 +111,3 @@ def watch_replay(spark: SparkSession, root: str, rules: list[Rule]) -> DataFrame
     """Every event of a full replay of the logs."""
     samples, _ = sample_log.scan(spark, root)
     return engine.to_events(engine.transitions(R.to_stream(samples), rules))
-
-
-def export_frame(spark: SparkSession, root: str, since: datetime, until: datetime) -> DataFrame:
-    """Flat export rows of a window: scan, flatten, project; no shuffle."""
-    samples, _ = sample_log.scan(spark, root, since, until)
-    return R.flatten(samples)

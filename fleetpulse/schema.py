@@ -12,11 +12,13 @@ METRICS = ["value", "min", "max", "avg"]
 OPS = [">", ">=", "<", "<="]
 SEVERITIES = ["info", "warning", "critical"]
 STATES = ["fired", "cleared"]
-CLASSIFICATIONS = ["benign", "anomaly", "incident"]
-EVENT_KEYS = [
-    "schema_version", "seq", "id", "rule", "type", "severity", "state", "timestamp",
-    "sensor", "reading", "value", "unit", "threshold", "samples_in_violation",
-]
+# The keys of an event in contract order, each with what its value may be.
+EVENT_KINDS = {
+    "schema_version": "int", "seq": "int", "id": "text!", "rule": "text!", "type": "text", "severity": "severity", "state": "state",
+    "timestamp": "instant", "sensor": "text?", "reading": "text?", "value": "number?", "unit": "text?", "threshold": "number?",
+    "samples_in_violation": "int",
+}
+EVENT_KEYS = list(EVENT_KINDS)
 EVENT_SCHEMA_VERSION = 1
 DIGEST_SCHEMA_VERSION = 1
 

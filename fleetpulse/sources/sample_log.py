@@ -21,6 +21,7 @@ PREFIX = "sensors_"
 DEFAULT_LAST = timedelta(hours=24)
 LINE_SCHEMA = "feed_id string, file string, blk bigint, ord bigint, value string"
 _SPLIT_BITS = 44  # a block start fits below this, a day number above it
+_PART_BITS = 30  # of a written log: starts below (parts of under 1 GiB), part numbers above
 
 _NUMBERS = "value|min|max|avg"
 _TEXTS = "timestamp|sensor|reading|type|unit"
@@ -64,6 +65,26 @@ def read_lines(
     return _place(text, prefix)
 
 
+def read_written(
+    spark: SparkSession, root: str, since: datetime | None = None, until: datetime | None = None, zone: str = "UTC",
+) -> DataFrame:
+    """Lines of a log that ``tables.write_log`` wrote: folders ``feed_id=`` and ``dt=``, numbered parts.
+
+    Folders outside the padded window are pruned before any file is opened. A part's number
+    goes into its block, so that the parts of a day keep their order.
+    """
+    text = spark.read.schema("value string, feed_id string, dt date").option("lineSep", "\n").text(root)
+    if since or until:
+        days = candidate_dates(*window(since, until), zone)
+        text = text.where(F.col("dt").between(days[0], days[-1]))
+    part = F.regexp_extract(F.col("_metadata.file_name"), r"^part-(\d+)", 1).cast("long")
+    return text.select(
+        "feed_id", F.concat_ws("/", F.col("dt").cast("string"), F.col("_metadata.file_name")).alias("file"),
+        (F.shiftleft(F.unix_date("dt").cast("long"), _SPLIT_BITS) + F.shiftleft(part, _PART_BITS)
+         + F.col("_metadata.file_block_start")).alias("blk"),
+        F.monotonically_increasing_id().alias("ord"), "value")
+
+
 def _place(text: DataFrame, prefix: str) -> DataFrame:
     path = F.col("_metadata.file_path")
     date = F.regexp_extract(path, r"(\d{4}-\d{2}-\d{2})\.jsonl$", 1)

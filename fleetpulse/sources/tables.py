@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Observation, SparkSession, functions
 
 from fleetpulse.functions import scalars as S
 from fleetpulse.operators import readings as R
-from fleetpulse.schema import EVENT_KEYS, EXPORT_COLUMNS
+from fleetpulse.schema import EXPORT_COLUMNS
 from fleetpulse.sources.sample_log import PREFIX
 
 _EXPORT_DDL = "timestamp timestamp, sensor string, reading string, type string, value double, unit string"
@@ -64,19 +64,14 @@ def record_json(samples: DataFrame) -> DataFrame:
 def write_log(samples: DataFrame, root: str) -> None:
     """Append samples as text, partitioned by feed and day, in stream order
     inside each day. Days of a feed are independent, and a big day may span
-    several files because rows are range-partitioned, not gathered."""
+    several files because rows are range-partitioned, not gathered.
+    ``sample_log.read_written`` reads it."""
     lines = record_json(samples)
     (lines.repartitionByRange("feed_id", "dt", "blk", "ord")
      .sortWithinPartitions("feed_id", "dt", "blk", "ord")
      .select("feed_id", "dt", "value").write.mode("append").partitionBy("feed_id", "dt").text(root))
 
 
-def append_events(events: DataFrame, path: str, written: date | None = None) -> None:
-    """Append events under the day they are written, not the day they happened."""
-    day = F.lit(written) if written else F.current_date()
-    (events.select("feed_id", *EVENT_KEYS, day.alias("written"))
-     .write.mode("append").partitionBy("written").parquet(path))
-
 
 def append_journal(journal: DataFrame, path: str) -> None:
     journal.write.mode("append").partitionBy("month").parquet(path)

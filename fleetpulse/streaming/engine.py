@@ -261,10 +261,12 @@ def stream_events(edges: DataFrame) -> DataFrame:
 def follow(events: DataFrame, path: str, checkpoint: str, **trigger) -> StreamingQuery:
     """Append every event to the daily event log, dated by the time of writing.
 
-    Each micro-batch owns one folder and overwrites it when it is run again, so a
-    retry leaves no event twice.
+    Each micro-batch of a query owns one folder and overwrites it when it is run
+    again, so a retry leaves no event twice. The query's id lives as long as its
+    checkpoint; a new checkpoint, which counts from 0 again, writes beside what is there.
     """
     def write(batch: DataFrame, batch_id: int) -> None:
-        batch.withColumn("written", F.current_date()).write.mode("overwrite").partitionBy("written").parquet(f"{path}/batch={batch_id}")
+        query = batch.sparkSession.sparkContext.getLocalProperty("sql.streaming.queryId")
+        batch.withColumn("written", F.current_date()).write.mode("overwrite").partitionBy("written").parquet(f"{path}/query={query}/batch={batch_id}")
 
     return events.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).outputMode("append").trigger(**(trigger or {"processingTime": "10 seconds"})).start()
