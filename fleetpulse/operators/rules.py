@@ -184,7 +184,11 @@ def load_rules(rules: DataFrame) -> list[Rule]:
 
 
 def make_rule(**given) -> Rule:
-    """A Rule from keyword values, normalised like ``with_defaults``."""
+    """A Rule from keyword values, normalised like ``with_defaults``.
+
+    What the engine relies on is checked here too: known words, ranges, and a clear level that
+    is not inside the violating region.
+    """
     rule = dict(given)
     rule["name"] = rule["name"].strip()
     for k in ("sensor", "reading"):
@@ -195,4 +199,16 @@ def make_rule(**given) -> Rule:
     for k in ("threshold", "clear"):
         if rule.get(k) is not None and not math.isfinite(rule[k]):
             raise ValueError(f"{rule['name']}: {k} must be finite")
-    return Rule(**rule)
+    r = Rule(**rule)
+    leveled = r.kind in ("threshold", "rate")
+    problems = [text for text, bad in (
+        ("kind not known", r.kind not in RULE_KINDS), ("metric not known", r.metric not in METRICS), ("severity not known", r.severity not in SEVERITIES),
+        ("op required", leveled and r.op not in OPS), ("threshold required", leveled and r.threshold is None),
+        ("for_samples out of range", not 1 <= r.for_samples <= MAX_SAMPLES),
+        ("window_samples out of range", r.kind == "rate" and not 2 <= (r.window_samples or 0) <= MAX_SAMPLES),
+        ("clear on the wrong side", leveled and r.op in OPS and r.threshold is not None and r.clear is not None
+         and (r.clear > r.threshold if r.op[0] == ">" else r.clear < r.threshold)),
+    ) if bad]
+    if problems:
+        raise ValueError(f"{r.name}: {', '.join(problems)}")
+    return r
