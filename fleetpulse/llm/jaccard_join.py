@@ -8,7 +8,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
@@ -51,11 +51,12 @@ def shingle_table(docs: DataFrame, k: int, id_col: str, text_col: str) -> DataFr
 
 
 def prefix_rows(docs: DataFrame, k: int, percent: int, id_col: str, text_col: str, flush: int = 1_500_000) -> DataFrame:
-    """``h, docs, pos``: for each of the first shingles of some documents, which documents they are and where it stands.
+    """``h, doc, at, more``: for each of the first shingles of some documents, which documents they are and where it stands.
 
     Rows of one map task that share a shingle are one row, so a common shingle costs a row per task.
     """
-    schema = pa.schema([("h", pa.int64()), ("docs", pa.list_(pa.int64())), ("pos", pa.list_(pa.int32()))])
+    others = pa.list_(pa.struct([("doc", pa.int64()), ("at", pa.int32())]))
+    schema = pa.schema([("h", pa.int64()), ("doc", pa.int64()), ("at", pa.int32()), ("more", others)])
 
     def emitted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         h, ids, pos, held = [], [], [], 0
@@ -64,10 +65,14 @@ def prefix_rows(docs: DataFrame, k: int, percent: int, id_col: str, text_col: st
             a, d, p = np.concatenate(h), np.concatenate(ids), np.concatenate(pos)
             order = np.argsort(a, kind="stable")
             a, d, p = a[order], d[order], p[order]
-            starts = np.flatnonzero(np.append(True, a[1:] != a[:-1])) if len(a) else np.zeros(0, np.int64)
-            cuts = pa.array(np.append(starts, len(a)).astype(np.int32))
-            return pa.record_batch([pa.array(a[starts].view(np.int64)), pa.ListArray.from_arrays(cuts, pa.array(d)),
-                                    pa.ListArray.from_arrays(cuts, pa.array(p))], schema=schema)
+            starts = np.flatnonzero(np.append(True, a[1:] != a[:-1]))
+            ends = np.append(starts[1:], len(a))
+            rest = np.ones(len(a), bool)
+            rest[starts] = False
+            cuts = np.concatenate([[0], np.cumsum(ends - starts - 1)])
+            offsets = pa.array(cuts.astype(np.int32), mask=np.append(ends - starts == 1, False))  # null: no others
+            more = pa.ListArray.from_arrays(offsets, pa.StructArray.from_arrays([pa.array(d[rest]), pa.array(p[rest])], names=["doc", "at"]))
+            return pa.record_batch([pa.array(a[starts].view(np.int64)), pa.array(d[starts]), pa.array(p[starts]), more], schema=schema)
 
         for batch in batches:
             data, offsets = string_bytes(batch.column(1))
@@ -84,10 +89,19 @@ def prefix_rows(docs: DataFrame, k: int, percent: int, id_col: str, text_col: st
             yield rows()
 
     rows = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), text_col).filter("doc_id is not null")
-    return rows.mapInArrow(emitted, "h bigint, docs array<bigint>, pos array<int>")
+    return rows.mapInArrow(emitted, "h bigint, doc bigint, at int, more array<struct<doc: bigint, at: int>>")
 
 
-def tile_rows(rows: DataFrame, classes: DataFrame, percent: int, common: int) -> DataFrame:
+def shared_rows(rows: DataFrame) -> DataFrame:
+    """``h, df, doc_id, at``: the rows of shingles that several documents emitted."""
+    total = F.sum(1 + F.coalesce(F.size("more"), F.lit(0))).over(W.partitionBy("h")).alias("df")
+    here = F.array(F.struct("doc", "at"))
+    met = rows.select("h", "doc", "at", "more", total).filter("df >= 2")
+    each = met.select("h", "df", F.explode(F.when(F.col("more").isNull(), here).otherwise(F.concat(here, "more"))).alias("x"))
+    return each.select("h", "df", F.col("x.doc").alias("doc_id"), "x.at")
+
+
+def tile_rows(shared: DataFrame, classes: DataFrame, percent: int, common: int) -> DataFrame:
     """``h, band, rep, n, home, strong``: the sets that meet in each tile.
 
     Common shingles come last in the order, so most sets skip them: a *strong* row is in its
@@ -95,12 +109,8 @@ def tile_rows(rows: DataFrame, classes: DataFrame, percent: int, common: int) ->
     its prefix in plain hash order as strong rows; to meet it, all others keep their common
     shingles of that prefix as *weak* rows, which are compared with strong ones only.
     """
-    total = F.sum(F.size("docs")).over(W.partitionBy("h")).alias("df")
-    shared = rows.select("h", "docs", "pos", total).filter("df >= 2").select("h", "df", F.explode(F.arrays_zip("docs", "pos")).alias("x"))
-    own = (
-        shared.select("h", "df", F.col("x.docs").alias("doc_id"), F.col("x.pos").alias("at")).join(classes.select("doc_id", "rep", "n"), "doc_id")
-        .groupBy("rep", "h").agg(F.min("at").alias("at"), F.min("df").alias("df"), F.min("n").alias("n"))
-    )
+    own = shared.join(classes.select("doc_id", "rep", "n"), "doc_id").groupBy("rep", "h").agg(
+        F.min("at").alias("at"), F.min("df").alias("df"), F.min("n").alias("n"))
     by_set = W.partitionBy("rep")
     n = F.col("n")
     p = n - F.expr(f"(n * {percent} + 99) div 100") + 1
@@ -129,83 +139,90 @@ def different_tiles(rows: DataFrame) -> DataFrame:
     return rows.join(one.select("h", "band", "size"), ["h", "band"])
 
 
-def near_sizes(a: Column, b: Column, percent: int) -> Column:
-    return F.least(a, b) * 100 >= F.greatest(a, b) * percent
-
-
-def may_link(maps: np.ndarray, one: int, others: np.ndarray, n: np.ndarray, percent: int) -> np.ndarray:
-    """Whether the overlap that the bitmaps leave possible is enough: a set bit that the other map lacks is a shingle it lacks."""
+def possible_overlap(maps: np.ndarray, one: int, others: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """The most shingles that one set can share with each of the others: a set bit that the other map lacks is a shingle it lacks."""
     mine = n[one] - np.bitwise_count(maps[one] & ~maps[others]).sum(axis=1, dtype=np.int64)
     theirs = n[others] - np.bitwise_count(maps[others] & ~maps[one]).sum(axis=1, dtype=np.int64)
-    most = np.minimum(mine, theirs)
-    return 100 * most >= percent * (n[one] + n[others] - most)
+    return np.minimum(mine, theirs)
 
 
-def star_pairs(tiles: DataFrame, percent: int) -> DataFrame:
-    """``a, b``: in every tile, one strong set with each other one."""
-    hub = tiles.filter("home and strong").groupBy("h", "band").agg(F.min(F.struct("rep", "n")).alias("hub"))
-    met = tiles.join(hub, ["h", "band"]).filter(F.col("rep") != F.col("hub.rep")).filter(near_sizes(F.col("n"), F.col("hub.n"), percent))
-    return met.select(F.least("rep", "hub.rep").alias("a"), F.greatest("rep", "hub.rep").alias("b")).distinct()
-
-
-def bounded_pairs(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs whose bitmaps leave enough overlap possible."""
-    side = lambda x: sets.select(F.col("doc_id").alias(x), F.col("n").alias(f"n_{x}"), F.col("bits").alias(f"bits_{x}"))
-
-    def bounded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            na, nb = batch.column(2).to_numpy(), batch.column(4).to_numpy()
-            keep = []
-            for i, (x, y) in enumerate(zip(batch.column(3), batch.column(5))):
-                maps = folded([x.as_py(), y.as_py()])
-                keep.append(bool(may_link(maps, 0, np.array([1]), np.array([na[i], nb[i]]), percent)[0]))
-            yield pa.record_batch([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
+def tile_pairs(tiles: DataFrame, labels: DataFrame | None, sets: DataFrame, percent: int, tile: int) -> DataFrame:
+    """``a, b, h, band``: pairs of a tile whose bitmaps leave enough overlap possible.
 
-    joined = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "n_a", "bits_a", "n_b", "bits_b")
-    return joined.mapInArrow(bounded, "a bigint, b bigint")
-
-
-def cross_pairs(tiles: DataFrame, labels: DataFrame, sets: DataFrame, percent: int, tile: int) -> DataFrame:
-    """``a, b``: pairs of a tile that are not yet in one component and whose bitmaps leave enough overlap possible.
-
-    A tile of more than ``tile`` sets is dealt to blocks, and each pair of blocks to a task.
+    Without ``labels``, each strong set gives one pair (a, b), with the partner whose bitmap leaves the
+    highest similarity possible; tiles where more pairs were possible are given as rows (h, band). With
+    labels (of components), all possible pairs across components are given. A tile of more than ``tile``
+    sets is dealt to blocks, and each pair of blocks to a task.
     """
-    labelled = tiles.join(labels.select(F.col("id").alias("rep"), "component"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
-    mixed = labelled.groupBy("h", "band").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo <> hi").drop("lo", "hi")
-    open_rows = labelled.join(mixed, ["h", "band"]).join(sets.select(F.col("doc_id").alias("rep"), "bits"), "rep")
+    nearest = labels is None
+    if nearest:
+        open_rows = tiles.withColumn("component", F.col("rep"))
+    else:
+        named = tiles.join(labels.select(F.col("id").alias("rep"), "component"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
+        mixed = named.groupBy("h", "band").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo <> hi").select("h", "band")
+        open_rows = named.join(mixed, ["h", "band"])
     blocks = F.ceil(F.col("size") / tile).cast("int")
     block = F.pmod(F.xxhash64("rep"), blocks.cast("bigint")).cast("int")
-    dealt = open_rows.withColumn("blocks", blocks).withColumn("block", block).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    dealt = open_rows.join(sets.select(F.col("doc_id").alias("rep"), "bits"), "rep").withColumn("blocks", blocks).withColumn("block", block)
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     dealt = dealt.select("h", "band", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "rep", "n", "home", "strong", "component", "bits")
-    schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+    schema = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("h", pa.int64()), ("band", pa.int32())])
 
     def compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        a, b = [], []
+        firsts, seconds, tiles_left, given, held = [], [], [], set(), 0
+
+        def rows() -> pa.RecordBatch:
+            a, b = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (firsts, seconds))
+            more = len(tiles_left)
+            return pa.record_batch([
+                pa.concat_arrays([pa.array(a), pa.nulls(more, pa.int64())]), pa.concat_arrays([pa.array(b), pa.nulls(more, pa.int64())]),
+                pa.array([None] * len(a) + [h for h, _ in tiles_left], pa.int64()), pa.array([None] * len(a) + [t for _, t in tiles_left], pa.int32())], schema=schema)
+
         for run in runs(batches, ["h", "band", "i", "j"]):
             rep, n, home, strong, label = (run[c] for c in ("rep", "n", "home", "strong", "component"))
             block, apart = run["block"], run["i"][0] != run["j"][0]
             if len(rep) < 2 or not strong.any():
                 continue
-            maps = folded(run["bits"])
-            order = np.arange(len(rep))
+            maps, order, chosen, possible = folded(run["bits"]), np.arange(len(rep)), set(), 0
             for x in np.flatnonzero(strong):
                 fit = (label != label[x]) & (np.minimum(n, n[x]) * 100 >= np.maximum(n, n[x]) * percent) & (home | home[x])
-                fit &= ~strong | (order > x)
                 if apart:
                     fit &= block != block[x]
-                with_x = np.flatnonzero(fit)
-                if len(with_x):
-                    with_x = with_x[may_link(maps, x, with_x, n, percent)]
-                    a.append(np.minimum(rep[x], rep[with_x]))
-                    b.append(np.maximum(rep[x], rep[with_x]))
-            if len(a) > 1000:
-                yield pa.record_batch([pa.array(np.concatenate(a)), pa.array(np.concatenate(b))], schema=schema)
-                a, b = [], []
-        if a:
-            yield pa.record_batch([pa.array(np.concatenate(a)), pa.array(np.concatenate(b))], schema=schema)
+                if not nearest:
+                    fit &= ~strong | (order > x)
+                others = np.flatnonzero(fit)
+                if not len(others):
+                    continue
+                most = possible_overlap(maps, x, others, n)
+                likely = 100 * most >= percent * (n[x] + n[others] - most)
+                others, most = others[likely], most[likely]
+                if not len(others):
+                    continue
+                if nearest:
+                    possible += int(((others > x) | ~strong[others]).sum())
+                    y = rep[others[int(np.argmax(most / (n[x] + n[others] - most)))]]
+                    chosen.add((min(int(rep[x]), int(y)), max(int(rep[x]), int(y))))
+                else:
+                    firsts.append(np.minimum(rep[x], rep[others]))
+                    seconds.append(np.maximum(rep[x], rep[others]))
+                    held += len(others)
+            if possible > len(chosen):
+                tiles_left.append((int(run["h"][0]), int(run["band"][0])))
+            if fresh := chosen - given:
+                firsts.append(np.array([a for a, _ in fresh], np.int64))
+                seconds.append(np.array([b for _, b in fresh], np.int64))
+                given |= fresh
+                held += len(fresh)
+            if held + len(tiles_left) > 50_000:
+                yield rows()
+                firsts, seconds, tiles_left, held = [], [], [], 0
+                if len(given) > 200_000:
+                    given = set()
+        if held or tiles_left:
+            yield rows()
 
     grouped = dealt.repartition("h", "band", "i", "j").sortWithinPartitions("h", "band", "i", "j")
-    return grouped.mapInArrow(compared, "a bigint, b bigint").distinct()
+    return grouped.mapInArrow(compared, "a bigint, b bigint, h bigint, band int")
 
 
 def exact_links(pairs: DataFrame, docs: DataFrame, k: int, percent: int, part: int = 512) -> DataFrame:
@@ -218,7 +235,7 @@ def exact_links(pairs: DataFrame, docs: DataFrame, k: int, percent: int, part: i
     dealt = pairs.join(parts, "a").select("a", "b", F.pmod(F.xxhash64("b"), F.col("parts")).cast("int").alias("part"))
     wanted = dealt.select("a", "part", F.lit(1).alias("turn"), F.col("b").alias("doc_id")).union(
         dealt.select("a", "part").distinct().select("a", "part", F.lit(0).alias("turn"), F.col("a").alias("doc_id")))
-    sent = docs.join(wanted, "doc_id").repartition("a", "part").sortWithinPartitions("a", "part", "turn")
+    sent = docs.join(wanted.hint("merge"), "doc_id").repartition("a", "part").sortWithinPartitions("a", "part", "turn")
 
     def verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         head, first = None, None
@@ -250,11 +267,12 @@ def jaccard_components(
     2. Any two sets that link share a shingle of their prefixes; only shingles of two or more
        documents go on. Sets that share one and have sizes of one band or the next are a tile;
        tiles with the same list of sets are taken once.
-    3. In every tile each set is paired with one strong set, by id. Pairs whose bitmaps bound the
-       overlap below need are dropped; exact intersection of the sorted sets decides the rest.
-    4. Components of those links; in every tile that still holds several, all pairs across
-       components that the bitmaps do not exclude are intersected too. No link that could join two
-       components is left out, so the components are those of all links.
+    3. In every tile the bit counts of two bitmaps bound the overlap of their sets from above. Each
+       set is paired with the one that may be most similar; exact intersection of the sorted sets
+       decides.
+    4. Components of those links; in every tile that had more possible pairs and still holds several
+       components, all pairs across components that the bitmaps do not exclude are intersected too. No
+       link that could join two components is left out, so the components are those of all links.
 
     Nothing is capped, and no pair is made inside a component that is known. A shingle of
     more than ``common`` documents comes last in the order; large tiles are split in blocks.
@@ -272,16 +290,17 @@ def jaccard_components(
     named_sets = one.filter("doc_id is not null")
     reps = named_sets.filter("n > 0").groupBy("key").agg(F.min("doc_id").alias("rep"))
     classes = written(named_sets.join(reps, "key", "left").select("doc_id", "n", F.when(F.col("n") > 0, F.col("rep")).otherwise(F.col("doc_id")).alias("rep")), "classes")
-    sets = table.filter("doc_id is not null and n > 0").select("doc_id", "n", "bits").join(
-        classes.filter("doc_id = rep").select("doc_id"), "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    tiles = written(different_tiles(written(tile_rows(prefix_rows(named, k, percent, "doc_id", "text"), classes, percent, common), "meets")), "tiles")
-    texts = named.join(tiles.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    texts = written(texts, "texts")
-    stars = star_pairs(tiles, percent)
-    links = written(exact_links(bounded_pairs(stars, sets, percent), texts, k, percent), "links1")
+    sets = written(table.filter("doc_id is not null and n > 0").select("doc_id", "n", "bits").join(
+        classes.filter("doc_id = rep").select("doc_id"), "doc_id", "left_semi").dropDuplicates(["doc_id"]), "maps")
+    shared = written(shared_rows(prefix_rows(named, k, percent, "doc_id", "text")), "shared")
+    tiles = written(different_tiles(written(tile_rows(shared, classes, percent, common), "meets")), "tiles")
+    near = written(tile_pairs(tiles, None, sets, percent, tile), "near")
+    first = near.filter("a is not null").select("a", "b").distinct()
+    links = written(exact_links(first, named, k, percent), "links1")
     labels = connected_components(links)
-    left = cross_pairs(tiles, labels, sets, percent, tile).join(stars, ["a", "b"], "left_anti")
-    more = written(exact_links(written(left, "left"), texts, k, percent), "links2")
+    left = tile_pairs(tiles.join(near.filter("h is not null").select("h", "band").distinct(), ["h", "band"]), labels, sets, percent, tile)
+    left = written(left.select("a", "b").distinct().join(first, ["a", "b"], "left_anti"), "left")
+    more = written(exact_links(left, named, k, percent), "links2")
     if not more.isEmpty():
         labels = connected_components(links.select("a", "b").union(more.select("a", "b")))
     return classes.join(labels.select(F.col("id").alias("rep"), "component"), "rep", "left").select(
