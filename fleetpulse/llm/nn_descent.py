@@ -201,8 +201,8 @@ def cosine(a: Column, b: Column) -> Column:
 
 
 def nearest_neighbours(
-    table: DataFrame, is_query: Column, top: int = 5, k: int = 32, plane_sets: int = 4, leaf: int = 768, steps: int = 4, beam: int = 128,
-    width: int = 24, rounds: int = 6, seed: int = 7, id_col: str = "vec_id", vector_col: str = "embedding",
+    table: DataFrame, is_query: Column, top: int = 5, k: int = 40, plane_sets: int = 6, leaf: int = 1024, steps: int = 3, beam: int = 192,
+    width: int = 64, rounds: int = 3, seed: int = 7, id_col: str = "vec_id", vector_col: str = "embedding",
 ) -> DataFrame:
     """``query_id, rank, vec_id, score``: the ``top`` nearest found for each row for which ``is_query`` (over vec_id) holds.
 
