@@ -152,9 +152,9 @@ def fold(col: Column) -> Column:
 def perplexities(docs: DataFrame, trusted: DataFrame, order: int = ORDER, block_chars: int = BLOCK_CHARS) -> DataFrame:
     """``doc_id, lang, symbols, log_sum`` of all ``docs`` (doc_id, lang, text) by a model of the ``trusted`` ids' texts.
 
-    Texts are dealt once into blocks of about ``block_chars`` characters, by a hash of the id,
-    and that exchange serves both passes: counting, which sends every distinct gram of a block
-    with its count, and scoring, which gets those grams back with their probabilities.
+    Texts are dealt into blocks of about ``block_chars`` characters, by a hash of the id.
+    Counting writes every distinct gram of a block with its count; scoring deals the texts again
+    and gives each block those grams with their probabilities. In between are joins of count tables only.
     """
     size = docs.agg(F.sum(F.length("text"))).first()[0] or 0
     blocks = max(1, -(-size // block_chars))
@@ -163,14 +163,13 @@ def perplexities(docs: DataFrame, trusted: DataFrame, order: int = ORDER, block_
     marks = (
         docs.select("doc_id", block.alias("block")).join(trusted.select("doc_id").distinct(), "doc_id").repartition(blocks, "block")
     )
-    grams = (
-        dealt.groupBy("block").cogroup(marks.groupBy("block"))
-        .applyInArrow(lambda left, right: count_block(left, right, order), "block int, lang string, gram string, n bigint")
-        .repartition("lang", "gram")
-    )
-    all_grams = grams.groupBy("lang", "gram").agg(F.sum("n").alias("n"))
-    p = probabilities(all_grams.select("lang", "gram"), all_grams.filter("n > 0"), order)
-    model = grams.select("block", "lang", "gram").join(p, ["lang", "gram"]).select("block", "lang", "gram", F.log("p").alias("log_p"))
+    counted = dealt.groupBy("block").cogroup(marks.groupBy("block")).applyInArrow(
+        lambda left, right: count_block(left, right, order), "block int, lang string, gram string, n bigint")
+    grams = written(counted, "grams")
+    all_grams = written(grams.groupBy("lang", "gram").agg(F.sum("n").alias("n")), "counts")
+    p = written(probabilities(all_grams.select("lang", "gram"), all_grams.filter("n > 0"), order), "model")
+    model = grams.select("block", "lang", "gram").join(p, ["lang", "gram"]).select(
+        F.col("block").alias("block"), F.col("lang").alias("lang"), F.col("gram").alias("gram"), F.log("p").alias("log_p"))
     return dealt.groupBy("block").cogroup(model.repartition(blocks, "block").groupBy("block")).applyInArrow(
         lambda left, right: score_block(left, right, order), "doc_id bigint, lang string, symbols bigint, log_sum double")
 
