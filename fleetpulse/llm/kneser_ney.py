@@ -6,6 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -15,7 +16,7 @@ from fleetpulse.session import written
 ORDER = 4
 #: They open and close every text; the texts' own copies of them are read as spaces.
 OPEN, CLOSE = "\x02", "\x03"
-BLOCK_CHARS = 48 << 20
+BLOCK_CHARS = 40 << 20
 SLICE_CHARS = 1 << 20
 
 
@@ -28,15 +29,22 @@ def ranked(keys: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
     return np.flatnonzero(present), (np.cumsum(present) - 1)[keys]
 
 
-def text_slices(texts: list[str]) -> Iterator[tuple[int, int]]:
-    i = 0
-    while i < len(texts):
-        j, held = i, 0
-        while j < len(texts) and (j == i or held + len(texts[j]) <= SLICE_CHARS):
-            held += len(texts[j])
-            j += 1
-        yield i, j
-        i = j
+def text_slices(docs: pa.Table) -> Iterator[tuple[str, list[str], list]]:
+    """(language, texts, ids) of a few texts of one language at a time."""
+    lengths = pc.utf8_length(docs.column("text")).to_pylist()
+    by_lang: dict[str, list[int]] = {}
+    for row, lang in enumerate(docs.column("lang").to_pylist()):
+        by_lang.setdefault(lang, []).append(row)
+    for lang, rows in by_lang.items():
+        i = 0
+        while i < len(rows):
+            j, held = i, 0
+            while j < len(rows) and (j == i or held + lengths[rows[j]] <= SLICE_CHARS):
+                held += lengths[rows[j]]
+                j += 1
+            part = docs.take(rows[i:j])
+            yield lang, part.column("text").to_pylist(), part.column("doc_id").to_pylist()
+            i = j
 
 
 def grams_of(texts: list[str], order: int) -> tuple[list[str], np.ndarray, np.ndarray]:
@@ -63,18 +71,12 @@ def count_block(docs: pa.Table, trusted: pa.Table, order: int) -> pa.Table:
     """``block, lang, gram, n`` of all grams of a block; n counts those of trusted texts only."""
     ids = set(trusted.column("doc_id").to_pylist())
     totals: dict[tuple[str, str], int] = {}
-    by_lang: dict[str, list[int]] = {}
-    for i, lang in enumerate(docs.column("lang").to_pylist()):
-        by_lang.setdefault(lang, []).append(i)
-    for lang, rows in by_lang.items():
-        part = docs.take(rows)
-        texts, doc_ids = part.column("text").to_pylist(), part.column("doc_id").to_pylist()
-        for i, j in text_slices(texts):
-            names, at, first = grams_of(texts[i:j], order)
-            use = np.array([d in ids for d in doc_ids[i:j]], np.float64)
-            weight = np.repeat(use, np.diff(np.append(first, len(at))))
-            for name, n in zip(names, np.bincount(at, weight, len(names)).astype(np.int64).tolist()):
-                totals[lang, name] = totals.get((lang, name), 0) + n
+    for lang, texts, doc_ids in text_slices(docs):
+        names, at, first = grams_of(texts, order)
+        use = np.array([d in ids for d in doc_ids], np.float64)
+        weight = np.repeat(use, np.diff(np.append(first, len(at))))
+        for name, n in zip(names, np.bincount(at, weight, len(names)).astype(np.int64).tolist()):
+            totals[lang, name] = totals.get((lang, name), 0) + n
     block = docs.column("block")[0].as_py() if docs.num_rows else 0
     return pa.table({
         "block": pa.array([block] * len(totals), pa.int32()), "lang": pa.array([k[0] for k in totals], pa.string()),
@@ -87,18 +89,13 @@ def score_block(docs: pa.Table, model: pa.Table, order: int) -> pa.Table:
     for lang, gram, value in zip(*(model.column(c).to_pylist() for c in ("lang", "gram", "log_p"))):
         logs.setdefault(lang, {})[gram] = value
     out: list[tuple] = []
-    by_lang: dict[str, list[int]] = {}
-    for i, lang in enumerate(docs.column("lang").to_pylist()):
-        by_lang.setdefault(lang, []).append(i)
-    for lang, rows in by_lang.items():
-        part, known = docs.take(rows), logs.get(lang, {})
-        texts, doc_ids = part.column("text").to_pylist(), part.column("doc_id").to_pylist()
-        for i, j in text_slices(texts):
-            names, at, first = grams_of(texts[i:j], order)
-            value = np.array([known.get(name, np.nan) for name in names])
-            sums = np.add.reduceat(value[at], first)
-            symbols = np.diff(np.append(first, len(at)))
-            out.extend((d, lang, int(n), None if np.isnan(s) else float(s)) for d, n, s in zip(doc_ids[i:j], symbols, sums))
+    for lang, texts, doc_ids in text_slices(docs):
+        known = logs.get(lang, {})
+        names, at, first = grams_of(texts, order)
+        value = np.array([known.get(name, np.nan) for name in names])
+        sums = np.add.reduceat(value[at], first)
+        symbols = np.diff(np.append(first, len(at)))
+        out.extend((d, lang, int(n), None if np.isnan(x) else float(x)) for d, n, x in zip(doc_ids, symbols, sums))
     types = [pa.int64(), pa.string(), pa.int64(), pa.float64()]
     cols = list(zip(*out)) or [[]] * 4
     return pa.table({c: pa.array(v, t) for c, v, t in zip(("doc_id", "lang", "symbols", "log_sum"), cols, types)})
