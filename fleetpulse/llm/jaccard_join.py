@@ -146,16 +146,16 @@ def possible_overlap(maps: np.ndarray, one: int, others: np.ndarray, n: np.ndarr
     return np.minimum(mine, theirs)
 
 
-def tile_pairs(tiles: DataFrame, labels: DataFrame | None, sets: DataFrame, percent: int, tile: int) -> DataFrame:
+def tile_pairs(tiles: DataFrame, labels: DataFrame | None, sets: DataFrame, percent: int, tile: int, few: bool) -> DataFrame:
     """``a, b, h, band``: pairs of a tile whose bitmaps leave enough overlap possible.
 
-    Without ``labels``, each strong set gives one pair (a, b), with the partner whose bitmap leaves the
-    highest similarity possible; tiles where more pairs were possible are given as rows (h, band). With
-    labels (of components), all possible pairs across components are given. A tile of more than ``tile``
-    sets is dealt to blocks, and each pair of blocks to a task.
+    Pairs are made across components (``labels``; None: each set is its own). With ``few``, each strong
+    set gives at most two: with the partner whose bitmap leaves the highest similarity possible, and
+    with the possible partner of the smallest id; tiles where more were possible are given as rows (h,
+    band). Without, all possible pairs are given. A tile of more than ``tile`` sets is dealt to blocks,
+    and each pair of blocks to a task.
     """
-    nearest = labels is None
-    if nearest:
+    if labels is None:
         open_rows = tiles.withColumn("component", F.col("rep"))
     else:
         named = tiles.join(labels.select(F.col("id").alias("rep"), "component"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
@@ -188,7 +188,7 @@ def tile_pairs(tiles: DataFrame, labels: DataFrame | None, sets: DataFrame, perc
                 fit = (label != label[x]) & (np.minimum(n, n[x]) * 100 >= np.maximum(n, n[x]) * percent) & (home | home[x])
                 if apart:
                     fit &= block != block[x]
-                if not nearest:
+                if not few:
                     fit &= ~strong | (order > x)
                 others = np.flatnonzero(fit)
                 if not len(others):
@@ -198,10 +198,10 @@ def tile_pairs(tiles: DataFrame, labels: DataFrame | None, sets: DataFrame, perc
                 others, most = others[likely], most[likely]
                 if not len(others):
                     continue
-                if nearest:
+                if few:
                     possible += int(((others > x) | ~strong[others]).sum())
-                    y = rep[others[int(np.argmax(most / (n[x] + n[others] - most)))]]
-                    chosen.add((min(int(rep[x]), int(y)), max(int(rep[x]), int(y))))
+                    for y in (rep[others[int(np.argmax(most / (n[x] + n[others] - most)))]], rep[others].min()):
+                        chosen.add((min(int(rep[x]), int(y)), max(int(rep[x]), int(y))))
                 else:
                     firsts.append(np.minimum(rep[x], rep[others]))
                     seconds.append(np.maximum(rep[x], rep[others]))
@@ -268,11 +268,12 @@ def jaccard_components(
        documents go on. Sets that share one and have sizes of one band or the next are a tile;
        tiles with the same list of sets are taken once.
     3. In every tile the bit counts of two bitmaps bound the overlap of their sets from above. Each
-       set is paired with the one that may be most similar; exact intersection of the sorted sets
-       decides.
-    4. Components of those links; in every tile that had more possible pairs and still holds several
-       components, all pairs across components that the bitmaps do not exclude are intersected too. No
-       link that could join two components is left out, so the components are those of all links.
+       set is paired with the one that may be most similar and with the first that may be similar at
+       all; exact intersection of the sorted sets decides. That is done twice, the second time
+       across the components that the first has made.
+    4. In every tile that had more possible pairs and still holds several components, all pairs across
+       components that the bitmaps do not exclude are intersected too. No link that could join two
+       components is left out, so the components are those of all links.
 
     Nothing is capped, and no pair is made inside a component that is known. A shingle of
     more than ``common`` documents comes last in the order; large tiles are split in blocks.
@@ -294,15 +295,17 @@ def jaccard_components(
         classes.filter("doc_id = rep").select("doc_id"), "doc_id", "left_semi").dropDuplicates(["doc_id"]), "maps")
     shared = written(shared_rows(prefix_rows(named, k, percent, "doc_id", "text")), "shared")
     tiles = written(different_tiles(written(tile_rows(shared, classes, percent, common), "meets")), "tiles")
-    near = written(tile_pairs(tiles, None, sets, percent, tile), "near")
-    first = near.filter("a is not null").select("a", "b").distinct()
-    links = written(exact_links(first, named, k, percent), "links1")
-    labels = connected_components(links)
-    left = tile_pairs(tiles.join(near.filter("h is not null").select("h", "band").distinct(), ["h", "band"]), labels, sets, percent, tile)
-    left = written(left.select("a", "b").distinct().join(first, ["a", "b"], "left_anti"), "left")
-    more = written(exact_links(left, named, k, percent), "links2")
-    if not more.isEmpty():
-        labels = connected_components(links.select("a", "b").union(more.select("a", "b")))
+    labels, links, tried, left = None, None, None, tiles
+    for few in (True, True, False):
+        near = written(tile_pairs(left, labels, sets, percent, tile, few), "near")
+        pairs = near.filter("a is not null").select("a", "b").distinct()
+        pairs = pairs if tried is None else pairs.join(tried, ["a", "b"], "left_anti")
+        found = written(exact_links(pairs, named, k, percent), "found").select("a", "b")
+        tried = pairs if tried is None else tried.union(pairs)
+        if links is None or not found.isEmpty():
+            links = found if links is None else links.union(found)
+            labels = connected_components(links)
+        left = left.join(near.filter("h is not null").select("h", "band").distinct(), ["h", "band"], "left_semi")
     return classes.join(labels.select(F.col("id").alias("rep"), "component"), "rep", "left").select(
         "doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "rep").alias("component_id")).union(unnamed)
 

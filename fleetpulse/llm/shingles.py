@@ -69,8 +69,8 @@ def shingle_sets(data: np.ndarray, offsets: np.ndarray, k: int):
 
 
 def bitmap(hashes: np.ndarray) -> bytes:
-    """A bit for each hash in a map of 1024 to 65,536 bits, four or more per shingle up to that size."""
-    width = 1024
+    """A bit for each hash in a map of 4096 to 65,536 bits, four or more per shingle up to that size."""
+    width = 4096
     while width < 4 * len(hashes) and width < 1 << 16:
         width *= 2
     bits = np.zeros(width, np.uint8)
