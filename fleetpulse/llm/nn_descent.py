@@ -171,18 +171,19 @@ def similar(rows: DataFrame) -> DataFrame:
     return rows.mapInArrow(scored, "q bigint, w bigint, s float, opened boolean")
 
 
-def greedy_search(graph: DataFrame, points: DataFrame, queries: DataFrame, k: int, beam: int, width: int, rounds: int) -> DataFrame:
+def greedy_search(graph: DataFrame, points: DataFrame, queries: DataFrame, k: int, beam: int, width: int) -> DataFrame:
     """``q, w``: what each query (a node) finds: from its own neighbours on, always opening the ``width`` nearest unopened nodes.
 
     A round joins opened nodes with the graph and new candidates with their directions; it is written. The
-    search ends when no query has an unopened node among its ``beam`` best, or after ``rounds``.
+    search ends when no query has an unopened node among its ``beam`` best. It does end: a beam only gets
+    nearer, so a node that has left it doesn't come back, and each round opens one more in every beam not done.
     """
     ways = written(both_ways(graph.withColumn("old", F.lit(True)), k).select("c", "x"), "ways")
     asked = written(queries.join(points.select(F.col("id").alias("q"), F.col("q").alias("q_small")), "q"), "asked")
     bodies = points.select(F.col("id").alias("w"), F.col("q").alias("w_small"))
     state = asked.select("q", F.col("q").alias("w"), F.lit(2.0).cast("float").alias("s"), F.lit(False).alias("opened"))
     by_query = W.partitionBy("q").orderBy(F.desc("s"), "w")
-    for _ in range(rounds):
+    while True:
         ranked = state.withColumn("turn", F.sum((~F.col("opened")).cast("int")).over(by_query))
         opening = ranked.filter(~F.col("opened") & (F.col("turn") <= width)).select("q", "w")
         marked = ranked.withColumn("opened", F.col("opened") | (F.col("turn") <= width)).drop("turn")
@@ -191,8 +192,7 @@ def greedy_search(graph: DataFrame, points: DataFrame, queries: DataFrame, k: in
         both = marked.union(found).withColumn("rank", F.row_number().over(by_query)).filter(F.col("rank") <= beam).drop("rank")
         state = written(both, "search")
         if state.filter("not opened").isEmpty():
-            break
-    return state.select("q", "w")
+            return state.select("q", "w")
 
 
 def cosine(a: Column, b: Column) -> Column:
@@ -201,15 +201,16 @@ def cosine(a: Column, b: Column) -> Column:
 
 
 def nearest_neighbours(
-    table: DataFrame, is_query: Column, top: int = 5, k: int = 40, plane_sets: int = 6, leaf: int = 1024, steps: int = 3, beam: int = 192,
-    width: int = 64, rounds: int = 3, seed: int = 7, id_col: str = "vec_id", vector_col: str = "embedding",
+    table: DataFrame, is_query: Column, top: int = 5, k: int = 40, plane_sets: int = 6, leaf: int = 1024, fresh: float = 0.01, beam: int = 192,
+    width: int = 64, seed: int = 7, id_col: str = "vec_id", vector_col: str = "embedding",
 ) -> DataFrame:
     """``query_id, rank, vec_id, score``: the ``top`` nearest found for each row for which ``is_query`` (over vec_id) holds.
 
     1. Equal vectors are one point; its copies come back at the end (the smallest ids that can count).
     2. The graph starts from runs of points in the order of random-plane codes, which have a fixed number, so
-       crowded regions are cut as finely as others; then ``steps`` rounds of NN-descent.
-    3. Queries search the graph greedily; the graph is built and searched on directions in bytes.
+       crowded regions are cut as finely as others; then NN-descent until a step leaves less than the share
+       ``fresh`` of the edges new.
+    3. Queries search the graph greedily until nothing nearer is left to open; the graph is built and searched on directions in bytes.
     4. What was found is scored by the exact cosine of the original vectors in double precision.
 
     All rows are indexed; the graph keeps k neighbours a node, which makes the search approximate.
@@ -227,12 +228,13 @@ def nearest_neighbours(
     blocks = points.select("id").join(start.groupBy(F.col("u").alias("id")).agg(F.max("block").alias("block")), "id", "left")
     blocks = written(blocks.withColumn("block", F.coalesce(F.when(F.col("block") >= 0, F.col("block")), F.pmod(F.xxhash64("id"), F.lit(997)))), "blocks")
     graph = start.drop("block")
-    for _ in range(steps):
+    while True:
         graph = written(descend(graph, points, blocks, k), "graph")
-        if graph.filter("not old").isEmpty():
+        edges, new = graph.agg(F.count(F.lit(1)), F.count_if(~F.col("old"))).first()
+        if new <= fresh * edges:
             break
     asking = classes.filter(is_query)
-    found = greedy_search(graph, points, asking.select(F.col("rep").alias("q")).distinct(), k, beam, width, rounds)
+    found = greedy_search(graph, points, asking.select(F.col("rep").alias("q")).distinct(), k, beam, width)
     part = F.row_number().over(W.partitionBy("rep", "salt").orderBy("vec_id"))
     copies = classes.withColumn("salt", F.pmod(F.xxhash64("vec_id"), F.lit(64))).withColumn("n", part).filter(F.col("n") <= top + 1)
     copies = copies.withColumn("n", F.row_number().over(W.partitionBy("rep").orderBy("vec_id"))).filter(F.col("n") <= top + 1)

@@ -35,6 +35,16 @@ def test_neighbours_recall_and_copies(spark):
     assert got[600] == [601, 602, 603, 604, 605] and got[650] == [600, 601, 602, 603, 604]
 
 
+def test_search_goes_on_until_nothing_is_left_to_open(spark):
+    """On a circle whose nodes know two neighbours on each side, the eighth is four openings away."""
+    turn = np.arange(60) * 2 * np.pi / 60
+    table = spark.createDataFrame([(i, [float(np.cos(a)), float(np.sin(a))]) for i, a in enumerate(turn)], "vec_id bigint, embedding array<double>")
+    got = {}
+    for r in nearest_neighbours(table, F.col("vec_id") % 20 == 0, top=16, k=4, leaf=32, beam=20, width=16).collect():
+        got.setdefault(r.query_id, set()).add(r.vec_id)
+    assert got == {q: {(q + d) % 60 for d in range(-8, 9) if d} for q in (0, 20, 40)}
+
+
 def test_few_vectors(spark):
     table = spark.createDataFrame([(0, [1.0, 0.0]), (1, [0.0, 1.0]), (2, [1.0, 1.0])], "vec_id bigint, embedding array<float>")
     got = sorted((r.query_id, r["rank"], r.vec_id, round(r.score, 9)) for r in nearest_neighbours(table, F.col("vec_id") % 50 == 0).collect())
