@@ -34,12 +34,12 @@ SPACES = regex.compile(r"\s+")
 
 
 class Node:
-    __slots__ = ("tag", "aside", "parent", "parts", "chars", "own_chars", "tags", "link_chars", "link_tags", "density", "total")
+    __slots__ = ("tag", "aside", "parent", "parts", "chars", "tags", "link_chars", "link_tags", "density", "total")
 
     def __init__(self, tag: str, aside: bool, parent: Node | None) -> None:
         self.tag, self.aside, self.parent = tag, aside, parent
         self.parts: list[Node | str] = []
-        self.chars = self.own_chars = self.tags = self.link_chars = self.link_tags = 0
+        self.chars = self.tags = self.link_chars = self.link_tags = 0
         self.density = self.total = 0.0
 
 
@@ -107,18 +107,15 @@ class Tree(HTMLParser):
 
 
 def measure(tree: Tree) -> Node | None:
-    """Count characters and tags bottom-up, give each node its density; returns the body."""
+    """Count characters and tags bottom-up, without what stands beside the article, give each node its density; returns the body."""
     for node in reversed(tree.nodes):  # children come after their parents
         if node.tag in HIDDEN:
             continue
         for part in node.parts:
             if isinstance(part, str):
-                found = sum(map(len, part.split()))
-                node.chars += found
-                node.own_chars += found
-            elif part.tag not in HIDDEN:
+                node.chars += sum(map(len, part.split()))
+            elif not part.aside:
                 node.chars += part.chars
-                node.own_chars += 0 if part.aside else part.own_chars
                 node.tags += part.tags + 1
                 node.link_chars += part.link_chars
                 node.link_tags += part.link_tags
@@ -138,12 +135,15 @@ def measure(tree: Tree) -> Node | None:
     return body
 
 
-def chosen(body: Node) -> Node:
-    """The subtree with the largest density sum, widened to its threshold ancestor.
+def chosen(body: Node) -> list[Node | str]:
+    """The subtree with the largest density sum, widened to its threshold ancestor, with its like beside it.
 
-    The threshold is the smallest density on the path from that subtree to the body: the
-    outermost element on the path that is as dense as the threshold and whose text is mostly
-    the subtree's own holds the article.
+    The threshold is the smallest density on the path from that subtree up to below the body:
+    the outermost element on the path, the body included, that is as dense as the threshold holds
+    the article, whatever share of its text each part has. Where that is not the body, all
+    beside it belongs to the article too but subtrees whose text is mostly links: sections may be
+    thin and headings short. An article or main element on the path is taken as the page's own mark
+    and ends the walk.
     """
     best, stack = body, [body]
     while stack:
@@ -157,17 +157,18 @@ def chosen(body: Node) -> Node:
     while node is not body and node.parent is not None:
         node = node.parent
         path.append(node)
-    inner = path[:-1] or path
-    threshold = min(n.density for n in inner)
-    wide = best
-    for n in inner:
-        if n.tag in ("article", "main") or n.density >= threshold and best.own_chars >= 0.8 * n.own_chars:
-            wide = n
-    return wide
-
-
-def blocks(node: Node) -> list[str]:
-    """The texts of the blocks of a subtree in page order, without what stands beside the article."""
+    marked = [n for n in path if n.tag in ("article", "main")]
+    if marked:
+        return [marked[-1]]
+    threshold = min(n.density for n in path[:-1] or path)
+    wide = [n for n in path if n.density >= threshold][-1]
+    if wide is body:
+        return [body]
+    return [n for n in wide.parent.parts if isinstance(n, str) or n is wide or not n.aside and 2 * n.link_chars <= n.chars]
+
+
+def blocks(parts: list[Node | str]) -> list[str]:
+    """The texts of the blocks of subtrees in page order, without what stands beside the article."""
     out: list[str] = []
     run: list[str] = []
 
@@ -176,7 +177,7 @@ def blocks(node: Node) -> list[str]:
             out.append(text)
         run.clear()
 
-    todo: list[Node | str | None] = [node]
+    todo: list[Node | str | None] = list(reversed(parts))
     while todo:
         part = todo.pop()
         if part is None:
@@ -185,7 +186,7 @@ def blocks(node: Node) -> list[str]:
             run.append(part)
         elif part.tag == "br":
             run.append(" ")
-        elif not part.aside or part is node:
+        elif not part.aside or part.tag == "body":
             inside = list(reversed(part.parts))
             if part.tag in BLOCKS:
                 end()
@@ -212,7 +213,7 @@ def extract_pages(pages: DataFrame, id_col: str = "page_id", url_col: str = "url
     For every element: text density = characters per tag, weakened by the share of characters
     and tags inside links (composite text density). The sum of the densities of an element's
     children finds the article, and the least density on its path to the body says how far
-    outward it goes. Elements that are no article by name, class, id or role are left out
+    outward it goes: no further than an article or main element. Elements that are no article by name, class, id or role are left out
     (scripts, menus, forms, adverts, notices, comments and the like). A line break counts as white space.
 
     One pass without a shuffle, one page in memory at a time. A null page is empty; null ids and

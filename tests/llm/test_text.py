@@ -30,6 +30,15 @@ def test_main_text_of_pages(page):
     assert main_text(page) == TEXT
 
 
+@pytest.mark.parametrize("page", ["<body><nav><a href=/>Home</a></nav><div>{}</div><footer>us</footer>", "<body><nav><a href=/>Home</a></nav>{}<footer>us</footer>",
+                                  "<body><div><a href=/>Home</a> <a href=/a>News of the day</a> <a href=/b>Weather and traffic</a></div>{}"])
+@pytest.mark.parametrize("sizes", [(300, 300, 300), (300, 150, 200)])
+def test_main_text_of_sections_without_article(page, sizes):
+    parts = [(f"Part {i}", *(f"{i}{j} " + "word " * (n // 5) + "end." for j in range(4))) for i, n in enumerate(sizes)]
+    story = "".join(f"<section><h2>{h}</h2>" + "".join(f"<p>{p}</p>" for p in ps) + "</section>" for h, *ps in parts)
+    assert main_text(page.format(story)) == "\n".join(line for part in parts for line in part)
+
+
 def test_extraction_of_odd_pages(spark):
     deep = "<div>" * 30_000 + "deep" + "</div>" * 10
     rows = [(1, "u", None), (2, None, ""), (3, "u", "<p></p>"), (None, "u", "plain  text"), (5, "u", deep), (5, "u", deep), (6, "u", "<p>a<!-- x --><p>&lt;b&gt;")]
