@@ -50,11 +50,12 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 
 def keep_first_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` that stay, with all their columns.
+    """The rows of ``docs`` that stay, with all their columns: one row for each different text.
 
-    Of rows that repeat an id, one stays; so does one of all rows without an id, if none of
-    their texts has an id.
+    Of rows that repeat id and text, one stays. Different texts all stay, also where they
+    share an id or have none.
     """
-    key = F.coalesce(F.col(id_col), F.lit(-(1 << 63)))
-    kept = exact_dedup(docs, id_col, text_col).filter("kept").select(F.coalesce("doc_id", F.lit(-(1 << 63))).alias("__key"))
-    return docs.withColumn("__key", key).join(kept.distinct(), "__key", "left_semi").dropDuplicates(["__key"]).drop("__key")
+    kept = exact_dedup(docs, id_col, text_col).filter("kept").select(F.col("doc_id").alias("__id"), F.unhex("text_sha256").alias("__kept"))
+    rows = docs.withColumn("__digest", F.unhex(F.sha2(normalised(text_col), 256)))
+    held = rows.join(kept, F.col(id_col).eqNullSafe(F.col("__id")) & (F.col("__digest") == F.col("__kept")), "left_semi")
+    return held.dropDuplicates(["__digest"]).drop("__digest")

@@ -59,6 +59,14 @@ def test_exact_dedup_keeps_rows_and_columns(spark):
     assert exact_dedup(frame(spark, [])).count() == 0
 
 
+def test_exact_dedup_keeps_every_different_text(spark):
+    rows = [(None, f"no id {i % 20}") for i in range(40)] + [(1, "a"), (1, "b"), (1, "b "), (2, "b"), (2, "c"), (2, "c"), (None, "a"), (None, None), (0, "c")]
+    got = sorted((r.doc_id, r.text) for r in keep_first_copies(frame(spark, rows)).filter("doc_id is not null").collect())
+    assert got == [(0, "c"), (1, "a"), (1, "b"), (1, "b ")]
+    lone = sorted(r.text or "" for r in keep_first_copies(frame(spark, rows)).filter("doc_id is null").collect())
+    assert lone == sorted(["", *(f"no id {i}" for i in range(20))])
+
+
 def shingle_set(text, k=5):
     words = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
     return {tuple(words[i : i + k]) for i in range(len(words) - k + 1)} if len(words) >= k else ({tuple(words)} if words else set())
