@@ -13,6 +13,7 @@ from fleetpulse.llm.html_text import extract_pages
 from fleetpulse.llm.jaccard_join import jaccard_components
 from fleetpulse.llm.kneser_ney import quality
 from fleetpulse.llm.nn_descent import nearest_neighbours
+from fleetpulse.llm.secret_scan import scan_secrets, secret_digest, secret_sql
 from fleetpulse.llm.sequence_pack import pack_documents
 from fleetpulse.llm.source_mix import mix_sources, mix_sql
 from fleetpulse.llm.suffix_dedup import suffix_dedup
@@ -96,3 +97,9 @@ def op10_toxicity_knn(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op5_nn_descent(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The nearest five of every fiftieth vector."""
     return nearest_neighbours(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
+
+
+@query("op11_secret_scan", secret_sql())
+def op11_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's secrets."""
+    return secret_digest(scan_secrets(table(spark, sf_dir, "documents")))
