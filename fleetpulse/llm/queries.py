@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from fleetpulse.llm.common import table
 from fleetpulse.llm.exact_dedup import exact_dedup
+from fleetpulse.llm.hard_negatives import NEGATIVES_SQL, hard_negatives, moved_labels
 from fleetpulse.llm.html_text import extract_pages
 from fleetpulse.llm.jaccard_join import jaccard_components
 from fleetpulse.llm.kneser_ney import quality
@@ -19,6 +20,7 @@ from fleetpulse.llm.source_mix import mix_sources, mix_sql
 from fleetpulse.llm.suffix_dedup import suffix_dedup
 from fleetpulse.llm.toxicity_knn import toxicity
 from fleetpulse.llm.url_templates import document_labels, judge_urls
+from fleetpulse.llm.whitening import whiten
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -103,3 +105,15 @@ def op5_nn_descent(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op11_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's secrets."""
     return secret_digest(scan_secrets(table(spark, sf_dir, "documents")))
+
+
+@query("op12_whitening")
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every vector on the four largest components."""
+    return whiten(table(spark, sf_dir, "embeddings"))
+
+
+@query("op13_hard_negatives", NEGATIVES_SQL)
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every fiftieth vector's positives, each with the negatives of its window."""
+    return hard_negatives(moved_labels(table(spark, sf_dir, "embeddings")), F.col("vec_id") % 50 == 0)
