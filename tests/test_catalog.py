@@ -4,6 +4,7 @@
 import pytest
 
 import __spark_entry__ as entry
+from fleetpulse.plans.catalog import QUERIES, SQL
 from tools.check import compare, oracle
 
 SF = "/root/testdata/sf0.001"
@@ -25,9 +26,9 @@ def test_query_equals_sql(spark, con, name):
     assert ok, why
 
 
-def test_every_query_but_the_rendered_digest_has_sql():
-    assert set(entry.queries()) - set(entry.oracle_sql()) == {"digest_documents"}
-    assert set(entry.oracle_sql()) <= set(entry.queries())
+def test_every_query_has_sql():
+    assert set(QUERIES) - set(SQL) == {"digest_documents"}
+    assert set(SQL) <= set(QUERIES) <= set(entry.queries()) and set(entry.oracle_sql()) <= set(entry.queries())
 
 
 def test_entry(spark):
