@@ -3,11 +3,12 @@ inside whole-stage code generation."""
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, functions as F
 
-from fleetpulse.schema import SEVERITIES, TYPE_LABELS, UNKNOWN_LABEL
+from fleetpulse.schema import EVENT_KINDS, SEVERITIES, TYPE_LABELS, UNKNOWN_LABEL
 
 _UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 _LOWER = "abcdefghijklmnopqrstuvwxyz"
@@ -162,3 +163,85 @@ def mover_score(first: Column, last: Column) -> Column:
 def leading_timestamp(line: Column) -> Column:
     """The timestamp text when it is the record's first key, else ''."""
     return F.regexp_extract(line, r'^\s*\{\s*"timestamp"\s*:\s*"([^"\\]*)"', 1)
+
+
+# --- canonical JSON ---------------------------------------------------------------
+# One text for each value, so that sizes in bytes are the same wherever it is rendered.
+
+
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
+# A number is written out while its decimal point is not more than so many places
+# behind its first digit, or before it.
+PLAIN_BEFORE, PLAIN_AFTER = 16, 5
+
+
+def shortest_digits(c: Column) -> Column:
+    """Text of a finite number with the fewest digits that read back as the same number.
+
+    The JVM's own text may have more; fifteen digits decide whether fewer would do, but for the
+    smallest numbers, which hold fewer.
+    """
+    own = c.cast("string")
+    places = [F.format_string(f"%.{n}e", c) for n in range(17)]
+    ways = [F.when(t.cast("double") == c, t) for t in places]
+    short = F.coalesce(*ways[14:], own)
+    return F.when(c < 2.0**-1022, F.coalesce(*ways, own)).when(F.length(F.regexp_replace(F.substring_index(own, "E", 1), r"[-.]|^-?0\.0*", "")) > 15, short).otherwise(own)
+
+
+def json_number(c: Column) -> Column:
+    """A double as JSON: shortest digits, ``1.0``, ``0.00001``, ``1e16``, ``1.5e-7``; null for what is no number."""
+
+    def laid_out(x: Column) -> Column:
+        digits, power = x["digits"], x["power"]
+        n = F.length(digits)
+        point = n + power
+        tail = F.concat(F.lit("e"), (point - 1).cast("string"))
+        return (
+            F.when((power >= 0) & (point <= PLAIN_BEFORE), F.concat(digits, F.repeat(F.lit("0"), power), F.lit(".0")))
+            .when((point > 0) & (point <= PLAIN_BEFORE), F.concat(F.substring(digits, F.lit(1), point), F.lit("."), F.substring(digits, point + 1, n)))
+            .when((point > -PLAIN_AFTER) & (point <= 0), F.concat(F.lit("0."), F.repeat(F.lit("0"), -point), digits))
+            .when(n == 1, F.concat(digits, tail))
+            .otherwise(F.concat(F.substring(digits, 1, 1), F.lit("."), F.substring(digits, F.lit(2), n), tail)))
+
+    def taken_apart(text: Column) -> Column:
+        """(digits without zeros on either side, power of ten of the last one)."""
+        mantissa = F.regexp_replace(text, "[eE].*$", "")
+        places = F.length(F.regexp_extract(mantissa, r"\.(.*)$", 1))
+        power = F.coalesce(F.nullif(F.regexp_extract(text, r"[eE]\+?(-?\d+)$", 1), F.lit("")).cast("int"), F.lit(0))
+        whole = F.regexp_replace(mantissa, r"\.|^0+\.?0*", "")
+        return let(F.struct(whole.alias("whole"), (power - places).alias("power")), lambda w: F.struct(
+            F.rtrim(w.whole, F.lit("0")).alias("digits"), (w.power + F.length(w.whole) - F.length(F.rtrim(w.whole, F.lit("0")))).alias("power")))
+
+    sign = F.when(c.cast("string").startswith("-"), "-").otherwise("")
+    positive = let(shortest_digits(F.abs(c)), lambda t: let(taken_apart(t), laid_out))
+    return F.when(finite_or_null(c).isNull(), "null").when(c == 0, F.concat(sign, F.lit("0.0"))).otherwise(F.concat(sign, positive))
+
+
+def json_text(c: Column) -> Column:
+    """A string as JSON; control characters that have no letter of their own as lower-case hex."""
+    quoted = F.to_json(F.array(c))
+    quoted = F.substring(quoted, F.lit(2), F.length(quoted) - 2)
+    hexed = quoted
+    for x in "ABCDEF":
+        hexed = F.regexp_replace(hexed, r"((?<!\\)(?:\\\\)*\\u00[01])" + x, "$1" + x.lower())
+    return F.when(c.isNull(), "null").when(quoted.rlike(r"\\u00[01][A-F]"), hexed).otherwise(quoted)
+
+
+def json_object(fields: dict[str, Column], types: dict[str, str] | None = None) -> Column:
+    """An object with its keys in order. ``types`` says which fields are a ``number`` or a ``text``; others are put in as they print."""
+    render = {"number": json_number, "text": json_text}
+    parts = []
+    for i, (name, c) in enumerate(fields.items()):
+        put = render.get((types or {}).get(name, ""), lambda x: F.coalesce(x.cast("string"), F.lit("null")))
+        parts += [F.lit(("," if i else "{") + f'"{name}":'), put(c)]
+    return F.concat(*parts, F.lit("}"))
+
+
+def event_object() -> Column:
+    """The event in the row's columns as JSON, with the contract's keys in its order."""
+    types = {k: "number" if kind.startswith("number") else "" if kind == "int" else "text" for k, kind in EVENT_KINDS.items()}
+    return json_object({k: F.col(k) for k in EVENT_KINDS}, types)

@@ -16,7 +16,8 @@ ROW_KEYS = [
     "avg", "delta", "in_violation",
 ]
 GAP_KEYS = ["from", "to", "seconds"]
-_JSON = {"ignoreNullFields": "false"}
+_ROW_TYPES = {
+    **{k: "text" for k in ("sensor", "reading", "type", "unit")}, **{k: "number" for k in ("first", "last", "min", "max", "avg", "delta")}}
 
 
 def flag_violated(series: DataFrame, events: DataFrame) -> DataFrame:
@@ -99,16 +100,16 @@ def assemble(
     """
     v = violations.select(
         "feed_id", F.lit(0).alias("tier"), F.row_number().over(Window.partitionBy("feed_id").orderBy(F.desc("seq"))).alias("r"),
-        F.col("seq").alias("at"), F.to_json(F.struct(*EVENT_KEYS), _JSON).alias("json"))
+        F.col("seq").alias("at"), S.event_object().alias("json"))
     g = gaps.select(
         "feed_id", F.lit(1).alias("tier"),
         F.row_number().over(Window.partitionBy("feed_id").orderBy(F.desc("seconds"), F.desc("blk"), F.desc("ord"))).alias("r"),
-        "blk", "ord", F.to_json(F.struct(*GAP_KEYS), _JSON).alias("json"))
+        "blk", "ord", S.json_object({k: F.col(k) for k in GAP_KEYS}, {"from": "text", "to": "text"}).alias("json"))
     chron = Window.partitionBy("feed_id").orderBy("blk", "ord")
     g = g.withColumn("at", F.row_number().over(chron).cast("long")).drop("blk", "ord")
     r = rows.where(F.col("rank") <= max_bytes).select(
         "feed_id", F.lit(2).alias("tier"), F.col("rank").alias("r"), F.col("rank").cast("long").alias("at"),
-        F.to_json(F.struct(*ROW_KEYS), _JSON).alias("json"))
+        S.json_object({k: F.col(k) for k in ROW_KEYS}, _ROW_TYPES).alias("json"))
     items = v.unionByName(g).unionByName(r).withColumn("size", F.octet_length("json"))
 
     keep = Window.partitionBy("feed_id").orderBy("tier", "r").rowsBetween(Window.unboundedPreceding, 0)
@@ -148,12 +149,10 @@ def assemble(
 
 
 def _meta_json(readings_shown: Column, violations_shown: Column, gaps_shown: Column) -> Column:
-    return F.to_json(F.struct(
-        F.struct("since", "until").alias("window"), "log_dir",
-        "files_scanned", "interval_seconds", "samples", "skipped_lines", "first_sample", "last_sample",
-        "series_total", "rules_evaluated",
-        F.struct(
-            readings_shown.alias("readings_shown"), "readings_total", violations_shown.alias("violations_shown"),
-            "violations_total", gaps_shown.alias("gaps_shown"), "gaps_total",
-        ).alias("truncated"),
-    ), _JSON)
+    shown = {"readings": readings_shown, "violations": violations_shown, "gaps": gaps_shown}
+    counts = {f"{k}_{which}": shown[k] if which == "shown" else F.col(f"{k}_total") for k in shown for which in ("shown", "total")}
+    texts = dict.fromkeys(("since", "until", "log_dir", "first_sample", "last_sample"), "text")
+    plain = ["log_dir", "files_scanned", "interval_seconds", "samples", "skipped_lines", "first_sample", "last_sample", "series_total", "rules_evaluated"]
+    return S.json_object({
+        "window": S.json_object({k: F.col(k) for k in ("since", "until")}, texts),
+        **{k: F.col(k) for k in plain}, "truncated": S.json_object(counts)}, texts)

@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 from fleetpulse.functions import scalars as S
 from fleetpulse.operators import blocked, readings as R
 from fleetpulse.operators.rules import Rule
-from fleetpulse.schema import EVENT_KEYS, RULE_SCHEMA
+from fleetpulse.schema import RULE_SCHEMA
 
 DEFAULT_CHUNK = 65_536
 NUMBERING_BLOCK = 4_096
@@ -356,8 +356,7 @@ def to_events(transitions_: DataFrame) -> DataFrame:
 
 def event_json(events: DataFrame, name: str = "event") -> DataFrame:
     """One JSON line per event, NULL fields written as null."""
-    return events.select(
-        "feed_id", "seq", F.to_json(F.struct(*EVENT_KEYS), {"ignoreNullFields": "false"}).alias(name))
+    return events.select("feed_id", "seq", S.event_object().alias(name))
 
 
 def first_fires(events: DataFrame) -> DataFrame:

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from fleetpulse.operators import digest as D, readings as R, series as A
-from fleetpulse.plans.catalog.registry import DAILY, FOLDED, POLL, query
+from fleetpulse.plans.catalog.registry import DAILY, FOLDED, POLL, VALUE, json_number_sql, json_object_sql, json_text_sql, query
 from fleetpulse.plans.catalog.rules import ALL_RULES, ALL_SQL, HOT_SQL, all_events, hot_events
 from fleetpulse.plans.report import ReportOptions, digest
 from fleetpulse.session import written
@@ -168,8 +168,8 @@ gt AS (SELECT feed_id, count_if(us > 21600000000) AS gaps_total FROM b GROUP BY
 SELECT feed_id, readings_total, coalesce(violations_total, 0) AS violations_total, gaps_total FROM s LEFT JOIN ev USING (feed_id) LEFT JOIN gt USING (feed_id)"""
 
 
-def feed_digests(spark, sf_dir, max_bytes: int) -> DataFrame:
-    s = T.polls_with_outages(spark, sf_dir)
+def feed_digests(spark, sf_dir, max_bytes: int, value: Column | None = None) -> DataFrame:
+    s = T.polls_with_outages(spark, sf_dir, value)
     a, b = (F.lit(x).cast("timestamp") for x in ("2024-01-01 00:00:00", UNTIL))
     return digest(s, R.readings_of(s), ALL_RULES, a, b, ReportOptions(interval_seconds=INTERVAL, max_bytes=max_bytes))
 
@@ -180,7 +180,84 @@ def digest_totals(spark, sf_dir):
     return feed_digests(spark, sf_dir, 2048).select("feed_id", "readings_total", "violations_total", "gaps_total")
 
 
-@query("digest_documents")
+def coarse(sql: str) -> str:
+    """SQL over the probed values in 64ths, see ``testdata.coarse_value``."""
+    return sql.replace(VALUE, VALUE.replace("ELSE value END", "ELSE floor(value * 64) / 64 END"))
+
+
+def _list(kind: str, order: str) -> str:
+    return f"""'[' || coalesce(string_agg(json, ',' ORDER BY {order}) FILTER (tier = '{kind}' AND kept), '') || ']'"""
+
+
+def _document(counts: tuple[str, str, str], lists: tuple[str, str, str]) -> str:
+    """The digest of one feed; ``counts`` and ``lists`` are readings, violations, gaps."""
+    text = json_text_sql
+    meta = json_object_sql({
+        "window": json_object_sql({"since": "'\"2024-01-01T00:00:00Z\"'", "until": f"'\"{UNTIL.replace(' ', 'T')}Z\"'"}),
+        "log_dir": "'\"\"'", "files_scanned": "0", "interval_seconds": f"{INTERVAL}", "samples": "samples", "skipped_lines": "0",
+        "first_sample": text("first_sample"), "last_sample": text("last_sample"), "series_total": "readings_total", "rules_evaluated": f"{len(ALL_RULES)}",
+        "truncated": json_object_sql({
+            "readings_shown": counts[0], "readings_total": "readings_total", "violations_shown": counts[1], "violations_total": "violations_total",
+            "gaps_shown": counts[2], "gaps_total": "gaps_total"})})
+    return json_object_sql({"schema_version": "1", "meta": meta, "violations": lists[1], "gaps": lists[2], "readings": lists[0]})
+
+
+_RULE_CASE = {k: " ".join(f"WHEN '{r.name}' THEN {v}" for r in ALL_RULES for v in [get(r)]) for k, get in {
+    "type": lambda r: f"'{r.kind}'", "severity": lambda r: f"'{r.severity}'",
+    "threshold": lambda r: "'null'" if r.threshold is None else f"'{r.threshold}'"}.items()}
+_EVENT = json_object_sql({
+    "schema_version": "1", "seq": "seq", "id": json_text_sql("rule || '-' || seq"), "rule": json_text_sql("rule"),
+    "type": json_text_sql(f"CASE rule {_RULE_CASE['type']} END"), "severity": json_text_sql(f"CASE rule {_RULE_CASE['severity']} END"),
+    "state": json_text_sql("state"), "timestamp": json_text_sql("timestamp"), "sensor": json_text_sql("sensor"), "reading": json_text_sql("reading"),
+    "value": json_number_sql("value"), "unit": json_text_sql("unit"), "threshold": f"CASE rule {_RULE_CASE['threshold']} END",
+    "samples_in_violation": "samples_in_violation"})
+_GAP = json_object_sql({"from": json_text_sql('"from"'), "to": json_text_sql('"to"'), "seconds": "seconds"})
+_ROW = json_object_sql({
+    **{k: json_text_sql(k) for k in ("sensor", "reading", "type", "unit")}, "samples": "samples", "non_finite": "non_finite",
+    **{k: json_number_sql(f'"{k}"') for k in ("first", "last", "min", "max", "avg", "delta")}, "in_violation": "in_violation::VARCHAR"})
+#: At this size some feeds lose rows, some gaps, and some violations.
+BUDGET = 8192
+#: Items in keeping order: the latest violations, the largest gaps, the first rows. Every prefix of that order is sized with its own counts.
+DOCUMENTS_SQL = coarse(f"""
+WITH {POLL}, live AS (SELECT * FROM poll WHERE reading <> 'error'),
+ev AS MATERIALIZED (SELECT * FROM ({ALL_SQL})),
+base AS (SELECT *, max(ts) OVER w AS prev_ts, arg_max(raw_timestamp, (ts, -ord)) OVER w AS prev_raw
+         FROM live WINDOW w AS (PARTITION BY feed_id ORDER BY ord ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+gap AS (SELECT feed_id, ord, prev_raw AS "from", raw_timestamp AS "to", (epoch_us(ts) - epoch_us(prev_ts)) // 1000000 AS seconds
+        FROM base WHERE epoch_us(ts) - epoch_us(prev_ts) > {3 * INTERVAL}000000),
+agg AS (
+  SELECT feed_id, sensor, reading, arg_min(type, ord) AS type, arg_max(unit, ord) AS unit, count(*) AS samples, count_if(NOT isfinite(value)) AS non_finite,
+         arg_min(value, ord) FILTER (isfinite(value)) AS first, arg_max(value, ord) FILTER (isfinite(value)) AS last,
+         min(value) FILTER (isfinite(value)) AS min, max(value) FILTER (isfinite(value)) AS max,
+         sum(value) FILTER (isfinite(value)) / nullif(count_if(isfinite(value)), 0) AS avg
+  FROM live GROUP BY feed_id, sensor, reading),
+moved AS (SELECT *, last - first AS delta, (feed_id, sensor, reading) IN (SELECT (feed_id, sensor, reading) FROM ev WHERE sensor IS NOT NULL) AS in_violation,
+            coalesce(abs(last / greatest(abs(first), abs(last), 1.0) - first / greatest(abs(first), abs(last), 1.0)), 0.0) AS score FROM agg),
+items AS (
+  SELECT feed_id, 'v' AS tier, 0 AS t, row_number() OVER (PARTITION BY feed_id ORDER BY seq DESC) AS r, seq AS spot, {_EVENT} AS json FROM ev
+  UNION ALL SELECT feed_id, 'g', 1, row_number() OVER (PARTITION BY feed_id ORDER BY seconds DESC, ord DESC), ord, {_GAP} FROM gap
+  UNION ALL SELECT feed_id, 'r', 2, row_number() OVER (PARTITION BY feed_id ORDER BY in_violation DESC, score DESC, sensor, reading) AS r, r, {_ROW} FROM moved),
+meta AS (
+  SELECT feed_id, count(*) AS samples, arg_min(raw_timestamp, ord) AS first_sample, arg_max(raw_timestamp, ord) AS last_sample FROM live GROUP BY feed_id),
+totals AS (
+  SELECT m.*, (SELECT count(*) FROM items i WHERE i.feed_id = m.feed_id AND tier = 'r') AS readings_total,
+    (SELECT count(*) FROM items i WHERE i.feed_id = m.feed_id AND tier = 'v') AS violations_total,
+    (SELECT count(*) FROM items i WHERE i.feed_id = m.feed_id AND tier = 'g') AS gaps_total FROM meta m),
+upto AS (
+  SELECT i.*, count_if(tier = 'v') OVER w AS nv, count_if(tier = 'g') OVER w AS ng, count_if(tier = 'r') OVER w AS nr, sum(strlen(json)) OVER w AS held
+  FROM items i WINDOW w AS (PARTITION BY feed_id ORDER BY t, r)),
+sized AS (
+  SELECT u.*, strlen({_document(("nr", "nv", "ng"), ("'[]'",) * 3)}) + held + greatest(nv - 1, 0) + greatest(ng - 1, 0) + greatest(nr - 1, 0) <= {BUDGET} AS kept
+  FROM upto u JOIN totals USING (feed_id)),
+lists AS (
+  SELECT feed_id, {_list('v', 'spot')} AS vs, {_list('g', 'spot')} AS gs, {_list('r', 'spot')} AS rs, count_if(kept AND tier = 'r') AS n_r,
+    count_if(kept AND tier = 'v') AS n_v, count_if(kept AND tier = 'g') AS n_g FROM sized GROUP BY feed_id),
+done AS (SELECT *, {_document(("n_r", "n_v", "n_g"), ("rs", "vs", "gs"))} AS digest FROM lists JOIN totals USING (feed_id))
+SELECT feed_id, digest, true AS fits, n_r AS readings_shown, readings_total, n_v AS violations_shown, violations_total, n_g AS gaps_shown, gaps_total,
+  strlen(digest) AS bytes FROM done""")
+
+
+@query("digest_documents", DOCUMENTS_SQL)
 def digest_documents(spark, sf_dir):
-    """The rendered digest of every feed, at most 4096 bytes each."""
-    return feed_digests(spark, sf_dir, 4096)
+    """The rendered digest of every feed, at most 8192 bytes each."""
+    return feed_digests(spark, sf_dir, BUDGET, T.coarse_value())

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from fleetpulse.functions import scalars as S
 from fleetpulse.operators import readings as R, series as A
-from fleetpulse.plans.catalog.registry import DAILY, FOLDED, POLL, TYPE_CASE, UNIT_CASE, finite, query
+from fleetpulse.plans.catalog.registry import DAILY, FOLDED, POLL, TYPE_CASE, UNIT_CASE, finite, json_number_sql, query
 from fleetpulse.session import shared_folder
 from fleetpulse.sources import sample_log, tables, testdata as T
 
@@ -412,3 +412,17 @@ def clean_patterns(spark, sf_dir):
     c = T.table(spark, sf_dir, "customer")
     arr = F.array(F.concat(F.lit(" "), F.col("c_mktsegment"), F.lit(" ")), F.when(F.col("c_custkey") % 2 == 0, "  ").otherwise(" X"), F.col("c_name"))
     return c.select("c_custkey", F.array_join(S.clean_patterns(arr), "|").alias("patterns"))
+
+
+#: Factors that move a value through all ranges of a JSON number.
+FACTORS = [1.0, -1e-3, 1e-5, 1e-9, 1e-300, 1e5, -1e12, 1e14, 1e15, 1e16, 1e20, 1e300, 0.0, -0.0]
+
+
+@query("json_numbers", f"""
+SELECT event_id, {json_number_sql('x')} AS rendered FROM (
+  SELECT event_id, CASE WHEN event_id % 31 = 0 THEN floor(value) ELSE value END * [{', '.join(f"{x!r}::DOUBLE" for x in FACTORS)}][event_id % {len(FACTORS)} + 1] AS x FROM events)""")
+def json_numbers(spark, sf_dir):
+    """Numbers of every size as they stand in a digest."""
+    v = F.when(F.col("event_id") % 31 == 0, F.floor("value").cast("double")).otherwise(F.col("value"))
+    x = v * F.element_at(F.array(*[F.lit(f) for f in FACTORS]), (F.col("event_id") % len(FACTORS) + 1).cast("int"))
+    return T.table(spark, sf_dir, "events").select("event_id", S.json_number(x).alias("rendered"))

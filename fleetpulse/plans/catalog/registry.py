@@ -78,3 +78,28 @@ def threshold_sym(x: str, op: str, bound: float, clear: float) -> str:
 
 def finite(x: str) -> str:
     return f"CASE WHEN isfinite({x}) THEN {x} END"
+
+
+def json_number_sql(x: str) -> str:
+    """``x`` as a JSON number: the shortest digits of DuckDB's own text, laid out anew."""
+    text = f"abs({x})::VARCHAR"
+    parts = f"""[{{'whole': regexp_replace(regexp_replace(t, '[eE].*$', ''), '\\.|^0+\\.?0*', '', 'g'),
+      'power': coalesce(nullif(regexp_extract(t, '[eE][+]?(-?[0-9]+)$', 1), '')::INT, 0) - length(regexp_extract(regexp_replace(t, '[eE].*$', ''), '\\.(.*)$', 1))}} FOR t IN [{text}]][1]"""
+    digits = f"[{{'d': rtrim(w.whole, '0'), 'point': length(w.whole) + w.power}} FOR w IN [{parts}]][1]"
+    laid = f"""[CASE WHEN v.point BETWEEN length(v.d) AND 16 THEN v.d || repeat('0', v.point - length(v.d)) || '.0'
+      WHEN v.point BETWEEN 1 AND 16 THEN left(v.d, v.point) || '.' || substr(v.d, v.point + 1)
+      WHEN v.point BETWEEN -4 AND 0 THEN '0.' || repeat('0', -v.point) || v.d
+      WHEN length(v.d) = 1 THEN v.d || 'e' || (v.point - 1)
+      ELSE left(v.d, 1) || '.' || substr(v.d, 2) || 'e' || (v.point - 1) END FOR v IN [{digits}]][1]"""
+    sign = f"CASE WHEN signbit({x}) THEN '-' ELSE '' END"
+    return f"CASE WHEN {x} IS NULL OR NOT isfinite({x}) THEN 'null' WHEN {x} = 0 THEN {sign} || '0.0' ELSE {sign} || {laid} END"
+
+
+def json_object_sql(fields: dict[str, str]) -> str:
+    """An object of SQL expressions that are already JSON."""
+    return "'{' || " + " || ',' || ".join(f"""'"{k}":' || {v}""" for k, v in fields.items()) + " || '}'"
+
+
+def json_text_sql(x: str) -> str:
+    """A string that needs no escapes."""
+    return f"""coalesce('"' || {x} || '"', 'null')"""

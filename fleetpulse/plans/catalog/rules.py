@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, functions as F
 from fleetpulse.functions import scalars as S
 from fleetpulse.operators import blocked, engine, readings as R
 from fleetpulse.operators.rules import Rule, make_rule, prune, prune_rules, rule_errors, with_defaults
-from fleetpulse.plans.catalog.registry import DENSE, GATE, POLL, UNIT_CASE, finite, query, threshold_sym
+from fleetpulse.plans.catalog.registry import DENSE, GATE, POLL, UNIT_CASE, finite, json_number_sql, query, threshold_sym
 from fleetpulse.sources import testdata as T
 
 SHOWN = ["feed_id", "seq", "rule", "state", "timestamp", "sensor", "reading", "value", "unit", "samples_in_violation"]
@@ -61,7 +61,7 @@ def first_fires(spark, sf_dir):
 @query("event_json", f"""
 SELECT feed_id, seq, '{{"schema_version":1,"seq":' || seq || ',"id":"hot-' || seq || '","rule":"hot","type":"threshold","severity":"warning","state":"'
   || state || '","timestamp":"' || timestamp || '","sensor":"' || sensor || '","reading":"' || reading || '","value":'
-  || coalesce(value::VARCHAR, 'null') || ',"unit":"' || unit || '","threshold":60.0,"samples_in_violation":' || samples_in_violation || '}}' AS event
+  || {json_number_sql('value')} || ',"unit":"' || unit || '","threshold":60.0,"samples_in_violation":' || samples_in_violation || '}}' AS event
 FROM ({HOT_SQL})""")
 def event_json(spark, sf_dir):
     return engine.event_json(hot_events(spark, sf_dir))

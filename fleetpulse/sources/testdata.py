@@ -39,6 +39,12 @@ def probed_value() -> Column:
     return F.when(F.col("event_id") % 17 == 0, None).when(F.col("event_id") % 19 == 0, F.lit(float("nan"))).otherwise(F.col("value"))
 
 
+def coarse_value() -> Column:
+    """The probed value in 64ths, so that sums are exact in any order."""
+    v = probed_value()
+    return F.when(F.isnan(v), v).otherwise(F.floor(v * 64) / 64)
+
+
 def raw_text(ts: Column) -> Column:
     return F.date_format(ts, "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'")
 
@@ -81,18 +87,18 @@ def dense_stream(spark: SparkSession, sf_dir: str, value: Column | None = None)
     return _with_markers(dense_readings(spark, sf_dir, value))
 
 
-def poll_readings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return dense_readings(spark, sf_dir).withColumn("feed_id", F.substring_index("feed_id", "/", 1))
+def poll_readings(spark: SparkSession, sf_dir: str, value: Column | None = None) -> DataFrame:
+    return dense_readings(spark, sf_dir, value).withColumn("feed_id", F.substring_index("feed_id", "/", 1))
 
 
 def poll_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _with_markers(poll_readings(spark, sf_dir))
 
 
-def polls_with_outages(spark: SparkSession, sf_dir: str) -> DataFrame:
+def polls_with_outages(spark: SparkSession, sf_dir: str, value: Column | None = None) -> DataFrame:
     """polls, where an event of type error is a poll that found no source: its
     marker stays, as unavailable, and its reading goes."""
-    return _with_markers(poll_readings(spark, sf_dir), F.col("reading") != "error")
+    return _with_markers(poll_readings(spark, sf_dir, value), F.col("reading") != "error")
 
 
 def daily_readings(spark: SparkSession, sf_dir: str) -> DataFrame:
