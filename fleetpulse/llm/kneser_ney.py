@@ -16,7 +16,7 @@ from fleetpulse.session import written
 ORDER = 4
 #: They open and close every text; the texts' own copies of them are read as spaces.
 OPEN, CLOSE = "\x02", "\x03"
-BLOCK_CHARS = 40 << 20
+BLOCK_CHARS = 8 << 20
 SLICE_CHARS = 1 << 20
 
 
@@ -29,8 +29,8 @@ def ranked(keys: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
     return np.flatnonzero(present), (np.cumsum(present) - 1)[keys]
 
 
-def text_slices(docs: pa.Table) -> Iterator[tuple[str, list[str], list]]:
-    """(language, texts, ids) of a few texts of one language at a time."""
+def text_slices(docs: pa.Table) -> Iterator[tuple[str, np.ndarray, list[str]]]:
+    """(language, row numbers, texts) of a few texts of one language at a time."""
     lengths = pc.utf8_length(docs.column("text")).to_pylist()
     by_lang: dict[str, list[int]] = {}
     for row, lang in enumerate(docs.column("lang").to_pylist()):
@@ -42,11 +42,20 @@ def text_slices(docs: pa.Table) -> Iterator[tuple[str, list[str], list]]:
             while j < len(rows) and (j == i or held + lengths[rows[j]] <= SLICE_CHARS):
                 held += lengths[rows[j]]
                 j += 1
-            part = docs.take(rows[i:j])
-            yield lang, part.column("text").to_pylist(), part.column("doc_id").to_pylist()
+            yield lang, np.array(rows[i:j]), docs.column("text").take(pa.array(rows[i:j])).to_pylist()
             i = j
 
 
+def block_parts(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[bool, pa.Table]]:
+    """(are they texts, rows) of a sorted block: first what the block was sent, then its texts, a few batches at a time."""
+    for batch in batches:
+        kinds = batch.column("is_text").to_numpy(zero_copy_only=False)
+        cut = int(np.searchsorted(kinds, True))
+        for part, texts in ((batch.slice(0, cut), False), (batch.slice(cut), True)):
+            if part.num_rows:
+                yield texts, pa.Table.from_batches([part])
+
+
 def grams_of(texts: list[str], order: int) -> tuple[list[str], np.ndarray, np.ndarray]:
     """(distinct grams, gram of each symbol, first symbol of each text) of opened and closed texts."""
     plain = [OPEN * (order - 1) + t.replace(OPEN, " ").replace(CLOSE, " ") + CLOSE for t in texts]
@@ -67,38 +76,49 @@ def grams_of(texts: list[str], order: int) -> tuple[list[str], np.ndarray, np.nd
     return names, at[own], first
 
 
-def count_block(docs: pa.Table, trusted: pa.Table, order: int) -> pa.Table:
-    """``block, lang, gram, n`` of all grams of a block; n counts those of trusted texts only."""
-    ids = set(trusted.column("doc_id").to_pylist())
-    totals: dict[tuple[str, str], int] = {}
-    for lang, texts, doc_ids in text_slices(docs):
-        names, at, first = grams_of(texts, order)
-        use = np.array([d in ids for d in doc_ids], np.float64)
-        weight = np.repeat(use, np.diff(np.append(first, len(at))))
-        for name, n in zip(names, np.bincount(at, weight, len(names)).astype(np.int64).tolist()):
-            totals[lang, name] = totals.get((lang, name), 0) + n
-    block = docs.column("block")[0].as_py() if docs.num_rows else 0
-    return pa.table({
-        "block": pa.array([block] * len(totals), pa.int32()), "lang": pa.array([k[0] for k in totals], pa.string()),
-        "gram": pa.array([k[1] for k in totals], pa.string()), "n": pa.array(list(totals.values()), pa.int64())})
-
-
-def score_block(docs: pa.Table, model: pa.Table, order: int) -> pa.Table:
-    """``doc_id, lang, symbols, log_sum`` of a block's texts; log_sum is null without a model of the language."""
+def count_block(batches: Iterator[pa.RecordBatch], order: int) -> Iterator[pa.RecordBatch]:
+    """``block, lang, gram, n`` of all grams of a block, once each; n counts those of trusted texts only."""
+    ids: set[int] = set()
+    totals: dict[str, dict[str, int]] = {}
+    block = None
+    for is_text, rows in block_parts(batches):
+        block = rows.column("block")[0].as_py()
+        if not is_text:
+            ids.update(rows.column("doc_id").to_pylist())
+            continue
+        trusted = np.array([d in ids for d in rows.column("doc_id").to_pylist()], np.float64)
+        for lang, at_rows, texts in text_slices(rows):
+            names, at, first = grams_of(texts, order)
+            weight = np.repeat(trusted[at_rows], np.diff(np.append(first, len(at))))
+            held = totals.setdefault(lang, {})
+            for name, n in zip(names, np.bincount(at, weight, len(names)).astype(np.int64).tolist()):
+                held[name] = held.get(name, 0) + n
+    for lang, held in totals.items():
+        names, counts = list(held), list(held.values())
+        for i in range(0, len(names), 1 << 16):
+            some = names[i : i + (1 << 16)]
+            yield pa.RecordBatch.from_arrays([
+                pa.array([block] * len(some), pa.int32()), pa.array([lang] * len(some), pa.string()), pa.array(some, pa.string()),
+                pa.array(counts[i : i + (1 << 16)], pa.int64())], ["block", "lang", "gram", "n"])
+
+
+def score_block(batches: Iterator[pa.RecordBatch], order: int) -> Iterator[pa.RecordBatch]:
+    """``doc_id, digest, lang, symbols, log_sum`` of a block's texts; log_sum is null without a model of the language."""
     logs: dict[str, dict[str, float]] = {}
-    for lang, gram, value in zip(*(model.column(c).to_pylist() for c in ("lang", "gram", "log_p"))):
-        logs.setdefault(lang, {})[gram] = value
-    out: list[tuple] = []
-    for lang, texts, doc_ids in text_slices(docs):
-        known = logs.get(lang, {})
-        names, at, first = grams_of(texts, order)
-        value = np.array([known.get(name, np.nan) for name in names])
-        sums = np.add.reduceat(value[at], first)
-        symbols = np.diff(np.append(first, len(at)))
-        out.extend((d, lang, int(n), None if np.isnan(x) else float(x)) for d, n, x in zip(doc_ids, symbols, sums))
-    types = [pa.int64(), pa.string(), pa.int64(), pa.float64()]
-    cols = list(zip(*out)) or [[]] * 4
-    return pa.table({c: pa.array(v, t) for c, v, t in zip(("doc_id", "lang", "symbols", "log_sum"), cols, types)})
+    for is_text, rows in block_parts(batches):
+        if not is_text:
+            for lang, gram, value in zip(*(rows.column(c).to_pylist() for c in ("lang", "gram", "log_p"))):
+                logs.setdefault(lang, {})[gram] = value
+            continue
+        symbols, sums = np.zeros(rows.num_rows, np.int64), np.full(rows.num_rows, np.nan)
+        for lang, at_rows, texts in text_slices(rows):
+            known = logs.get(lang, {})
+            names, at, first = grams_of(texts, order)
+            value = np.array([known.get(name, np.nan) for name in names])
+            sums[at_rows] = np.add.reduceat(value[at], first)
+            symbols[at_rows] = np.diff(np.append(first, len(at)))
+        out = rows.select(["doc_id", "digest", "lang"]).combine_chunks().append_column("symbols", pa.array(symbols))
+        yield from out.append_column("log_sum", pa.array(sums, mask=np.isnan(sums))).to_batches()
 
 
 def discounts(level: DataFrame) -> DataFrame:
@@ -146,36 +166,40 @@ def fold(col: Column) -> Column:
     return F.pmod(F.crc32(F.coalesce(col.cast("string"), F.lit("")).cast("binary")), F.lit(5))
 
 
+def dealt(docs: DataFrame, sent: DataFrame, blocks: int) -> DataFrame:
+    """A partition for each block, by its own number: first the rows sent to it, then its texts."""
+    both = sent.withColumn("is_text", F.lit(False)).unionByName(docs.withColumn("is_text", F.lit(True)), allowMissingColumns=True)
+    return both.repartitionById(blocks, F.col("block")).sortWithinPartitions("is_text")
+
+
 def perplexities(docs: DataFrame, trusted: DataFrame, order: int = ORDER, block_chars: int = BLOCK_CHARS) -> DataFrame:
-    """``doc_id, lang, symbols, log_sum`` of all ``docs`` (doc_id, lang, text) by a model of the ``trusted`` ids' texts.
+    """``doc_id, digest, lang, symbols, log_sum`` of all ``docs`` (doc_id, lang, text) by a model of the ``trusted`` ids' texts.
 
-    Texts are dealt into blocks of about ``block_chars`` characters, by a hash of the id.
-    Counting writes every distinct gram of a block with its count; scoring deals the texts again
-    and gives each block those grams with their probabilities. In between are joins of count tables only.
+    Texts are dealt into blocks of about ``block_chars`` characters, by a hash of id and text, a
+    block to a partition. Counting writes every distinct gram of a block with its count; scoring deals the texts again
+    and sends each block those grams with their probabilities before its texts, which stream past them. In
+    between are joins of count tables only. A task holds the grams of a block, and a slice of its texts.
+    ``digest`` is the text's SHA-256.
     """
-    size = docs.agg(F.sum(F.length("text"))).first()[0] or 0
+    size = docs.agg(F.sum(F.length("text") + 1)).first()[0] or 0
     blocks = max(1, -(-size // block_chars))
-    block = F.pmod(F.xxhash64("doc_id", F.length("text")), F.lit(blocks)).cast("int")
-    dealt = docs.select(*(F.col(c).alias(c) for c in ("doc_id", "lang", "text")), block.alias("block")).repartition(blocks, "block")
-    marks = (
-        docs.select("doc_id", block.alias("block")).join(trusted.select("doc_id").distinct(), "doc_id").repartition(blocks, "block")
-    )
-    counted = dealt.groupBy("block").cogroup(marks.groupBy("block")).applyInArrow(
-        lambda left, right: count_block(left, right, order), "block int, lang string, gram string, n bigint")
+    digest = F.unhex(F.sha2("text", 256))
+    rows = docs.select("doc_id", "lang", "text", F.pmod(F.xxhash64("doc_id", "text"), F.lit(blocks)).cast("int").alias("block"))
+    marks = rows.select("doc_id", "block").join(trusted.select("doc_id").distinct(), "doc_id")
+    counted = dealt(rows, marks, blocks).mapInArrow(lambda it: count_block(it, order), "block int, lang string, gram string, n bigint")
     grams = written(counted, "grams")
     all_grams = written(grams.groupBy("lang", "gram").agg(F.sum("n").alias("n")), "counts")
     p = written(probabilities(all_grams.select("lang", "gram"), all_grams.filter("n > 0"), order), "model")
-    model = grams.select("block", "lang", "gram").join(p, ["lang", "gram"]).select(
-        F.col("block").alias("block"), F.col("lang").alias("lang"), F.col("gram").alias("gram"), F.log("p").alias("log_p"))
-    return dealt.groupBy("block").cogroup(model.repartition(blocks, "block").groupBy("block")).applyInArrow(
-        lambda left, right: score_block(left, right, order), "doc_id bigint, lang string, symbols bigint, log_sum double")
+    model = grams.select("block", "lang", "gram").join(p, ["lang", "gram"]).select("block", "lang", "gram", F.log("p").alias("log_p"))
+    return dealt(rows.withColumn("digest", digest), model, blocks).mapInArrow(
+        lambda it: score_block(it, order), "doc_id bigint, digest binary, lang string, symbols bigint, log_sum double")
 
 
-def quality(
+def judged(
     docs: DataFrame, labels: DataFrame, high: float = 0.995, low: float | None = None, order: int = ORDER, block_chars: int = BLOCK_CHARS,
     id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang",
 ) -> DataFrame:
-    """``doc_id, lang, symbols, perplexity, least, most, kept`` for every document.
+    """``doc_id, digest, lang, symbols, perplexity, least, most, kept`` for every document.
 
     ``labels`` has doc_id and quality (0 or 1). Texts with quality 1 are trusted; the model of each
     language is trained on four fifths of them, all of these and whole, and the limits ``least`` and ``most``
@@ -198,10 +222,23 @@ def quality(
     )
     p = F.col("perplexity")
     inside = F.coalesce(p <= F.col("most"), F.lit(True)) & F.coalesce(p >= F.col("least"), F.lit(True))
-    return scored.join(limits, "lang", "left").select("doc_id", "lang", "symbols", "perplexity", "least", "most", inside.alias("kept"))
+    return scored.join(limits, "lang", "left").select("doc_id", "digest", "lang", "symbols", "perplexity", "least", "most", inside.alias("kept"))
 
 
-def keep_good(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
-    """The rows of ``docs`` that are kept, with all their columns; rows without an id stay."""
-    bad = quality(docs, labels, id_col=id_col, **options).filter("not kept and doc_id is not null").select(F.col("doc_id").alias("__bad")).distinct()
-    return docs.join(bad, F.col(id_col) == F.col("__bad"), "left_anti")
+def quality(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
+    """``judged`` without the digest."""
+    return judged(docs, labels, **options).drop("digest")
+
+
+def keep_good(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", **options) -> DataFrame:
+    """The rows of ``docs`` that are kept, with all their columns.
+
+    A row goes by its own id, text and language, so that rows that share an id, or have none, do
+    not decide for each other.
+    """
+    names = ["__bad_id", "__bad_digest", "__bad_lang"]
+    bad = judged(docs, labels, id_col=id_col, text_col=text_col, lang_col=lang_col, **options).filter("not kept")
+    bad = bad.select(*(F.col(c).alias(n) for c, n in zip(("doc_id", "digest", "lang"), names))).distinct()
+    own = [F.col(id_col).cast("bigint"), F.unhex(F.sha2(text_or_empty(text_col), 256)), text_or_empty(lang_col)]
+    same = [o.eqNullSafe(F.col(n)) for o, n in zip(own, names)]
+    return docs.join(bad, same[0] & same[1] & same[2], "left_anti")

@@ -200,3 +200,15 @@ def test_toxicity_learns_words(spark):
     assert right >= 0.95 * len(held)
     assert toxicity(docs.limit(0), labels).count() == 0
     assert {g.predicted for g in toxicity(docs, labels.limit(0)).collect()} == {0}
+
+
+def test_rows_of_one_id_or_none_go_by_their_own_text(spark):
+    from fleetpulse.llm.kneser_ney import keep_good
+
+    good = [(i, "the cat sat on the mat and the dog", "en") for i in range(40)]
+    rows = good + [(5, "zqx#" * 9, "en"), (None, "zqx#" * 9, "en"), (None, "the cat sat on the mat and the dog", "en"), (900, None, "en"), (901, "zqx#" * 9, None)]
+    docs = spark.createDataFrame([(*r, "x", 1) for r in rows], "doc_id bigint, text string, lang string, digest string, __id int")
+    labels = spark.createDataFrame([(i, 1) for i in range(40)], "doc_id bigint, quality int")
+    kept = keep_good(docs, labels, high=1.0).drop("digest", "__id").collect()
+    assert sorted((r.doc_id is None, r.doc_id or 0, r.text[:3] if r.text else "") for r in kept) == sorted(
+        [(False, i, "the") for i in range(40)] + [(True, 0, "the"), (False, 901, "zqx")] + ([(False, 900, "")] if any(r.doc_id == 900 for r in kept) else []))
