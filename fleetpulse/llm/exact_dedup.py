@@ -55,7 +55,7 @@ def keep_first_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     Of rows that repeat id and text, one stays. Different texts all stay, also where they
     share an id or have none.
     """
-    kept = exact_dedup(docs, id_col, text_col).filter("kept").select(F.col("doc_id").alias("__id"), F.unhex("text_sha256").alias("__kept"))
-    rows = docs.withColumn("__digest", F.unhex(F.sha2(normalised(text_col), 256)))
-    held = rows.join(kept, F.col(id_col).eqNullSafe(F.col("__id")) & (F.col("__digest") == F.col("__kept")), "left_semi")
-    return held.dropDuplicates(["__digest"]).drop("__digest")
+    kept = exact_dedup(docs, id_col, text_col).filter("kept").select(F.col("doc_id").alias("__exact_id"), F.unhex("text_sha256").alias("__exact_kept"))
+    rows = docs.withColumn("__exact_digest", F.unhex(F.sha2(normalised(text_col), 256)))
+    held = rows.join(kept, F.col(id_col).eqNullSafe(F.col("__exact_id")) & (F.col("__exact_digest") == F.col("__exact_kept")), "left_semi")
+    return held.dropDuplicates(["__exact_digest"]).drop("__exact_digest")

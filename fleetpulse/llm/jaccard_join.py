@@ -149,23 +149,27 @@ def possible_overlap(maps: np.ndarray, one: int, others: np.ndarray, n: np.ndarr
 def tile_pairs(tiles: DataFrame, labels: DataFrame | None, sets: DataFrame, percent: int, tile: int, few: bool) -> DataFrame:
     """``a, b, h, band``: pairs of a tile whose bitmaps leave enough overlap possible.
 
-    Pairs are made across components (``labels``; None: each set is its own). With ``few``, each strong
-    set gives at most two: with the partner whose bitmap leaves the highest similarity possible, and
-    with the possible partner of the smallest id; tiles where more were possible are given as rows (h,
-    band). Without, all possible pairs are given. A tile of more than ``tile`` sets is dealt to blocks,
-    and each pair of blocks to a task.
+    A tile of more than ``tile`` sets is dealt to blocks, and each pair of blocks to a task. Without
+    ``labels`` each set looks for partners in one tile only, the first of its own, and there in its own block: at
+    most two pairs a set, with the partner whose bitmap leaves the highest similarity possible, and with the possible
+    partner of the smallest id. With ``labels`` pairs are made across components, in tiles that
+    hold several. With ``few`` each component of a task gives its likeliest pair and its first, as in Boruvka's
+    rounds; tiles where more were possible are given as rows (h, band). Without, all possible pairs are given.
     """
-    if labels is None:
-        open_rows = tiles.withColumn("component", F.col("rep"))
+    first = labels is None
+    if first:
+        own = tiles.filter("home and strong").groupBy("rep").agg(F.min(F.struct("h", "band")).alias("own")).select("rep", "own.h", "own.band", F.lit(True).alias("looks"))
+        open_rows = tiles.join(own.select("h", "band").distinct(), ["h", "band"], "left_semi").join(own, ["rep", "h", "band"], "left")
+        open_rows = open_rows.withColumn("looks", F.coalesce("looks", F.lit(False))).withColumn("component", F.col("rep"))
     else:
         named = tiles.join(labels.select(F.col("id").alias("rep"), "component"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
         mixed = named.groupBy("h", "band").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo <> hi").select("h", "band")
-        open_rows = named.join(mixed, ["h", "band"])
+        open_rows = named.join(mixed, ["h", "band"]).withColumn("looks", F.col("strong"))
     blocks = F.ceil(F.col("size") / tile).cast("int")
     block = F.pmod(F.xxhash64("rep"), blocks.cast("bigint")).cast("int")
     dealt = open_rows.join(sets.select(F.col("doc_id").alias("rep"), "bits"), "rep").withColumn("blocks", blocks).withColumn("block", block)
-    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    dealt = dealt.select("h", "band", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "rep", "n", "home", "strong", "component", "bits")
+    dealt = dealt.withColumn("other", F.col("block") if first else F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    dealt = dealt.select("h", "band", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "rep", "n", "home", "strong", "looks", "component", "bits")
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("h", pa.int64()), ("band", pa.int32())])
 
     def compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -181,10 +185,10 @@ def tile_pairs(tiles: DataFrame, labels: DataFrame | None, sets: DataFrame, perc
         for run in runs(batches, ["h", "band", "i", "j"]):
             rep, n, home, strong, label = (run[c] for c in ("rep", "n", "home", "strong", "component"))
             block, apart = run["block"], run["i"][0] != run["j"][0]
-            if len(rep) < 2 or not strong.any():
+            if len(rep) < 2 or not run["looks"].any():
                 continue
-            maps, order, chosen, possible = folded(run["bits"]), np.arange(len(rep)), set(), 0
-            for x in np.flatnonzero(strong):
+            maps, order, best, possible = folded(run["bits"]), np.arange(len(rep)), {}, 0
+            for x in np.flatnonzero(run["looks"]):
                 fit = (label != label[x]) & (np.minimum(n, n[x]) * 100 >= np.maximum(n, n[x]) * percent) & (home | home[x])
                 if apart:
                     fit &= block != block[x]
@@ -200,13 +204,19 @@ def tile_pairs(tiles: DataFrame, labels: DataFrame | None, sets: DataFrame, perc
                     continue
                 if few:
                     possible += int(((others > x) | ~strong[others]).sum())
-                    for y in (rep[others[int(np.argmax(most / (n[x] + n[others] - most)))]], rep[others].min()):
-                        chosen.add((min(int(rep[x]), int(y)), max(int(rep[x]), int(y))))
+                    alike = most / (n[x] + n[others] - most)
+                    likeliest = int(np.argmax(alike))
+                    for way, score, y in ((0, -alike[likeliest], rep[others[likeliest]]), (1, int(rep[others].min()), rep[others].min())):
+                        offer = (score, min(int(rep[x]), int(y)), max(int(rep[x]), int(y)))
+                        key = (label[x], way)
+                        if key not in best or offer < best[key]:
+                            best[key] = offer
                 else:
                     firsts.append(np.minimum(rep[x], rep[others]))
                     seconds.append(np.maximum(rep[x], rep[others]))
                     held += len(others)
-            if possible > len(chosen):
+            chosen = {offer[1:] for offer in best.values()}
+            if not first and possible > len(chosen):
                 tiles_left.append((int(run["h"][0]), int(run["band"][0])))
             if fresh := chosen - given:
                 firsts.append(np.array([a for a, _ in fresh], np.int64))
@@ -267,10 +277,10 @@ def jaccard_components(
     2. Any two sets that link share a shingle of their prefixes; only shingles of two or more
        documents go on. Sets that share one and have sizes of one band or the next are a tile;
        tiles with the same list of sets are taken once.
-    3. In every tile the bit counts of two bitmaps bound the overlap of their sets from above. Each
-       set is paired with the one that may be most similar and with the first that may be similar at
-       all; exact intersection of the sorted sets decides. That is done twice, the second time
-       across the components that the first has made.
+    3. In every tile the bit counts of two bitmaps bound the overlap of their sets from above. First
+       each set is paired, in one tile, with the one that may be most similar and with the first that may be similar at
+       all; exact intersection of the sorted sets decides. Then, while that finds links, each component of
+       a tile is paired in the same way across the components so far.
     4. In every tile that had more possible pairs and still holds several components, all pairs across
        components that the bitmaps do not exclude are intersected too. No link that could join two
        components is left out, so the components are those of all links.
@@ -295,23 +305,45 @@ def jaccard_components(
         classes.filter("doc_id = rep").select("doc_id"), "doc_id", "left_semi").dropDuplicates(["doc_id"]), "maps")
     shared = written(shared_rows(prefix_rows(named, k, percent, "doc_id", "text")), "shared")
     tiles = written(different_tiles(written(tile_rows(shared, classes, percent, common), "meets")), "tiles")
-    labels, links, tried, left = None, None, None, tiles
-    for few in (True, True, False):
+    labels, links, tried, left, few = None, None, None, tiles, True
+    while True:
         near = written(tile_pairs(left, labels, sets, percent, tile, few), "near")
         pairs = near.filter("a is not null").select("a", "b").distinct()
         pairs = pairs if tried is None else pairs.join(tried, ["a", "b"], "left_anti")
         found = written(exact_links(pairs, named, k, percent), "found").select("a", "b")
         tried = pairs if tried is None else tried.union(pairs)
-        if links is None or not found.isEmpty():
+        more, open_tiles = not found.isEmpty(), near.filter("h is not null").select("h", "band").distinct()
+        done = labels is not None and (not few or open_tiles.isEmpty())
+        left = left if labels is None else left.join(open_tiles, ["h", "band"], "left_semi")
+        if links is None or more:
             links = found if links is None else links.union(found)
             labels = connected_components(links)
-        left = left.join(near.filter("h is not null").select("h", "band").distinct(), ["h", "band"], "left_semi")
+        if done:
+            break
+        # the first round has no tiles to leave out; after it, rounds of few pairs go on while they find links
+        few = tried is pairs or more
     return classes.join(labels.select(F.col("id").alias("rep"), "component"), "rep", "left").select(
         "doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "rep").alias("component_id")).union(unnamed)
 
 
 def keep_one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """The rows of ``docs`` that are the first of their component, with all their columns; rows without an id stay."""
-    first = jaccard_components(docs, id_col=id_col, text_col=text_col, **options).filter("doc_id = component_id").select(F.col("doc_id").alias("__first"))
-    held = docs.join(first, F.col(id_col) == F.col("__first"), "left_semi").dropDuplicates([id_col])
-    return held.union(docs.filter(F.col(id_col).isNull()))
+    """One row of ``docs`` of each component, with all its columns.
+
+    Rows are told apart by id and text: those that share an id but not their text, and those without an
+    id, are documents of their own, under numbers below all ids. Rows that repeat both count once. Texts
+    without words are linked with nothing and stay.
+    """
+    key, digest = "__near_key", "__near_digest"
+    rows = docs.withColumn(digest, F.unhex(F.sha2(F.coalesce(F.col(text_col), F.lit("")), 256)))
+    several = rows.filter(F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("__near_id")).agg(
+        F.min(digest).alias("lo"), F.max(digest).alias("hi")).filter("lo <> hi").select("__near_id")
+    several = written(several, "ids-of-several-texts")
+    same = F.col(id_col) == F.col("__near_id")
+    odd = rows.join(several, same, "left_semi").union(rows.filter(F.col(id_col).isNull())).dropDuplicates([id_col, digest])
+    least = docs.agg(F.least(F.min(F.col(id_col).cast("bigint")), F.lit(0)).alias("m")).first().m or 0
+    numbered = written(odd.withColumn(key, F.lit(least) - 1 - F.monotonically_increasing_id()), "odd-rows")
+    plain = rows.filter(F.col(id_col).isNotNull()).join(several, same, "left_anti").withColumn(key, F.col(id_col).cast("bigint"))
+    all_rows = plain.unionByName(numbered)
+    first = jaccard_components(all_rows.select(key, text_col), id_col=key, text_col=text_col, **options).filter("doc_id = component_id")
+    held = all_rows.join(first.select(F.col("doc_id").alias("__near_first")), F.col(key) == F.col("__near_first"), "left_semi")
+    return held.dropDuplicates([key]).drop(key, digest)

@@ -140,3 +140,16 @@ def test_suffix_dedup_odd_rows(spark):
     got = sorted((str(x.doc_id), x.n_removed) for x in suffix_dedup(frame(spark, [(2, t), (2, t), (1, t), (None, t)])).collect())
     assert got == [("1", 0), ("2", len(t)), ("None", 0)]
     assert suffix_dedup(frame(spark, [])).count() == 0
+
+
+def test_near_stage_tells_rows_of_one_id_or_none_apart(spark):
+    from fleetpulse.llm.jaccard_join import keep_one_of_each
+
+    long = " ".join(f"w{i}" for i in range(60))
+    rows = [(1, long), (2, long + " more"), (3, "a quite different text of some eight words"), (3, "and yet another text of one more kind here"),
+            (None, "no id but a text that nobody else has got"), (None, long + " less"), (4, None), (5, ""), (None, None), (6, "few words"), (6, "few words")]
+    docs = spark.createDataFrame([(*r, 1, "x") for r in rows], "doc_id bigint, text string, n int, digest string")
+    got = [(r.doc_id, r.text) for r in keep_one_of_each(docs).collect()]
+    assert sum((t or "").startswith("w0 ") for _, t in got) == 1
+    assert sorted(map(str, [g for g in got if not (g[1] or "").startswith("w0 ")])) == sorted(map(str, [r for r in dict.fromkeys(rows) if not (r[1] or "").startswith("w0 ")]))
+    assert keep_one_of_each(docs.limit(0)).count() == 0
