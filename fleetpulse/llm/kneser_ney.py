@@ -16,7 +16,7 @@ from fleetpulse.session import written
 ORDER = 4
 #: They open and close every text; the texts' own copies of them are read as spaces.
 OPEN, CLOSE = "\x02", "\x03"
-BLOCK_CHARS = 8 << 20
+BLOCK_CHARS = 20 << 20
 SLICE_CHARS = 1 << 20
 
 
