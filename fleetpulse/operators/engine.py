@@ -1,10 +1,11 @@
 """The rule engine as set-based window expressions.
 
-One shuffle puts every matched reading next to its neighbours of the same
-(feed, rule, series) *chunk*, a bounded range of sample numbers. Inside a chunk
-windows find violation runs and marks. A summary of one row per chunk carries run
-lengths, fired state and violation counts over chunk borders, so even a series
-that holds most of the data is spread over many tasks.
+A feed is one *chunk* when it is no larger than ``chunk`` rows, as nearly all feeds are.
+One shuffle by feed then serves everything: numbering, windows over each
+(rule, series), and the order of the events. A larger feed is cut into chunks at
+boundaries that a table of its blocks' counts gives; what a chunk passes on to the
+next ones (run lengths, fired state, violation counts) goes through a summary of one row
+per series and chunk, so even a feed that holds most of the data is spread over many tasks.
 
 Fire and clear are found without stepping through the samples: a run reaching
 ``for_samples`` is a fire mark, a sample past the clear level a clear mark, and a
@@ -24,6 +25,7 @@ from fleetpulse.operators.rules import Rule
 from fleetpulse.schema import RULE_SCHEMA
 
 DEFAULT_CHUNK = 65_536
+MOST_LARGE = 1_000_000  # so many feeds at most are cut, which bounds what is broadcast
 NUMBERING_BLOCK = 4_096
 SERIES = ["feed_id", "rule_idx", "sensor", "reading"]
 NO_SERIES = ""  # sensor/reading of rules that watch the source itself
@@ -113,20 +115,60 @@ def number_matches(matched: DataFrame, stream: DataFrame) -> DataFrame:
     )
 
 
-def _chunked(numbered: DataFrame, rules: list[Rule], chunk: int) -> DataFrame:
-    """Assign chunks; the last rows of a chunk are also sent to the next one, so
-    that look-backs never leave the task."""
+def large_feeds(stream: DataFrame, chunk: int, back: int) -> DataFrame:
+    """(feed_id, per): feeds of more than ``chunk`` rows, and how many of their samples make a chunk.
+
+    A feed with less than a millionth of all rows is never cut, so there are at most ``MOST_LARGE``.
+    """
+    marker = F.col("pos") == R.MARKER_POS
+    sizes = stream.groupBy("feed_id").agg(F.count(F.lit(1)).alias("rows"), F.count_if(marker & F.col("available")).alias("samples"))
+    per = F.greatest(F.lit(back), F.floor(F.lit(chunk) * F.col("samples") / F.col("rows"))).cast("long")
+    every = sizes.agg(F.sum("rows").alias("every"))
+    return sizes.withColumn("per", per).crossJoin(every).where(
+        (F.col("samples") > F.col("per")) & (F.col("rows") * MOST_LARGE > F.col("every"))).select("feed_id", "per")
+
+
+def feed_cuts(stream: DataFrame, large: DataFrame, back: int) -> DataFrame:
+    """(feed_id, blk, home, chunks, ticks_before, samples_before, samples) of the large feeds' blocks.
+
+    ``home`` is the block's chunk; ``chunks`` are that one and those that need the block's rows to
+    look back ``back`` samples. Chunks begin at block borders; a stretch without samples is not cut.
+    """
+    counts = (
+        R.markers(stream).join(F.broadcast(large), "feed_id").groupBy("feed_id", "blk", "per")
+        .agg(F.count(F.lit(1)).alias("ticks"), F.count_if("available").alias("samples")))
+    before = Window.partitionBy("feed_id").orderBy("blk").rowsBetween(Window.unboundedPreceding, -1)
+    placed = counts.withColumns({f"{c}_before": F.coalesce(F.sum(c).over(before), F.lit(0)) for c in ("ticks", "samples")})
+    end = F.col("samples_before") + F.col("samples")
+    number = [F.floor(x / F.col("per")).cast("long") for x in (F.col("samples_before"), end, end + back - 1)]
+    return placed.select(
+        "feed_id", "blk", number[0].alias("home"), F.array_distinct(F.array(*number)).alias("chunks"), "ticks_before", "samples_before", "samples")
+
+
+def _numbered(placed: DataFrame, keys: list[str], rules: list[Rule], ahead: bool) -> DataFrame:
+    """Tick, sample and ``idx``, the number that a rule goes by, of the rows that rules watch.
+
+    ``placed`` has the markers too, and the counts before each key's first block. With ``ahead``, rows of missing
+    rules also get tick and time of the sample that is ``for_samples`` later, and the number of
+    samples; that takes whole feeds.
+    """
+    w = Window.partitionBy(*keys).orderBy("blk", "ord")
+    is_marker = F.col("rule_idx").isNull()
+    sampled = is_marker & F.col("available")
+    out = placed.withColumns({
+        "tick": F.count(F.when(is_marker, True)).over(w) + F.first("ticks_before").over(w),
+        "sample": F.count(F.when(sampled, True)).over(w) + F.first("samples_before").over(w)})
+    if ahead:
+        kind, need = (_by_rule(rules, get, t) for get, t in ((lambda r: r.kind, "string"), (lambda r: r.for_samples, "long")))
+        later = F.lit(None).cast("struct<tick: bigint, raw_timestamp: string>")
+        for n in sorted({r.for_samples for r in rules if r.kind == "missing"}):
+            there = Window.partitionBy(*keys).orderBy("sample").rangeBetween(n, n)
+            then = F.min(F.when(sampled, F.struct("tick", "raw_timestamp"))).over(there)
+            later = F.when((kind == "missing") & (need == n), then).otherwise(later)
+        out = out.withColumn("later", later).withColumn("n_samples", F.max("sample").over(Window.partitionBy(*keys)))
     kind = _by_rule(rules, lambda r: r.kind, "string")
-    back = _by_rule(rules, lambda r: r.lookback, "long")
     idx = F.when(kind == "source-unavailable", F.col("tick")).otherwise(F.col("sample"))
-    home = F.floor(F.col("idx") / chunk).cast("long")
-    at_end = F.col("idx") >= (home + 1) * chunk - back
-    placed = (
-        numbered.withColumn("idx", idx)
-        .withColumn("chunk", F.explode_outer(F.when(at_end, F.array(home, home + 1)).otherwise(F.array(home))))
-        .withColumn("halo", F.col("chunk") != home)
-    )
-    return blocked.not_null(placed, [*SERIES, "chunk"])
+    return out.where(~is_marker).withColumn("idx", idx).drop("blk", "ord", "available", "ticks_before", "samples_before", "sample")
 
 
 def _judged(chunked: DataFrame, rules: list[Rule]) -> DataFrame:
@@ -139,6 +181,10 @@ def _judged(chunked: DataFrame, rules: list[Rule]) -> DataFrame:
     kind = _by_rule(rules, lambda r: r.kind, "string")
     widths = sorted({r.lookback for r in rules if r.kind == "rate"})
     looked = first.withColumn("prev_idx", F.lag("idx").over(w)).withColumn("prev_unit", F.lag("unit").over(w))
+    whole = [c for c in ("later", "n_samples") if c in chunked.columns]
+    if whole:
+        looked = looked.withColumn("prev_later", F.lag("later").over(w))
+        whole += ["prev_later"]
     if any(r.kind == "stale" for r in rules):
         looked = looked.withColumn("__sig", F.lag("sig").over(w))
     for n in widths:
@@ -173,7 +219,7 @@ def _judged(chunked: DataFrame, rules: list[Rule]) -> DataFrame:
         "base", F.max(F.when(F.col("v") != 1, F.col("cum")).when(F.col("start"), F.col("cum") - 1)).over(upto))
     return broken.select(
         *SERIES, "chunk", "idx", "pos", "tick", "prev_idx", "prev_unit",
-        "unit", "raw_timestamp", "cmp", "v", "cum", "last_clear",
+        "unit", "raw_timestamp", "cmp", "v", "cum", "last_clear", *whole,
         F.col("base").isNull().alias("leading"),
         (F.col("cum") - F.coalesce("base", F.lit(0))).alias("run"),
     )
@@ -235,12 +281,11 @@ def _carried(summaries: DataFrame, rules: list[Rule]) -> DataFrame:
     )
 
 
-def _edge(state: str | Column, place: int, pos: Column, tick: Column, at: Column, value: Column, unit: Column, n: Column, here: bool) -> Column:
-    none = F.lit(None)
+def _edge(state: str | Column, place: int, pos: Column, tick: Column, at: Column, value: Column, unit: Column, n: Column, raw: Column) -> Column:
     return F.struct(
         (F.lit(state) if isinstance(state, str) else state).alias("state"), F.lit(place).alias("pass"), pos.cast("long").alias("pos"),
         tick.cast("long").alias("tick"), at.cast("long").alias("at_sample"), value.cast("double").alias("value"), unit.alias("unit"),
-        (F.col("raw_timestamp") if here else none.cast("string")).alias("raw_timestamp"),
+        raw.cast("string").alias("raw_timestamp"),
         n.cast("long").alias("samples_in_violation"),
     )
 
@@ -271,18 +316,25 @@ def _edges(rows: DataFrame, rules: list[Rule]) -> DataFrame:
     gated = F.when(F.col("__edge"), _edge(
         F.when(fired, "fired").otherwise("cleared"), 0, F.col("pos"), F.col("tick"), own,
         F.when(kind != "source-unavailable", F.col("cmp")), F.col("unit"),
-        F.when(fired, need).otherwise(F.col("__total") - F.col("__fc") + need), here=True))
+        F.when(fired, need).otherwise(F.col("__total") - F.col("__fc") + need), F.col("raw_timestamp")))
     found = [gated]
     if any(r.kind == "missing" for r in rules):
         seen = F.coalesce("prev_idx", "last_idx_in")
         unit = F.when(F.col("prev_idx").isNotNull(), F.col("prev_unit")).otherwise(F.col("last_unit_in"))
         gap = F.col("idx") - seen - 1
         ended = (kind == "missing") & (gap >= need)
-        none = F.lit(None)
+        none, pos = F.lit(None), F.lit(0)
+        whole = "later" in rows.columns
+        at_fire = [F.col(f"prev_later.{c}") if whole else none for c in ("tick", "raw_timestamp")]
         found += [
-            F.when(ended, _edge("cleared", 0, F.col("pos"), F.col("tick"), own, none, F.col("unit"), gap, here=True)),
-            F.when(ended, _edge("fired", 1, F.lit(0), none, seen + need, none, unit, need, here=False)),
+            F.when(ended, _edge("cleared", 0, F.col("pos"), F.col("tick"), own, none, F.col("unit"), gap, F.col("raw_timestamp"))),
+            F.when(ended, _edge("fired", 1, pos, at_fire[0], seen + need, none, unit, need, at_fire[1])),
         ]
+        if whole:
+            last = F.lead("idx").over(w).isNull()
+            m = m.withColumn("__last", last)
+            never = (kind == "missing") & F.col("__last") & (F.col("n_samples") - F.col("idx") >= need)
+            found += [F.when(never, _edge("fired", 1, pos, F.col("later.tick"), F.col("idx") + need, none, F.col("unit"), need, F.col("later.raw_timestamp")))]
     each = m.select(*SERIES, F.explode_outer(F.filter(F.array(*found), lambda e: e.isNotNull())).alias("e"))
     return each.where(F.col("e").isNotNull()).select(*SERIES, "e.*")
 
@@ -296,20 +348,34 @@ def _still_missing(carried: DataFrame, sizes: DataFrame, rules: list[Rule]) -> D
         carried.where((kind == "missing") & F.col("is_last")).join(sizes, "feed_id")
         .where(F.col("n_samples") - F.col("last_idx") >= need)
     )
-    edge = _edge("fired", 1, F.lit(0), none, F.col("last_idx") + need, none, F.col("last_unit"), need, here=False)
+    edge = _edge("fired", 1, F.lit(0), none, F.col("last_idx") + need, none, F.col("last_unit"), need, none)
     return out.select(*SERIES, edge.alias("e")).select(*SERIES, "e.*")
 
 
-def transitions(stream: DataFrame, rules: list[Rule], chunk: int = DEFAULT_CHUNK) -> DataFrame:
-    """Every fired and cleared edge of every rule, numbered per feed in the order
-    tick, rule, present readings by position, absent series by name.
+EDGE_COLUMNS = [
+    "feed_id", "tick", "rule_idx", "pass", "pos", "sensor", "reading", "state", "value", "unit", "raw_timestamp", "samples_in_violation"]
+EDGE_ORDER = ["tick", "rule_idx", "pass", "pos", "sensor", "reading"]
 
-    State starts fresh at the first row of ``stream``: filter the stream to a
-    window first and this answers "what fired in the window?".
-    """
-    chunk = max([chunk, *[r.lookback for r in rules]])
-    numbered = number_matches(match_rules(stream, rules), stream)
-    judged = _judged(_chunked(numbered, rules, chunk), rules)
+
+def _whole_feeds(matched: DataFrame, rules: list[Rule]) -> DataFrame:
+    """Numbered edges of feeds that are one chunk: windows by feed or finer, so one shuffle does."""
+    zero = F.lit(0).cast("long")
+    placed = matched.withColumns({"ticks_before": zero, "samples_before": zero})
+    numbered = _numbered(placed, ["feed_id"], rules, any(r.kind == "missing" for r in rules)).withColumns({"chunk": zero, "halo": F.lit(False)})
+    nothing = F.lit(None)
+    carried = {"run_in": zero, "fired_in": F.lit(False), "cum_in": zero, "fire_cum_in": nothing.cast("long"),
+               "last_idx_in": nothing.cast("long"), "last_unit_in": nothing.cast("string")}
+    edges = _edges(_judged(numbered, rules).withColumns(carried), rules).select(*EDGE_COLUMNS)
+    return edges.withColumn("seq", F.row_number().over(Window.partitionBy("feed_id").orderBy(*EDGE_ORDER)).cast("long"))
+
+
+def _cut_feeds(matched: DataFrame, stream: DataFrame, large: DataFrame, back: int, rules: list[Rule]) -> DataFrame:
+    """Numbered edges of feeds of several chunks."""
+    cuts = feed_cuts(stream, large, back)
+    placed = matched.join(F.broadcast(large.select("feed_id")), "feed_id", "left_semi").join(cuts.drop("samples"), ["feed_id", "blk"])
+    placed = placed.withColumn("chunk", F.explode("chunks")).withColumn("halo", F.col("chunk") != F.col("home")).drop("chunks", "home")
+    numbered = _numbered(placed, ["feed_id", "chunk"], rules, ahead=False)
+    judged = _judged(blocked.not_null(numbered, [*SERIES, "chunk"]), rules)
     carried = _carried(_summaries(judged, rules), rules)
     rows = judged.join(
         carried.select(*SERIES, "chunk", "run_in", "fired_in", "cum_in", "fire_cum_in", "last_idx_in", "last_unit_in"),
@@ -317,19 +383,32 @@ def transitions(stream: DataFrame, rules: list[Rule], chunk: int = DEFAULT_CHUNK
     )
     edges = _edges(rows, rules)
     if any(r.kind == "missing" for r in rules):
-        sizes = R.markers(stream).where("available").groupBy("feed_id").agg(F.count(F.lit(1)).alias("n_samples"))
+        sizes = cuts.groupBy("feed_id").agg(F.sum("samples").alias("n_samples"))
         edges = edges.unionByName(_still_missing(carried, sizes, rules))
         # A fire at a sample the series is not in takes its time from that sample.
-        at = tick_numbers(R.markers(stream)).where("available").select(
+        ticks = R.markers(stream).join(F.broadcast(large.select("feed_id")), "feed_id", "left_semi")
+        at = tick_numbers(ticks).where("available").select(
             "feed_id", F.col("sample").alias("at_sample"), F.col("tick").alias("at_tick"), F.col("raw_timestamp").alias("at_raw"))
-        edges = edges.join(at, ["feed_id", "at_sample"], "left").withColumns({
-            "tick": F.coalesce("tick", "at_tick"), "raw_timestamp": F.coalesce("raw_timestamp", "at_raw")})
-
-    edges = edges.select(
-        "feed_id", "tick", "rule_idx", "pass", "pos", "sensor", "reading", "state", "value", "unit", "raw_timestamp",
-        "samples_in_violation", F.floor(F.col("tick") / NUMBERING_BLOCK).cast("long").alias("__blk"))
-    order = ["tick", "rule_idx", "pass", "pos", "sensor", "reading"]
-    numbered = blocked.row_numbers(edges, ["feed_id"], "__blk", order, "seq", derived=True)
+        back_dated = edges.where("tick IS NULL").drop("tick", "raw_timestamp").join(at, ["feed_id", "at_sample"])
+        back_dated = back_dated.withColumnsRenamed({"at_tick": "tick", "at_raw": "raw_timestamp"})
+        edges = edges.where("tick IS NOT NULL").unionByName(back_dated)
+    edges = edges.select(*EDGE_COLUMNS, F.floor(F.col("tick") / NUMBERING_BLOCK).cast("long").alias("__blk"))
+    return blocked.row_numbers(edges, ["feed_id"], "__blk", EDGE_ORDER, "seq", derived=True).drop("__blk")
+
+
+def transitions(stream: DataFrame, rules: list[Rule], chunk: int = DEFAULT_CHUNK) -> DataFrame:
+    """Every fired and cleared edge of every rule, numbered per feed in the order
+    tick, rule, present readings by position, absent series by name.
+
+    State starts fresh at the first row of ``stream``: filter the stream to a
+    window first and this answers "what fired in the window?". ``chunk`` is the size, in
+    rows, from which a feed is cut.
+    """
+    back = max([r.lookback for r in rules], default=1)
+    large = large_feeds(stream, chunk, back)
+    matched = match_rules(stream, rules)
+    whole = _whole_feeds(matched.join(F.broadcast(large.select("feed_id")), "feed_id", "left_anti"), rules)
+    numbered = whole.unionByName(_cut_feeds(matched, stream, large, back, rules))
     no_series = _by_rule(rules, lambda r: r.kind, "string") == "source-unavailable"
     # What follows from the rule alone is added last, outside the shuffles.
     return numbered.select(
