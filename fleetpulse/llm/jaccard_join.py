@@ -279,7 +279,7 @@ def jaccard_components(
        tiles with the same list of sets are taken once.
     3. In every tile the bit counts of two bitmaps bound the overlap of their sets from above. First
        each set is paired, in one tile, with the one that may be most similar and with the first that may be similar at
-       all; exact intersection of the sorted sets decides. Then, while that finds links, each component of
+       all; exact intersection of the sorted sets decides. Then, in at most two rounds, each component of
        a tile is paired in the same way across the components so far.
     4. In every tile that had more possible pairs and still holds several components, all pairs across
        components that the bitmaps do not exclude are intersected too. No link that could join two
@@ -305,7 +305,7 @@ def jaccard_components(
         classes.filter("doc_id = rep").select("doc_id"), "doc_id", "left_semi").dropDuplicates(["doc_id"]), "maps")
     shared = written(shared_rows(prefix_rows(named, k, percent, "doc_id", "text")), "shared")
     tiles = written(different_tiles(written(tile_rows(shared, classes, percent, common), "meets")), "tiles")
-    labels, links, tried, left, few = None, None, None, tiles, True
+    labels, links, tried, left, few, rounds = None, None, None, tiles, True, 0
     while True:
         near = written(tile_pairs(left, labels, sets, percent, tile, few), "near")
         pairs = near.filter("a is not null").select("a", "b").distinct()
@@ -320,8 +320,9 @@ def jaccard_components(
             labels = connected_components(links)
         if done:
             break
-        # the first round has no tiles to leave out; after it, rounds of few pairs go on while they find links
-        few = tried is pairs or more
+        # after the first round, at most two more with few pairs while they find links; then all that are left
+        rounds += 1
+        few = rounds == 1 or (more and rounds < 3)
     return classes.join(labels.select(F.col("id").alias("rep"), "component"), "rep", "left").select(
         "doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "rep").alias("component_id")).union(unnamed)
 
