@@ -15,18 +15,20 @@ rule's clear region lies inside its non-violating region.
 
 from __future__ import annotations
 
+import json
 from dataclasses import asdict
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from fleetpulse.functions import scalars as S
-from fleetpulse.operators import blocked, readings as R
+from fleetpulse.operators import blocked, readings as R, rule_index
 from fleetpulse.operators.rules import Rule
 from fleetpulse.schema import RULE_SCHEMA
 
 DEFAULT_CHUNK = 65_536
 MOST_LARGE = 1_000_000  # so many feeds at most are cut, which bounds what is broadcast
 NUMBERING_BLOCK = 4_096
+INDEX_FROM = 64  # so many rules are no longer tried on every reading one by one
 SERIES = ["feed_id", "rule_idx", "sensor", "reading"]
 NO_SERIES = ""  # sensor/reading of rules that watch the source itself
 
@@ -37,16 +39,23 @@ TRANSITION_COLUMNS = [
 
 
 def _by_rule(rules: list[Rule], get, cast: str) -> Column:
-    """A per-rule parameter looked up by ``rule_idx``."""
-    values = F.array(*[F.lit(get(r)).cast(cast) for r in rules])
+    """A per-rule parameter looked up by ``rule_idx``, in one literal array however many rules there are."""
+    values = F.from_json(F.lit(json.dumps([get(r) for r in rules])), f"array<{cast}>")
     return F.element_at(values, F.col("rule_idx") + 1)
 
 
 def match_rules(stream: DataFrame, rules: list[Rule]) -> DataFrame:
     """Pair readings with the rules watching them, and pass every marker once.
 
-    Map-side only. Marker rows keep a NULL rule; source rules attach to markers.
+    Map-side only, up to ``INDEX_FROM`` rules; more are looked up by series (``rule_index``), whose
+    names are far fewer than readings. Marker rows keep a NULL rule; source rules attach to markers.
     """
+    if len(rules) > INDEX_FROM:
+        on_series = rules_frame(stream.sparkSession, rules).where("kind <> 'source-unavailable'")
+        readings = rule_index.watched_readings(stream.where(F.col("pos") != R.MARKER_POS), on_series)
+        sources = F.array(F.lit(None).cast("int"), *[F.lit(i) for i, r in enumerate(rules) if r.kind == "source-unavailable"])
+        markers = stream.where(F.col("pos") == R.MARKER_POS).withColumn("rule_idx", F.explode(sources))
+        return _matched(readings.unionByName(markers), rules)
     tagged = stream.withColumn("sensor_lc", F.lower("sensor")).withColumn("reading_lc", F.lower("reading"))
     marker = F.col("pos") == R.MARKER_POS
     series_hits = [
@@ -59,6 +68,12 @@ def match_rules(stream: DataFrame, rules: list[Rule]) -> DataFrame:
     paired = tagged.withColumn(
         "rule_idx", F.explode_outer(F.when(marker, on_marker).otherwise(on_reading).cast("array<int>"))
     ).where(marker | F.col("rule_idx").isNotNull())
+    return _matched(paired, rules)
+
+
+def _matched(paired: DataFrame, rules: list[Rule]) -> DataFrame:
+    """The columns that the rules of readings and markers need."""
+    marker = F.col("pos") == R.MARKER_POS
     metric = S.select_metric(_by_rule(rules, lambda r: r.metric, "string"), *[F.col(c) for c in ("value", "min", "max", "avg")])
     stale = [i for i, r in enumerate(rules) if r.kind == "stale"]
     # Text keeps NaN equal to itself and -0.0 apart from 0.0, like a bit compare.

@@ -220,18 +220,22 @@ def latest_transitions(spark, sf_dir):
 
 
 @query("reconcile_incidents", f"""WITH {TAG}, {LATEST},
-half AS (SELECT * FROM ev WHERE seq % 2 = 0 QUALIFY seq = max(seq) OVER (PARTITION BY feed_id, rule)),
-j AS (SELECT i.*, h.state AS last_state, h.processed_at AS last_at, coalesce(i.feed_id = 'big' OR try_cast(i.feed_id AS INT) % 8 < 6, false) AS fresh
-      FROM inc i LEFT JOIN (SELECT feed_id, rule, state, processed_at FROM half) h USING (feed_id, rule) WHERE i.status = 'open')
+half AS (SELECT *, processed_at - CASE WHEN try_cast(feed_id AS INT) % 5 = 0 THEN INTERVAL 1 DAY ELSE INTERVAL 0 DAY END AS seen_at FROM ev
+         WHERE coalesce(try_cast(feed_id AS INT) % 7, 0) <> 3 QUALIFY seq = max(seq) OVER (PARTITION BY feed_id, rule)),
+j AS (SELECT i.*, h.state AS last_state, h.seen_at AS last_at, coalesce(i.feed_id = 'big' OR try_cast(i.feed_id AS INT) % 8 < 6, false) AS fresh
+      FROM inc i LEFT JOIN (SELECT feed_id, rule, state, seen_at FROM half) h USING (feed_id, rule) WHERE i.status = 'open')
 SELECT feed_id, rule, incident_no, CASE sev WHEN 2 THEN 'critical' WHEN 1 THEN 'warning' ELSE 'info' END AS severity,
   CASE WHEN NOT fresh THEN 'indeterminate' WHEN last_state = 'fired' THEN 'still-firing' WHEN last_state = 'cleared' AND last_at > last_event THEN 'recovered' ELSE 'indeterminate' END AS verdict,
   CASE WHEN NOT fresh THEN 'old' WHEN last_state IS NULL THEN 'no transition' WHEN last_state = 'cleared' AND NOT last_at > last_event THEN 'clear not newer' ELSE last_state END AS why
 FROM j""")
 def reconcile_incidents(spark, sf_dir):
-    """Open incidents against the transitions a sparser log shows (every other event)."""
+    """Open incidents against the latest transitions of another log: some feeds' clocks are a day behind, and some feeds are not in it."""
     e = events_frame(spark, sf_dir)
     inc = L.incidents(L.tag_incidents(e))
-    seen = L.latest_transitions(e.where(F.col("seq") % 2 == 0)).withColumn("timestamp", T.raw_text(F.col("processed_at")))
+    number = F.expr("try_cast(feed_id AS int)")
+    late = F.when(number % 5 == 0, F.expr("INTERVAL 1 DAY")).otherwise(F.expr("INTERVAL 0 DAY"))
+    there = F.coalesce(number % 7, F.lit(0)) != 3
+    seen = L.latest_transitions(e).where(there).withColumn("timestamp", T.raw_text(F.col("processed_at") - late))
     feeds = e.select("feed_id").distinct()
     ok = (F.col("feed_id") == "big") | (F.try_to_number("feed_id", F.lit("999999")) % 8 < 6)
     fresh = feeds.select("feed_id", F.coalesce(ok, F.lit(False)).alias("fresh"), F.when(~F.coalesce(ok, F.lit(False)), "old").alias("fresh_reason"))

@@ -8,10 +8,10 @@ from datetime import date, datetime, timezone
 from pyspark.sql import DataFrame, functions as F
 
 from fleetpulse.functions import scalars as S
-from fleetpulse.operators import readings as R, series as A
+from fleetpulse.operators import blocked, readings as R, series as A
 from fleetpulse.plans.catalog.registry import DAILY, FOLDED, POLL, TYPE_CASE, UNIT_CASE, finite, json_number_sql, query
 from fleetpulse.session import shared_folder
-from fleetpulse.sources import sample_log, tables, testdata as T
+from fleetpulse.sources import log_table, sample_log, tables, testdata as T
 
 RAW_LABEL = "CASE event_type WHEN 'view' THEN 'usage' WHEN 'click' THEN 'Clock' WHEN 'purchase' THEN 'POWER' WHEN 'signup' THEN 'Other' ELSE 'unknown(7)' END"
 
@@ -426,3 +426,26 @@ def json_numbers(spark, sf_dir):
     v = F.when(F.col("event_id") % 31 == 0, F.floor("value").cast("double")).otherwise(F.col("value"))
     x = v * F.element_at(F.array(*[F.lit(f) for f in FACTORS]), (F.col("event_id") % len(FACTORS) + 1).cast("int"))
     return T.table(spark, sf_dir, "events").select("event_id", S.json_number(x).alias("rendered"))
+
+
+@query("log_of_many_appends", """
+SELECT user_id::VARCHAR AS feed_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS n, strftime(ts, '%Y-%m-%dT%H:%M:%S.%fZ') AS raw_timestamp
+FROM events WHERE ts::DATE >= DATE '2024-01-10'""")
+def log_of_many_appends(spark, sf_dir):
+    """Each day comes in four appends; one day is compacted and old days are dropped: every feed reads in order."""
+    root = _new_folder(spark, "appends")
+    e = T.table(spark, sf_dir, "events")
+    entry = F.struct(*[F.lit(x).alias(n) for n, x in (("sensor", "s"), ("reading", "r"), ("type", "Clock"))],
+                     *[F.col("value").alias(n) for n in ("value", "min", "max", "avg")], F.lit("u").alias("unit"))
+    samples = e.select(
+        F.col("user_id").cast("string").alias("feed_id"), F.lit(0).cast("long").alias("blk"), F.col("event_id").alias("ord"),
+        F.col("ts").cast("timestamp").alias("ts"), T.raw_text(F.col("ts")).alias("raw_timestamp"), F.array(entry).alias("sensors"))
+    for quarter in range(4):
+        log_table.append_log(samples.where(F.floor(F.hour("ts") / 6) == quarter), root)
+    log_table.compact_day(spark, root, date(2024, 1, 12))
+    log_table.drop_days(spark, root, 10, date(2024, 1, 20))
+    log_table.vacuum(spark, root)
+    good = sample_log.good_samples(sample_log.parse_lines(log_table.read_log(spark, root)))
+    ticks = good.withColumn("one", F.lit(1).cast("long"))
+    numbered = blocked.running(ticks, ["feed_id"], "blk", ["ord"], [blocked.Running("n", "sum", F.col("one"))], inclusive=True, derived=True)
+    return numbered.select("feed_id", "n", "raw_timestamp")

@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from fleetpulse.functions import scalars as S
-from fleetpulse.operators import blocked, engine, readings as R
-from fleetpulse.operators.rules import Rule, make_rule, prune, prune_rules, rule_errors, with_defaults
+from fleetpulse.operators import blocked, engine, readings as R, rule_index
+from fleetpulse.operators.rules import Rule, load_rules, make_rule, prune, prune_rules, rule_errors, with_defaults
 from fleetpulse.plans.catalog.registry import DENSE, GATE, POLL, UNIT_CASE, finite, json_number_sql, query, threshold_sym
 from fleetpulse.sources import testdata as T
 
@@ -361,11 +361,62 @@ def rule_errors_query(spark, sf_dir):
 @query("rule_defaults", f"""{RULE_ERRORS_SQL}
 SELECT set_id, rule_idx, trim(name) AS name, kind, lower(trim(sensor)) AS sensor, CASE WHEN type = 'voltage' THEN 'Voltage' END AS type, 'value' AS metric,
        op, threshold, coalesce(clear, threshold) AS clear, coalesce(for_samples, 1)::BIGINT AS for_samples, coalesce(severity, 'warning') AS severity
-FROM sound WHERE severity = 'critical'""")
+FROM sound ANTI JOIN dup USING (set_id, rule_idx) WHERE severity = 'critical'""")
 def rule_defaults(spark, sf_dir):
     """Valid rules with defaults, kept from severity critical up."""
     raw = rule_table(spark, sf_dir)
-    bad = rule_errors(raw, ["set_id"]).where("error <> 'name repeated'").select("set_id", "rule_idx").distinct()
+    bad = rule_errors(raw, ["set_id"]).select("set_id", "rule_idx").distinct()
     good = raw.join(bad, ["set_id", "rule_idx"], "left_anti")
     return with_defaults(prune_rules(good, min_severity="critical")).select(
         "set_id", "rule_idx", "name", "kind", "sensor", "type", "metric", "op", "threshold", "clear", "for_samples", "severity")
+
+
+# --- thousands of rules: one for each part ------------------------------------------------------
+
+PART_RULES_SQL = f"""
+rules AS (
+  SELECT p_partkey - 1 AS rule_idx, 'r' || p_partkey AS name, CASE WHEN p_partkey % 10 < 7 THEN 'ser_' || p_partkey % 157 END AS sensor,
+    CASE WHEN p_partkey % 3 > 0 THEN substr(['view', 'click', 'purchase', 'signup', 'error'][p_size % 5 + 1], 1 + p_partkey % 2, 1 + p_partkey % 4) END AS reading,
+    CASE WHEN p_partkey % 10 >= 7 OR p_partkey % 11 = 0 THEN ['Usage', 'Clock', 'Fan', 'unknown'][p_size % 4 + 1] END AS type, p_retailprice / 10 AS threshold
+  FROM part WHERE p_partkey % 10 < 7 OR p_partkey % 97 = 8),
+hits AS (
+  SELECT p.*, rule_idx, name, threshold FROM poll p JOIN rules r ON (r.sensor IS NULL OR contains(p.sensor, r.sensor))
+    AND (r.reading IS NULL OR contains(p.reading, r.reading)) AND (r.type IS NULL OR p.type = r.type))"""
+
+
+def part_rules(spark, sf_dir) -> DataFrame:
+    """A threshold rule for most parts; few watch all series of a label, the others those of some names."""
+    k, size = F.col("p_partkey"), F.col("p_size")
+    words = lambda xs: F.array(*[F.lit(x) for x in xs])
+    word = F.element_at(words(["view", "click", "purchase", "signup", "error"]), (size % 5 + 1).cast("int"))
+    part = F.substring(word, (k % 2 + 1).cast("int"), (k % 4 + 1).cast("int"))
+    label = F.element_at(words(["usage", "CLOCK", "Fan", "unknown"]), (size % 4 + 1).cast("int"))
+    return T.table(spark, sf_dir, "part").where((k % 10 < 7) | (k % 97 == 8)).select(
+        (k - 1).cast("int").alias("rule_idx"), F.concat(F.lit("r"), k.cast("string")).alias("name"), F.lit("threshold").alias("kind"),
+        F.when(k % 10 < 7, F.concat(F.lit(" SER_"), (k % 157).cast("string"))).alias("sensor"), F.when(k % 3 > 0, part).alias("reading"),
+        F.when((k % 10 >= 7) | (k % 11 == 0), label).alias("type"), F.lit(None).cast("string").alias("metric"), F.lit(">").alias("op"),
+        (F.col("p_retailprice") / 10).alias("threshold"), F.lit(None).cast("double").alias("clear"), F.lit(None).cast("long").alias("for_samples"),
+        F.lit(None).cast("long").alias("window_samples"), F.lit(None).cast("string").alias("severity"))
+
+
+@query("rule_table_matches", f"""
+WITH {POLL}, {PART_RULES_SQL}
+SELECT rule_idx, sensor, reading, count(*) AS n FROM hits GROUP BY ALL""")
+def rule_table_matches(spark, sf_dir):
+    """Readings that each of thousands of rules watches, over an index of the series' names."""
+    found = rule_index.watched_readings(T.poll_readings(spark, sf_dir), with_defaults(part_rules(spark, sf_dir)))
+    return found.groupBy("rule_idx", "sensor", "reading").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("rule_table_events", f"""
+WITH RECURSIVE {POLL}, {PART_RULES_SQL},
+x AS (SELECT *, rule_idx || '/' || reading AS series, row_number() OVER (PARTITION BY feed_id, rule_idx, reading ORDER BY ord) AS k FROM hits),
+obs AS (SELECT feed_id, series, k, CASE WHEN isnan(value) THEN 'H' WHEN value > threshold THEN 'V' ELSE 'C' END AS sym, 1::BIGINT AS need FROM x),
+{GATE}
+SELECT e.feed_id, row_number() OVER (PARTITION BY e.feed_id ORDER BY x.ord, x.rule_idx) AS seq, x.name AS rule, e.state, x.raw_timestamp AS timestamp,
+       x.sensor, x.reading, {finite('x.value')} AS value, x.unit, e.n AS samples_in_violation
+FROM edges e JOIN x ON x.feed_id = e.feed_id AND x.series = e.series AND x.k = e.k""")
+def rule_table_events(spark, sf_dir):
+    """What thousands of rules, read from a table, fire and clear."""
+    loaded = load_rules(part_rules(spark, sf_dir))
+    return shown(engine.to_events(engine.transitions(T.poll_stream(spark, sf_dir), loaded)))
