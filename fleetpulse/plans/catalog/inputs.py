@@ -429,7 +429,7 @@ def json_numbers(spark, sf_dir):
 
 
 @query("log_of_many_appends", """
-SELECT user_id::VARCHAR AS feed_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS n, strftime(ts, '%Y-%m-%dT%H:%M:%S.%fZ') AS raw_timestamp
+SELECT 'rack ' || user_id % 7 AS feed_id, row_number() OVER (PARTITION BY user_id % 7 ORDER BY event_id) AS n, strftime(ts, '%Y-%m-%dT%H:%M:%S.%fZ') AS raw_timestamp
 FROM events WHERE ts::DATE >= DATE '2024-01-10'""")
 def log_of_many_appends(spark, sf_dir):
     """Each day comes in four appends; one day is compacted and old days are dropped: every feed reads in order."""
@@ -438,7 +438,7 @@ def log_of_many_appends(spark, sf_dir):
     entry = F.struct(*[F.lit(x).alias(n) for n, x in (("sensor", "s"), ("reading", "r"), ("type", "Clock"))],
                      *[F.col("value").alias(n) for n in ("value", "min", "max", "avg")], F.lit("u").alias("unit"))
     samples = e.select(
-        F.col("user_id").cast("string").alias("feed_id"), F.lit(0).cast("long").alias("blk"), F.col("event_id").alias("ord"),
+        F.concat(F.lit("rack "), (F.col("user_id") % 7).cast("string")).alias("feed_id"), F.lit(0).cast("long").alias("blk"), F.col("event_id").alias("ord"),
         F.col("ts").cast("timestamp").alias("ts"), T.raw_text(F.col("ts")).alias("raw_timestamp"), F.array(entry).alias("sensors"))
     for quarter in range(4):
         log_table.append_log(samples.where(F.floor(F.hour("ts") / 6) == quarter), root)
