@@ -9,7 +9,9 @@ from pyspark.sql import DataFrame, functions as F
 
 from fleetpulse.functions import scalars as S
 from fleetpulse.operators import blocked, readings as R, series as A
+from fleetpulse.operators.rules import make_rule
 from fleetpulse.plans.catalog.registry import DAILY, FOLDED, POLL, TYPE_CASE, UNIT_CASE, finite, json_number_sql, query
+from fleetpulse.plans.report import ReportOptions, report
 from fleetpulse.session import shared_folder
 from fleetpulse.sources import log_table, sample_log, tables, testdata as T
 
@@ -449,3 +451,29 @@ def log_of_many_appends(spark, sf_dir):
     ticks = good.withColumn("one", F.lit(1).cast("long"))
     numbered = blocked.running(ticks, ["feed_id"], "blk", ["ord"], [blocked.Running("n", "sum", F.col("one"))], inclusive=True, derived=True)
     return numbered.select("feed_id", "n", "raw_timestamp")
+
+
+@query("report_from_daily_files", f"""
+WITH line AS (
+  SELECT 'rack ' || user_id % 7 AS feed_id, *, strftime(ts, '%Y-%m-%dT%H:%M:%S.%fZ') AS raw, {_PROBLEM} AS problem FROM events
+  WHERE event_id % 23 <> 4 AND ts::DATE BETWEEN DATE '2024-01-04' AND DATE '2024-01-09'
+    AND (ts BETWEEN TIMESTAMP '2024-01-05' AND TIMESTAMP '2024-01-08 18:00:00' OR event_id % 23 IN (0, 2, 7))),
+kept AS (SELECT * FROM line WHERE problem IS NULL)
+SELECT feed_id, count(DISTINCT ts::DATE) AS files_scanned, count_if(problem IS NOT NULL) AS skipped_lines,
+  (SELECT count(*) FROM kept k WHERE k.feed_id = line.feed_id) AS samples,
+  (SELECT count(DISTINCT (user_id, event_type)) FROM kept k WHERE k.feed_id = line.feed_id AND event_id % 23 <> 8) AS series_total,
+  (SELECT arg_min(raw, event_id) FROM kept k WHERE k.feed_id = line.feed_id) AS first_sample,
+  (SELECT arg_max(raw, event_id) FROM kept k WHERE k.feed_id = line.feed_id) AS last_sample, 1 AS rules_evaluated, 7200 AS interval_seconds
+FROM line GROUP BY feed_id""")
+def report_from_daily_files(spark, sf_dir):
+    """Daily files with damaged lines, and the report of a window straight from them: all its counts."""
+    root = _new_folder(spark, "daily")
+    rack = F.concat(F.lit("rack "), (F.col("feed_id").cast("bigint") % 7).cast("string"))
+    lines = log_lines(spark, sf_dir).withColumn("feed_id", rack).withColumn("dt", F.to_date(F.substring("file", 9, 10)))
+    tables.write_daily_files(lines, root)
+    since, until = datetime(2024, 1, 5, tzinfo=timezone.utc), datetime(2024, 1, 8, 18, tzinfo=timezone.utc)
+    rule = make_rule(name="hot", kind="threshold", sensor="user_", op=">", threshold=60.0, clear=30.0)
+    found = report(spark, root, [rule], since, until, ReportOptions(interval_seconds=7200, max_bytes=4096))
+    meta = F.from_json("digest", "meta struct<files_scanned bigint, skipped_lines bigint, samples bigint, series_total bigint, first_sample string,"
+                                 " last_sample string, rules_evaluated bigint, interval_seconds bigint>")
+    return found.select("feed_id", meta.alias("m")).select("feed_id", "m.meta.*")

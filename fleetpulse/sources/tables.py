@@ -72,6 +72,25 @@ def write_log(samples: DataFrame, root: str) -> None:
      .select("feed_id", "dt", "value").write.mode("append").partitionBy("feed_id", "dt").text(root))
 
 
+def write_daily_files(lines: DataFrame, root: str, prefix: str = PREFIX) -> int:
+    """Lines (feed_id, dt, blk, ord, value) as ``<root>/<feed_id>/<prefix>YYYY-MM-DD.jsonl``, one file for each
+    feed and day, as ``sample_log.read_lines`` reads them; returns how many. A day of a feed is one
+    task. Files are written next to ``root`` and then moved, a rename each. Feed ids must be folder names.
+    """
+    spark = lines.sparkSession
+    (lines.repartition("feed_id", "dt").sortWithinPartitions("feed_id", "dt", "blk", "ord").select("feed_id", "dt", "value")
+     .write.partitionBy("feed_id", "dt").text(f"{root}.parts"))
+    path = spark._jvm.org.apache.hadoop.fs.Path
+    fs = path(root).getFileSystem(spark._jsc.hadoopConfiguration())
+    unescape = spark._jvm.org.apache.spark.sql.catalyst.catalog.ExternalCatalogUtils.unescapePathName
+    moved = 0
+    for st in fs.globStatus(path(f"{root}.parts/feed_id=*/dt=*/part-*")) or []:
+        day = st.getPath().getParent()
+        folder = path(path(root), unescape(day.getParent().getName().split("=", 1)[1]))
+        fs.mkdirs(folder)
+        moved += fs.rename(st.getPath(), path(folder, f"{prefix}{day.getName().split('=', 1)[1]}.jsonl"))
+    return moved
+
 
 def append_journal(journal: DataFrame, path: str) -> None:
     journal.write.mode("append").partitionBy("month").parquet(path)
