@@ -16,7 +16,7 @@ from fleetpulse.session import written
 ORDER = 4
 #: They open and close every text; the texts' own copies of them are read as spaces.
 OPEN, CLOSE = "\x02", "\x03"
-BLOCK_CHARS = 40 << 20
+BLOCK_CHARS = 56 << 20
 SLICE_CHARS = 1 << 20
 
 
@@ -172,18 +172,18 @@ def dealt(docs: DataFrame, sent: DataFrame, blocks: int) -> DataFrame:
     return both.repartitionById(blocks, F.col("block")).sortWithinPartitions("is_text")
 
 
-def perplexities(docs: DataFrame, trusted: DataFrame, order: int = ORDER, block_chars: int = BLOCK_CHARS) -> DataFrame:
+def perplexities(docs: DataFrame, trusted: DataFrame, order: int = ORDER, block_chars: int = BLOCK_CHARS, digests: bool = False) -> DataFrame:
     """``doc_id, digest, lang, symbols, log_sum`` of all ``docs`` (doc_id, lang, text) by a model of the ``trusted`` ids' texts.
 
     Texts are dealt into blocks of about ``block_chars`` characters, by a hash of id and text, a
     block to a partition. Counting writes every distinct gram of a block with its count; scoring deals the texts again
     and sends each block those grams with their probabilities before its texts, which stream past them. In
     between are joins of count tables only. A task holds the grams of a block, and a slice of its texts.
-    ``digest`` is the text's SHA-256.
+    ``digest`` is the text's SHA-256, or null without ``digests``.
     """
     size = docs.agg(F.sum(F.length("text") + 1)).first()[0] or 0
     blocks = max(1, -(-size // block_chars))
-    digest = F.unhex(F.sha2("text", 256))
+    digest = F.unhex(F.sha2("text", 256)) if digests else F.lit(None).cast("binary")
     rows = docs.select("doc_id", "lang", "text", F.pmod(F.xxhash64("doc_id", "text"), F.lit(blocks)).cast("int").alias("block"))
     marks = rows.select("doc_id", "block").join(trusted.select("doc_id").distinct(), "doc_id")
     counted = dealt(rows, marks, blocks).mapInArrow(lambda it: count_block(it, order), "block int, lang string, gram string, n bigint")
@@ -197,7 +197,7 @@ def perplexities(docs: DataFrame, trusted: DataFrame, order: int = ORDER, block_
 
 def judged(
     docs: DataFrame, labels: DataFrame, high: float = 0.995, low: float | None = None, order: int = ORDER, block_chars: int = BLOCK_CHARS,
-    id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang",
+    id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", digests: bool = False,
 ) -> DataFrame:
     """``doc_id, digest, lang, symbols, perplexity, least, most, kept`` for every document.
 
@@ -213,7 +213,7 @@ def judged(
     """
     rows = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), text_or_empty(lang_col).alias("lang"), text_or_empty(text_col).alias("text"))
     good = labels.filter("quality = 1").select("doc_id").distinct()
-    scores = written(perplexities(rows, good.filter(fold(F.col("doc_id")) != 0), order, block_chars), "scores")
+    scores = written(perplexities(rows, good.filter(fold(F.col("doc_id")) != 0), order, block_chars, digests), "scores")
     scored = scores.withColumn("perplexity", F.exp(-F.col("log_sum") / F.col("symbols")))
     limits = (
         scored.join(good.filter(fold(F.col("doc_id")) == 0), "doc_id").filter("perplexity is not null").groupBy("lang")
@@ -226,7 +226,7 @@ def judged(
 
 
 def quality(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
-    """``judged`` without the digest."""
+    """``judged`` without digests."""
     return judged(docs, labels, **options).drop("digest")
 
 
@@ -237,7 +237,7 @@ def keep_good(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_c
     not decide for each other.
     """
     names = ["__bad_id", "__bad_digest", "__bad_lang"]
-    bad = judged(docs, labels, id_col=id_col, text_col=text_col, lang_col=lang_col, **options).filter("not kept")
+    bad = judged(docs, labels, id_col=id_col, text_col=text_col, lang_col=lang_col, digests=True, **options).filter("not kept")
     bad = bad.select(*(F.col(c).alias(n) for c, n in zip(("doc_id", "digest", "lang"), names))).distinct()
     own = [F.col(id_col).cast("bigint"), F.unhex(F.sha2(text_or_empty(text_col), 256)), text_or_empty(lang_col)]
     same = [o.eqNullSafe(F.col(n)) for o, n in zip(own, names)]
