@@ -27,48 +27,47 @@ def write(root, feed, day, lines):
 
 @pytest.fixture()
 def two_days(tmp_path):
-    """Two days, two series: one null, a 120 s pause and an overnight gap."""
-    v12 = [12.0, 12.25, 11.25, 11.25, 12.5, 12.0, 12.0, 12.25]
-    temp = [30.0, 31.0, None, 32.0, 32.0, 32.0, 33.0, 34.0]
-    at = [0, 10, 20, 140]
-    times = [datetime(2026, 2, 18, 10, 0, tzinfo=UTC) + timedelta(seconds=s) for s in at]
-    times += [datetime(2026, 2, 19, 9, 59, 50, tzinfo=UTC) + timedelta(seconds=s) for s in (0, 10, 20, 30)]
-    recs = [line(t.isoformat(), [("PSU", "+12V", "Voltage", a, "V"), ("PSU", "Temp", "temperature", b, "C")])
-            for t, a, b in zip(times, v12, temp)]
-    write(tmp_path, "rig", "2026-02-18", recs[:4])
-    write(tmp_path, "rig", "2026-02-19", recs[4:])
+    """Two days, two series: one null, a pause of 150 s and a night."""
+    rail = [5.0, 5.25, 4.25, 4.0, 5.5, 5.0, 5.125, 4.75]
+    temp = [41.0, 43.0, 44.5, 44.0, None, 42.5, 39.5, 46.5]
+    first, second = datetime(2026, 3, 3, 10, 0, tzinfo=UTC), datetime(2026, 3, 4, 7, 30, tzinfo=UTC)
+    times = [first + timedelta(seconds=s) for s in (0, 15, 30, 180)] + [second + timedelta(seconds=s) for s in (0, 12, 24, 36)]
+    recs = [line(t.isoformat(), [("PSU", "+5V", "Voltage", a, "V"), ("PSU", "Temp", "temperature", b, "C")])
+            for t, a, b in zip(times, rail, temp)]
+    write(tmp_path, "rig", "2026-03-03", recs[:4])
+    write(tmp_path, "rig", "2026-03-04", recs[4:])
     return tmp_path
 
 
-RULE = make_rule(name="sag", kind="threshold", sensor="psu", reading="+12v", op="<", threshold=11.6, clear=11.8, for_samples=2)
+RULE = make_rule(name="dip", kind="threshold", sensor="psu", reading="+5v", op="<", threshold=4.6, clear=4.8, for_samples=2)
 
 
 def test_two_day_digest(spark, two_days):
-    since, until = datetime(2026, 2, 18, tzinfo=UTC), datetime(2026, 2, 20, tzinfo=UTC)
+    since, until = datetime(2026, 3, 3, tzinfo=UTC), datetime(2026, 3, 5, tzinfo=UTC)
     out = P.report(spark, str(two_days), [RULE], since, until, P.ReportOptions(log_dir="logs")).collect()
     assert len(out) == 1 and out[0].fits
     d = json.loads(out[0].digest)
     assert list(d) == ["schema_version", "meta", "violations", "gaps", "readings"]
     assert d["meta"]["samples"] == 8 and d["meta"]["files_scanned"] == 2 and d["meta"]["series_total"] == 2
-    assert [g["seconds"] for g in d["gaps"]] == [120, 86250]
+    assert [g["seconds"] for g in d["gaps"]] == [150, 77220]  # 10:03:00 to 07:30:00
     rail, temp = d["readings"]
     assert (rail["reading"], rail["first"], rail["last"], rail["min"], rail["max"], rail["avg"], rail["delta"]) == (
-        "+12V", 12.0, 12.25, 11.25, 12.5, 11.9375, 0.25)
+        "+5V", 5.0, 4.75, 4.0, 5.5, 38.875 / 8, -0.25)
     assert rail["in_violation"] and not temp["in_violation"]
-    assert (temp["type"], temp["samples"], temp["non_finite"], temp["avg"], temp["delta"]) == ("Temperature", 8, 1, 32.0, 4.0)
+    assert (temp["type"], temp["samples"], temp["non_finite"], temp["avg"], temp["delta"]) == ("Temperature", 8, 1, 301 / 7, 5.5)
     assert [(v["state"], v["seq"], v["value"], v["samples_in_violation"]) for v in d["violations"]] == [
-        ("fired", 1, 11.25, 2), ("cleared", 2, 12.5, 2)]
+        ("fired", 1, 4.0, 2), ("cleared", 2, 5.5, 2)]
     assert len(out[0].digest.encode()) == out[0].bytes
 
 
 def test_sub_window_starts_fresh(spark, two_days):
-    since, until = datetime(2026, 2, 18, 10, 2, tzinfo=UTC), datetime(2026, 2, 20, tzinfo=UTC)
+    since, until = datetime(2026, 3, 3, 10, 2, tzinfo=UTC), datetime(2026, 3, 5, tzinfo=UTC)
     d = json.loads(P.report(spark, str(two_days), [RULE], since, until).collect()[0].digest)
     assert d["meta"]["samples"] == 5 and d["violations"] == []
 
 
 def test_display_filters_change_nothing_else(spark, two_days):
-    since, until = datetime(2026, 2, 18, tzinfo=UTC), datetime(2026, 2, 20, tzinfo=UTC)
+    since, until = datetime(2026, 3, 3, tzinfo=UTC), datetime(2026, 3, 5, tzinfo=UTC)
     opt = P.ReportOptions(match=["temp"])
     d = json.loads(P.report(spark, str(two_days), [RULE], since, until, opt).collect()[0].digest)
     assert [r["reading"] for r in d["readings"]] == ["Temp"] and d["violations"] == []
@@ -124,27 +123,27 @@ def test_byte_budget_keeps_the_most_that_fits(spark):
 
 
 def test_hostile_lines(spark, tmp_path):
-    ok = line("2026-02-18T10:00:00+00:00", [("PSU", "NaN rail", "Voltage", 1.0, "V")])
+    ok = line("2026-03-03T10:00:00+00:00", [("PSU", "NaN rail", "Voltage", 1.0, "V")])
     lines = [
         ok + "\r",
         "",
-        '{"timestamp":"2026-02-18T10:00:10Z","sensors":[{"sensor":"PSU","reading":"NaN rail","type":"Voltage","value":NaN,"min":-Infinity,"max":Infinity,"unit":"V"}],"extra":{"a":1}}',
-        '{"timestamp":"2026-02-18T10:00:20Z","sensors":[]}',
+        '{"timestamp":"2026-03-03T10:00:10Z","sensors":[{"sensor":"PSU","reading":"NaN rail","type":"Voltage","value":NaN,"min":-Infinity,"max":Infinity,"unit":"V"}],"extra":{"a":1}}',
+        '{"timestamp":"2026-03-03T10:00:20Z","sensors":[]}',
         "garbage {",
-        '{"timestamp":"2026-02-18T10:00:30","sensors":[]}',
-        '{"timestamp":"2026-02-18T10:00:30Z"}',
-        '{"timestamp":"2026-02-18T10:00:30Z","sensors":[{"sensor":"PSU","reading":"x","type":"Voltage","value":"1.0","unit":"V"}]}',
-        '{"timestamp":"2026-02-18T10:00:30Z","sensors":[{"sensor":5,"reading":"x","type":"Voltage","value":1.0,"unit":"V"}]}',
-        '{"timestamp":"2026-02-18T10:00:30Z","sensors":[{"sensor":"PSU","reading":"x","value":1.0,"unit":"V"}]}',
-        '{"timestamp":"2026-02-18T10:00:30Z","sensors":[]} tail',
+        '{"timestamp":"2026-03-03T10:00:30","sensors":[]}',
+        '{"timestamp":"2026-03-03T10:00:30Z"}',
+        '{"timestamp":"2026-03-03T10:00:30Z","sensors":[{"sensor":"PSU","reading":"x","type":"Voltage","value":"1.0","unit":"V"}]}',
+        '{"timestamp":"2026-03-03T10:00:30Z","sensors":[{"sensor":5,"reading":"x","type":"Voltage","value":1.0,"unit":"V"}]}',
+        '{"timestamp":"2026-03-03T10:00:30Z","sensors":[{"sensor":"PSU","reading":"x","value":1.0,"unit":"V"}]}',
+        '{"timestamp":"2026-03-03T10:00:30Z","sensors":[]} tail',
         "x" * (4 * 1024 * 1024 + 1),
     ]
-    write(tmp_path, "rig", "2026-02-18", lines)
-    (tmp_path / "rig" / "sensors_2026-02-18.jsonl").open("ab").write(b'{"timestamp":"2026-02-18T10:00:40Z","sensors":[{"sensor":"\xff"}]}\n')
-    (tmp_path / "rig" / "other_2026-02-18.jsonl").write_text(ok)
+    write(tmp_path, "rig", "2026-03-03", lines)
+    (tmp_path / "rig" / "sensors_2026-03-03.jsonl").open("ab").write(b'{"timestamp":"2026-03-03T10:00:40Z","sensors":[{"sensor":"\xff"}]}\n')
+    (tmp_path / "rig" / "other_2026-03-03.jsonl").write_text(ok)
     samples, parsed = sample_log.scan(spark, str(tmp_path))
     rows = samples.orderBy("blk", "ord").collect()
-    assert [r.raw_timestamp for r in rows] == ["2026-02-18T10:00:00+00:00", "2026-02-18T10:00:10Z", "2026-02-18T10:00:20Z"]
+    assert [r.raw_timestamp for r in rows] == ["2026-03-03T10:00:00+00:00", "2026-03-03T10:00:10Z", "2026-03-03T10:00:20Z"]
     assert sample_log.skipped_lines(parsed).collect()[0].skipped_lines == 9
     flat = R.flatten(samples).orderBy("ord").collect()
     assert [r.reading for r in flat] == ["NaN rail", "NaN rail"] and flat[1].value != flat[1].value and flat[1].min != flat[1].min
@@ -157,8 +156,8 @@ def test_missing_folder_is_empty(spark, tmp_path):
 
 
 def test_files_outside_the_padded_window_are_not_read(spark, two_days):
-    (two_days / "rig" / "sensors_2026-02-25.jsonl").write_text("garbage\n")
-    since = until = datetime(2026, 2, 18, 10, 0, tzinfo=UTC)
+    (two_days / "rig" / "sensors_2026-03-10.jsonl").write_text("garbage\n")
+    since = until = datetime(2026, 3, 3, 10, 0, tzinfo=UTC)
     samples, parsed = sample_log.scan(spark, str(two_days), since, until)
     assert samples.count() == 1
     assert parsed.where("problem is not null").count() == 0
@@ -167,8 +166,8 @@ def test_files_outside_the_padded_window_are_not_read(spark, two_days):
 
 
 def test_duplicates_fold_to_the_first(spark, tmp_path):
-    recs = [line("2026-02-18T10:00:00Z", [("B", "x", "Fan", 1.0, "a"), ("A", "y", "Fan", 5.0, "a"), ("B", "x", "Power", 2.0, "b")])]
-    write(tmp_path, "rig", "2026-02-18", recs)
+    recs = [line("2026-03-03T10:00:00Z", [("B", "x", "Fan", 1.0, "a"), ("A", "y", "Fan", 5.0, "a"), ("B", "x", "Power", 2.0, "b")])]
+    write(tmp_path, "rig", "2026-03-03", recs)
     samples, _ = sample_log.scan(spark, str(tmp_path))
     folded = R.flatten(R.fold_samples(samples)).orderBy("pos").collect()
     assert [(r.sensor, r.value) for r in folded] == [("B", 1.0), ("A", 5.0)]
@@ -231,5 +230,5 @@ def test_log_round_trip(spark, two_days, tmp_path):
     text = spark.read.text(root)
     assert text.count() == 8 and set(text.columns) == {"value", "feed_id", "dt"}
     from datetime import date
-    assert tables.prune_days(spark, root + "/feed_id=rig", 1, date(2026, 2, 20)) == ["dt=2026-02-18"]
+    assert tables.prune_days(spark, root + "/feed_id=rig", 1, date(2026, 3, 5)) == ["dt=2026-03-03"]
     assert spark.read.text(root).count() == 4
