@@ -9,7 +9,9 @@ events is spread over tasks.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import pairwise
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
@@ -184,128 +186,105 @@ def escalation_tiers(tagged: DataFrame) -> DataFrame:
     return e.withColumn("tier", tier).drop("__worst", "__step", "__own", "__before", "__sb")
 
 
-def _decide(cooldown_us: int, cap: int):
-    """Decisions over rows sorted by (feed, stretch, time), batch by batch: only
-    the state of the current stretch is kept, however long it is."""
+DAY_US = 86_400_000_000
+_DAY = ["feed_id", "day"]
+
+
+def _day_deliveries(cooldown_us: int, cap: int):
+    """Deliveries of every day: the next one is the earliest later point whose rule is free.
+
+    Rows are sorted by day; those that are no points come first and say until when
+    a rule is still cooling down. A day may span batches: kept are its count and
+    the times at which its delivered rules are free again.
+    """
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        here, day, sent, last = None, None, 0, {}
+        here, sent, free = None, 0, {}
         for b in batches:
-            out = []
-            for feed, stretch, rule, us, today in zip(b["feed_id"], b["stretch"], b["rule"], b["us"], b["day"]):
-                if (feed, stretch) != here:
-                    here, day, last = (feed, stretch), None, {}
-                if today != day:
-                    day, sent = today, 0
-                if rule in last and us - last[rule] < cooldown_us:
-                    out.append("suppress")
-                elif sent >= cap:
-                    out.append("batch")
-                else:
-                    out.append("allow")
-                    last[rule], sent = us, sent + 1
-            yield b[["feed_id", "rule", "us"]].assign(decision=out)
+            feed, day, us, point = (b[c].to_numpy() for c in ("feed_id", "day", "us", "point"))
+            code, names = pd.factorize(b["rule"])
+            code_of = {r: c for c, r in enumerate(names)}
+            edges = np.flatnonzero((feed[1:] != feed[:-1]) | (day[1:] != day[:-1])) + 1
+            found = []
+            for k, end in pairwise([0, *edges.tolist(), len(b)] if len(b) else []):
+                if (feed[k], day[k]) != here:
+                    here, sent, free = (feed[k], day[k]), 0, {}
+                while k < end and not point[k]:
+                    free[names[code[k]]] = us[k]
+                    k += 1
+                while sent < cap and k < end:
+                    open_ = np.ones(end - k, bool)
+                    for rule, until in free.items():
+                        if rule in code_of:
+                            open_ &= (code[k:end] != code_of[rule]) | (us[k:end] >= until)
+                    at = int(open_.argmax())
+                    if not open_[at]:
+                        break
+                    k += at
+                    found.append(k)
+                    free[names[code[k]]], sent, k = us[k] + cooldown_us, sent + 1, k + 1
+            yield b.iloc[found][[*_DAY, "rule", "us"]]
 
     return run
 
 
-DAY_US = 86_400_000_000
-_STRETCH = ["feed_id", "stretch"]
-
-
-def _earliest_deliveries(points: DataFrame, carry: DataFrame | None, cooldown_us: int, cap: int) -> DataFrame | None:
-    """Deliveries of every day, given what cooldowns run into it: the day's next
-    delivery is the earliest later point whose rule is free, at most ``cap`` times.
-    Each round is one minimum per day with map-side combining."""
-    day = [*_STRETCH, "day"]
-    found: DataFrame | None = None
-    for _ in range(cap):
-        busy = [carry] if carry is not None else []
-        p = points
-        if found is not None:
-            busy.append(found.select(*day, "rule", (F.col("us") + cooldown_us).alias("free_at")))
-            reached = found.groupBy(*day).agg(F.max(F.struct("us", "seq")).alias("__reached"))
-            p = p.join(reached, day, "left").where(
-                F.col("__reached").isNull() | (F.struct("us", "seq") > F.col("__reached"))).drop("__reached")
-        if busy:
-            both = busy[0] if len(busy) == 1 else busy[0].unionByName(busy[1])
-            p = p.join(both.groupBy(*day, "rule").agg(F.max("free_at").alias("free_at")), [*day, "rule"], "left")
-            p = p.where(F.col("free_at").isNull() | (F.col("us") >= F.col("free_at"))).drop("free_at")
-        new = p.groupBy(*day).agg(F.min(F.struct("us", "seq", "rule")).alias("m")).select(*day, "m.*")
-        new = written(new, "deliveries")
-        if new.isEmpty():
-            break
-        found = new if found is None else written(found.unionByName(new), "deliveries")
-    return found
-
-
-def _decide_by_rounds(points: DataFrame, cooldown_us: int, cap: int) -> DataFrame:
-    """The same decisions without stepping through a stretch.
-
-    Days are solved side by side. What one day leaves to the next, its running
-    cooldowns, is taken from the previous pass, until a pass changes nothing; day
-    k is final after k passes at the latest, and cooldowns fade much sooner.
+def _deliveries(points: DataFrame, cooldown_us: int, cap: int) -> DataFrame:
+    """``feed_id, day, rule, us`` of all deliveries.
+
+    All days are solved side by side, first as if no cooldown ran into them. What
+    the days so solved leave to later days is then looked up, and the days for which
+    that has changed are solved again, until none has. A day is final once all
+    days before it are, so this ends, and with what one day after the other gives.
+    Each pass takes up only the days that cooldowns reach differently than before.
     """
-    points = written(points, "points")
+    def solve(p: DataFrame, carry: DataFrame | None) -> DataFrame:
+        rows = p.select(*_DAY, F.lit(True).alias("point"), "us", "seq", "rule")
+        if carry is not None:
+            rows = rows.unionByName(carry.select(*_DAY, F.lit(False).alias("point"), F.col("free_at").alias("us"), F.lit(0).cast("long").alias("seq"), "rule"))
+        return rows.repartition(*_DAY).sortWithinPartitions(*_DAY, "point", "us", "seq").mapInPandas(
+            _day_deliveries(cooldown_us, cap), "feed_id string, day long, rule string, us long")
+
+    first = points.groupBy(*_DAY, "rule").agg(F.min("us").alias("first"))
     later = F.explode(F.sequence(F.col("day") + 1, F.floor((F.col("us") + cooldown_us - 1) / DAY_US).cast("long")))
-    sent, carry = None, None
+    sent = written(solve(points, None), "deliveries")
+    carry = None
     while True:
-        found = _earliest_deliveries(points, carry, cooldown_us, cap)
-        if found is None or (sent is not None and found.exceptAll(sent).isEmpty() and sent.exceptAll(found).isEmpty()):
-            break
-        sent = found
         spills = sent.where(F.col("us") + cooldown_us - 1 >= (F.col("day") + 1) * DAY_US)
-        carry = written(
-            spills.select(*_STRETCH, later.alias("day"), "rule", (F.col("us") + cooldown_us).alias("free_at")), "carry")
-    if sent is None:
-        return points.select("feed_id", "rule", "us", F.lit("batch").alias("decision"))
-    covered = F.explode(F.sequence(F.col("day"), F.floor((F.col("us") + cooldown_us - 1) / DAY_US).cast("long")))
-    cover = sent.select(*_STRETCH, "rule", covered.alias("day"), F.col("us").alias("at"))
-    # Deliveries of a rule lie a cooldown apart, so at most one covers a point.
-    j = points.alias("p").join(
-        cover.alias("c"),
-        (F.col("p.feed_id") == F.col("c.feed_id")) & (F.col("p.stretch") == F.col("c.stretch")) & (F.col("p.rule") == F.col("c.rule"))
-        & (F.col("p.day") == F.col("c.day")) & (F.col("c.at") <= F.col("p.us")) & (F.col("p.us") < F.col("c.at") + cooldown_us), "left")
-    decision = F.when(F.col("c.at") == F.col("p.us"), "allow").when(F.col("c.at").isNotNull(), "suppress").otherwise("batch")
-    return j.select("p.feed_id", "p.rule", "p.us", decision.alias("decision"))
+        reach = spills.select("feed_id", later.alias("day"), "rule", (F.col("us") + cooldown_us).alias("free_at"))
+        reach = reach.groupBy(*_DAY, "rule").agg(F.max("free_at").alias("free_at"))
+        reach = written(reach.join(first, [*_DAY, "rule"]).where("first < free_at").drop("first"), "carry")
+        moved = reach if carry is None else reach.exceptAll(carry).unionByName(carry.exceptAll(reach))
+        moved = written(moved.select(*_DAY).distinct(), "moved")
+        if moved.isEmpty():
+            return sent
+        again = solve(points.join(moved, _DAY, "left_semi"), reach.join(moved, _DAY, "left_semi"))
+        sent, carry = written(sent.join(moved, _DAY, "left_anti").unionByName(again), "deliveries"), reach
 
 
 def suppression(
     tiered: DataFrame, cooldown_seconds: int = DEFAULT_COOLDOWN_SECONDS, daily_cap: int = DEFAULT_DAILY_CAP,
-    max_stretch: int = 2_000_000,
 ) -> DataFrame:
     """allow / suppress / batch per event.
 
     Up to tier 1 everything is allowed and nothing is counted. Above, a decision
     depends on earlier deliveries of the feed. Only what such a decision needs is
-    looked at: one row per (rule, instant), in independent stretches. A stretch
-    starts on a new day after a pause of at least the cooldown, when no cooldown
-    runs and the day's count is zero. Stretches up to ``max_stretch`` rows are
-    stepped through; longer ones are solved by rounds over all their days. All
-    other events get their decision by joining back.
+    looked at: one row per (rule, instant), of which at most ``daily_cap`` a feed
+    and day are deliveries. Those are found first (``_deliveries``); all else follows by
+    joins: what a delivery's cooldown covers is suppressed, the rest is batched.
     """
     loud = tiered.where(F.col("tier") >= 2).withColumn("us", F.unix_micros("processed_at"))
-    points = loud.groupBy("feed_id", "rule", "us").agg(F.min("seq").alias("seq"))
-    # A block is an hour of a feed; it holds one row per (rule, instant).
-    points = points.withColumn("day", F.floor(F.col("us") / DAY_US).cast("long"))
-    points = points.withColumn("__sb", F.floor(F.col("us") / 3_600_000_000).cast("long"))
     cooldown_us = cooldown_seconds * 1_000_000
-    p = blocked.running(points, ["feed_id"], "__sb", ["us", "seq"], [blocked.Running("__prev", "max", F.col("us"))], derived=True)
-    start = F.col("__prev").isNull() | (
-        (F.col("us") - F.col("__prev") >= cooldown_us) & (F.floor(F.col("__prev") / DAY_US) < F.col("day")))
-    p = p.withColumn("__start", F.coalesce(start, F.lit(True)).cast("long"))
-    p = blocked.running(
-        p, ["feed_id"], "__sb", ["us", "seq"], [blocked.Running("stretch", "sum", F.col("__start"))], inclusive=True, derived=True)
-    p = written(p.select("feed_id", "stretch", "rule", "us", "seq", "day"), "points")
-    long = p.groupBy(*_STRETCH).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > max_stretch).select(*_STRETCH)
-    any_long = not long.isEmpty()
-    short = p.join(long, _STRETCH, "left_anti") if any_long else p
-    decided = (
-        short.repartition(*_STRETCH).sortWithinPartitions(*_STRETCH, "us", "seq")
-        .mapInPandas(_decide(cooldown_us, daily_cap), "feed_id string, rule string, us long, decision string")
-    )
-    if any_long:
-        decided = decided.unionByName(_decide_by_rounds(p.join(long, _STRETCH, "left_semi"), cooldown_us, daily_cap))
-    lead = p.select("feed_id", "rule", "us", F.col("seq").alias("__first")).join(decided, ["feed_id", "rule", "us"])
+    points = loud.groupBy("feed_id", "rule", "us").agg(F.min("seq").alias("seq"))
+    points = written(points.withColumn("day", F.floor(F.col("us") / DAY_US).cast("long")), "points")
+    sent = _deliveries(points, cooldown_us, daily_cap)
+    last_day = F.greatest(F.col("day"), F.floor((F.col("us") + cooldown_us - 1) / DAY_US).cast("long"))
+    cover = sent.select("feed_id", "rule", F.explode(F.sequence(F.col("day"), last_day)).alias("day"), F.col("us").alias("at"))
+    # Deliveries of a rule lie a cooldown apart, so at most one covers a point.
+    j = points.alias("p").join(
+        cover.alias("c"),
+        (F.col("p.feed_id") == F.col("c.feed_id")) & (F.col("p.rule") == F.col("c.rule")) & (F.col("p.day") == F.col("c.day"))
+        & (F.col("c.at") <= F.col("p.us")) & ((F.col("p.us") == F.col("c.at")) | (F.col("p.us") < F.col("c.at") + cooldown_us)), "left")
+    decision = F.when(F.col("c.at") == F.col("p.us"), "allow").when(F.col("c.at").isNotNull(), "suppress").otherwise("batch")
+    lead = j.select("p.feed_id", "p.rule", "p.us", F.col("p.seq").alias("__first"), decision.alias("decision"))
     out = loud.join(lead, ["feed_id", "rule", "us"]).withColumn(
         "decision", F.when((F.col("seq") > F.col("__first")) & (F.col("decision") == "allow"), "suppress").otherwise(F.col("decision")))
     quiet = tiered.where(F.col("tier") <= 1).withColumn("decision", F.lit("allow"))

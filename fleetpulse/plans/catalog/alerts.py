@@ -143,6 +143,17 @@ def decided(spark, sf_dir) -> DataFrame:
     return L.suppression(written(L.escalation_tiers(tagged(spark, sf_dir)), "tiers"))
 
 
+LONG_HOURS, LONG_CAP = 30, 2
+LONG_DECIDE = DECIDE.replace("INTERVAL 6 HOUR", f"INTERVAL {LONG_HOURS} HOUR").replace(">= 5 THEN 'batch'", f">= {LONG_CAP} THEN 'batch'")
+
+
+@query("notification_decisions_over_days", f"WITH RECURSIVE {LONG_DECIDE} SELECT feed_id, seq, tier, decision FROM dec")
+def notification_decisions_over_days(spark, sf_dir):
+    """Cooldowns that run into the next days, so that every day depends on those before it."""
+    tiers = written(L.escalation_tiers(tagged(spark, sf_dir)), "tiers")
+    return L.suppression(tiers, LONG_HOURS * 3600, LONG_CAP).select("feed_id", "seq", "tier", "decision")
+
+
 @query("notification_decisions", f"WITH RECURSIVE {DECIDE} SELECT feed_id, seq, tier, decision FROM dec")
 def notification_decisions(spark, sf_dir):
     return decided(spark, sf_dir).select("feed_id", "seq", "tier", "decision")

@@ -70,20 +70,21 @@ def stepwise(rows, cooldown, cap):
     return out
 
 
-@pytest.mark.parametrize("max_stretch", [2_000_000, 30, 0])
-def test_suppression_equals_the_stepwise_model(spark, max_stretch):
+@pytest.mark.parametrize("hours, cap, steps", [(6, 2, [0, 1, 20, 90, 400, 700]), (30, 2, [0, 20, 90]), (80, 1, [1, 90, 400]), (1, 5, [0, 1, 20])])
+def test_suppression_equals_the_stepwise_model(spark, hours, cap, steps):
+    """Also where no feed ever pauses for as long as the cooldown, which runs over several days."""
     rng = random.Random(5)
     rows, want, seq = [], {}, 0
     for f in range(12):
         mine, t = [], T0
         for _ in range(rng.choice([3, 40, 120])):
-            t += timedelta(minutes=rng.choice([0, 1, 20, 90, 400, 700]))
+            t += timedelta(minutes=rng.choice(steps))
             seq += 1
             mine.append((f"f{f}", seq, rng.choice("abcd"), "critical", rng.choice([0, 1, 2, 3, 4]), t))
-        want.update(stepwise(mine, timedelta(hours=6), 2))
+        want.update(stepwise(mine, timedelta(hours=hours), cap))
         rows += mine
     rng.shuffle(rows)
-    out = L.suppression(spark.createDataFrame(rows, TIERED), daily_cap=2, max_stretch=max_stretch)
+    out = L.suppression(spark.createDataFrame(rows, TIERED), cooldown_seconds=hours * 3600, daily_cap=cap)
     got = {r.seq: r.decision for r in out.collect()}
     assert got == want and {"allow", "batch", "suppress"} == set(got.values())
 
