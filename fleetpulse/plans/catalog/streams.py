@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import uuid
+from datetime import timedelta
 
 from pyspark.sql import DataFrame, functions as F
 
@@ -29,10 +30,10 @@ def event_stream(spark, sf_dir) -> DataFrame:
     )
 
 
-def drain(df: DataFrame, name: str, mode: str = "append") -> DataFrame:
-    """Run a streaming frame over everything available into a table, and read it."""
+def drain(df: DataFrame, name: str, mode: str = "append", base: str | None = None) -> DataFrame:
+    """Run a streaming frame over everything available into a table, and read it; with the same ``base`` it goes on."""
     spark = df.sparkSession
-    base = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    base = base or f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
     q = df.writeStream.format("parquet").option("path", f"{base}/out").option("checkpointLocation", f"{base}/state").outputMode(mode).trigger(availableNow=True).start()
     q.awaitTermination()
     return spark.read.schema(df.schema).parquet(f"{base}/out")
@@ -44,11 +45,11 @@ def stream_rule_events(spark, sf_dir):
     return drain(E.stream_events(edges), "events").select(*SHOWN).withColumn("value", F.round("value", 6))
 
 
-@query("stream_rule_events_spread", f"SELECT * EXCLUDE (seq) FROM ({ALL_SQL})")
+@query("stream_rule_events_spread", ALL_SQL)
 def stream_rule_events_spread(spark, sf_dir):
     """The same with every feed split over four keys."""
     edges = E.stream_transitions(event_stream(spark, sf_dir), ALL_RULES, spread=4)
-    return drain(E.stream_events(edges), "events").select(*SHOWN).drop("seq").withColumn("value", F.round("value", 6))
+    return drain(E.stream_events(edges), "events").select(*SHOWN).withColumn("value", F.round("value", 6))
 
 
 @query("stream_event_log", f"SELECT rule, state, count(*) AS n FROM ({ALL_SQL}) GROUP BY rule, state")
@@ -73,6 +74,29 @@ def stream_window_panel(spark, sf_dir):
     return out.select("feed_id", "reading", F.date_format("start", "yyyy-MM-dd HH:mm").alias("start"), "samples", "min", "max")
 
 
+@query("stream_window_panel_closed", f"""
+WITH {POLL}, w AS (SELECT *, {finite('value')} AS v, time_bucket(INTERVAL 6 HOUR, ts) AS s FROM poll)
+SELECT feed_id, reading, strftime(s, '%Y-%m-%d %H:%M') AS start, count(*) AS samples, count(*) - count(v) AS non_finite,
+  arg_min(v, ord) FILTER (v IS NOT NULL) AS first, arg_max(v, ord) FILTER (v IS NOT NULL) AS last, min(v) AS min, max(v) AS max, round(avg(v), 6) AS avg,
+  round(arg_max(v, ord) FILTER (v IS NOT NULL) - arg_min(v, ord) FILTER (v IS NOT NULL), 6) AS delta
+FROM w GROUP BY feed_id, reading, s""")
+def stream_window_panel_closed(spark, sf_dir):
+    """Every window with all aggregates: the stream stops, is told that it has ended, and goes on from its checkpoint."""
+    base = f"{shared_folder(spark)}/panel-{uuid.uuid4().hex}"
+    spark.createDataFrame([], "ts timestamp").write.parquet(f"{base}/closing")
+
+    def run():
+        s = event_stream(spark, sf_dir).withColumn("available", F.lit(True))
+        return drain(panels.windowed_series(R.flatten(s), "6 hours", closing=panels.closing_ticks(spark, f"{base}/closing")), "panel", base=base)
+
+    run()
+    end = spark.read.parquet(f"{sf_dir}/events.parquet").agg(F.max("ts")).first()[0]
+    panels.close_windows(spark, f"{base}/closing", end + timedelta(hours=7))
+    return run().select(
+        "feed_id", "reading", F.date_format("start", "yyyy-MM-dd HH:mm").alias("start"), "samples", "non_finite", "first", "last", "min", "max",
+        F.round("avg", 6).alias("avg"), F.round("delta", 6).alias("delta"))
+
+
 @query("stream_sampling_gaps", f"""WITH {GAP_CTE} SELECT feed_id, "from", "to", seconds FROM gaps""")
 def stream_sampling_gaps(spark, sf_dir):
     s = event_stream(spark, sf_dir).withColumn("available", F.lit(True))

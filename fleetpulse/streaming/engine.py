@@ -2,7 +2,9 @@
 
 Absence and source rules need whole samples, so state is kept per feed. A feed
 may be split into ``spread`` parts by a hash of the series: every part sees every
-tick, but only its own series, and one hot feed then runs in several tasks.
+tick, but only its own series, and one hot feed then runs in several tasks. The
+few edges of all parts then meet in a second stateful step by feed, which numbers
+them densely in stream order and owns the quiet timer, so that ``spread`` changes no row.
 Rules are matched before the shuffle, so only watched readings reach Python.
 
 Ticks are taken in arrival order: there is no watermark and nothing is reordered
@@ -26,12 +28,13 @@ from fleetpulse.schema import EVENT_KEYS
 from fleetpulse.session import ROCKSDB
 
 OUTPUT = (
-    "feed_id string, part int, seq long, tick long, rule_idx int, pass int, pos long, rule string, type string, "
+    "feed_id string, part int, seq long, tick long, rule_idx int, late int, pos long, rule string, type string, "
     "severity string, state string, timestamp string, sensor string, reading string, value double, unit string, "
     "threshold double, samples_in_violation long"
 )
 _HIT = "array<struct<rule_idx:int,pos:int,sensor:string,reading:string,x:double,sig:string,unit:string>>"
-QUIET = "quiet"
+QUIET, ALIVE = "quiet", "alive"
+_NAMES = [c.split()[0] for c in OUTPUT.split(", ")]
 
 
 def watched(samples: DataFrame, rules: list[Rule], spread: int = 1) -> DataFrame:
@@ -127,9 +130,25 @@ def _judge(rule: Rule, gate: Gate, sample: int, x: float, sig: str | None):
     return shown, _beyond(rule.op, shown, rule.threshold), not _beyond(rule.op, shown, rule.clear_level)
 
 
+def _rearm(handle: StatefulProcessorHandle, timerValues, seconds: float, again: bool) -> None:
+    """One timer a key: set where there is none, or set anew."""
+    timers = list(handle.listTimers())
+    if timers and not again:
+        return
+    for t in timers:
+        handle.deleteTimer(t)
+    handle.registerTimer(timerValues.getCurrentProcessingTimeInMs() + int(seconds * 1000))
+
+
+def _signal(feed: str, part: int, seq: int, tick: int, state: str) -> pd.DataFrame:
+    blank = dict.fromkeys(_NAMES)
+    return pd.DataFrame([{**blank, "feed_id": feed, "part": part, "seq": seq, "tick": tick, "rule_idx": -1, "late": 0, "pos": 0,
+                          "state": state, "samples_in_violation": 0}], columns=_NAMES)
+
+
 class RuleProcessor(StatefulProcessor):
-    def __init__(self, rules: list[Rule], spread: int = 1, quiet_seconds: float | None = None):
-        self.rules, self.spread, self.quiet_seconds = rules, spread, quiet_seconds
+    def __init__(self, rules: list[Rule], quiet_seconds: float | None = None, alive: bool = False):
+        self.rules, self.quiet_seconds, self.alive = rules, quiet_seconds, alive
         self.sources = [i for i, r in enumerate(rules) if r.kind == "source-unavailable"]
         self.has_missing = any(r.kind == "missing" for r in rules)
 
@@ -190,7 +209,7 @@ class RuleProcessor(StatefulProcessor):
                         edges.append((name[0], 1, 0, name[1], name[2], ("fired", need), None, g.unit))
             for i, late, pos, s, n, (state, count), shown, unit in sorted(edges, key=lambda e: e[:5]):
                 seq += 1
-                out.append((feed, part, seq * self.spread + part if self.spread > 1 else seq, tick, i, late, pos, state,
+                out.append((feed, part, seq, tick, i, late, pos, state,
                             row.raw_timestamp, s or None, n or None, shown, unit, count))
 
         for name, g in touched.items():
@@ -199,24 +218,17 @@ class RuleProcessor(StatefulProcessor):
             else:
                 self.gates.updateValue((json.dumps(name),), (g.dump(),))
         self.head.update((tick, sample, seq, json.dumps({i: g.dump() for i, g in sources.items()})))
-        if self.quiet_seconds is not None and part == 0:
-            timers = list(self.handle.listTimers())
-            if not timers or any(o[7] == "fired" for o in out):
-                for t in timers:
-                    self.handle.deleteTimer(t)
-                self._arm(timerValues)
+        if self.quiet_seconds is not None:
+            _rearm(self.handle, timerValues, self.quiet_seconds, any(o[7] == "fired" for o in out))
+        if self.alive and part == 0:
+            yield _signal(feed, part, seq, tick, ALIVE)
         if out:
             yield self._frame(out)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         tick, _, seq, _ = self.head.get()
-        self._arm(timerValues)
-        yield pd.DataFrame([(key[0], int(key[1]), seq, tick, -1, 0, 0, None, None, None, QUIET, None, None, None, None, None, None, 0)],
-                           columns=[c.split()[0] for c in OUTPUT.split(", ")])
-
-    def _arm(self, timerValues) -> None:
-        now = timerValues.getCurrentProcessingTimeInMs()
-        self.handle.registerTimer(now + int(self.quiet_seconds * 1000))
+        _rearm(self.handle, timerValues, self.quiet_seconds, True)
+        yield _signal(key[0], int(key[1]), seq, tick, QUIET)
 
     def _gate(self, touched: dict, name: tuple) -> Gate:
         g = touched.get(name)
@@ -232,7 +244,7 @@ class RuleProcessor(StatefulProcessor):
             due.setdefault(g.last + self.rules[name[0]].for_samples, set()).add(name)
 
     def _frame(self, out: list[tuple]) -> pd.DataFrame:
-        cols = ["feed_id", "part", "seq", "tick", "rule_idx", "pass", "pos", "state", "timestamp", "sensor", "reading", "value", "unit", "samples_in_violation"]
+        cols = ["feed_id", "part", "seq", "tick", "rule_idx", "late", "pos", "state", "timestamp", "sensor", "reading", "value", "unit", "samples_in_violation"]
         df = pd.DataFrame(out, columns=cols)
         for name, get in (("rule", lambda r: r.name), ("type", lambda r: r.kind), ("severity", lambda r: r.severity), ("threshold", lambda r: r.threshold)):
             df[name] = [get(self.rules[i]) for i in df["rule_idx"]]
@@ -240,15 +252,52 @@ class RuleProcessor(StatefulProcessor):
             df[name] = df[name].astype(object)
         df["value"] = pd.to_numeric(df["value"]).astype("float64")
         df["threshold"] = pd.to_numeric(df["threshold"]).astype("float64")
-        return df[[c.split()[0] for c in OUTPUT.split(", ")]]
+        return df[_NAMES]
+
+
+class Numbering(StatefulProcessor):
+    """Dense numbers for the edges of a feed's parts.
+
+    Both stateful steps run in the same micro-batch, and every part sees every tick, so all
+    edges of a batch's ticks are here at once and none of an earlier tick can follow.
+    """
+
+    def __init__(self, quiet_seconds: float | None = None):
+        self.quiet_seconds = quiet_seconds
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.head = handle.getValueState("head", "seq long, tick long")
+
+    def close(self) -> None:
+        pass
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        both = pd.concat(list(rows), ignore_index=True)
+        seq, _ = self.head.get() if self.head.exists() else (0, 0)
+        edges = both[both["state"] != ALIVE].sort_values(["tick", "rule_idx", "late", "pos", "sensor", "reading"], kind="stable", na_position="first")
+        edges = edges.assign(seq=range(seq + 1, seq + len(edges) + 1))
+        self.head.update((seq + len(edges), int(both["tick"].max())))
+        if self.quiet_seconds is not None:
+            _rearm(self.handle, timerValues, self.quiet_seconds, bool((edges["state"] == "fired").any()))
+        if len(edges):
+            yield edges[_NAMES]
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        seq, tick = self.head.get()
+        _rearm(self.handle, timerValues, self.quiet_seconds, True)
+        yield _signal(key[0], 0, seq, tick, QUIET)
 
 
 def stream_transitions(samples: DataFrame, rules: list[Rule], spread: int = 1, quiet_seconds: float | None = None) -> DataFrame:
-    """Streaming samples -> fired and cleared edges (and quiet signals)."""
+    """Streaming samples -> fired and cleared edges (and quiet signals). ``spread`` changes the tasks, not the rows."""
     samples.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
     mode = "None" if quiet_seconds is None else "ProcessingTime"
+    split = spread > 1
     edges = watched(samples, rules, spread).groupBy("feed_id", "part").transformWithStateInPandas(
-        RuleProcessor(rules, spread, quiet_seconds), OUTPUT, "Append", mode)
+        RuleProcessor(rules, None if split else quiet_seconds, split and quiet_seconds is not None), OUTPUT, "Append", "None" if split else mode)
+    if split:
+        edges = edges.groupBy("feed_id").transformWithStateInPandas(Numbering(quiet_seconds), OUTPUT, "Append", mode)
     return edges.withColumn("value", S.finite_or_null(F.col("value"))).withColumn("threshold", S.finite_or_null(F.col("threshold")))
 
 

@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from datetime import datetime
 
 import pandas as pd
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from fleetpulse.functions import scalars as S
@@ -13,12 +14,36 @@ from fleetpulse.schema import GAP_INTERVAL_MULTIPLE
 from fleetpulse.session import ROCKSDB
 
 
-def windowed_series(readings: DataFrame, width: str = "1 minute", late: str = "10 minutes") -> DataFrame:
-    """Per-series aggregates of tumbling windows; only built-in operators."""
+def closing_ticks(spark: SparkSession, folder: str) -> DataFrame:
+    """The stream of times up to which windows are to be closed, see ``close_windows``."""
+    return spark.readStream.schema("ts timestamp").parquet(folder)
+
+
+def close_windows(spark: SparkSession, folder: str, until: datetime) -> None:
+    """Say that nothing dated before ``until`` will come: a stream that has ended writes its last windows.
+
+    ``until`` has to lie at least the allowed lateness behind the last window's end.
+    """
+    spark.createDataFrame([(until,)], "ts timestamp").coalesce(1).write.mode("append").parquet(folder)
+
+
+def windowed_series(readings: DataFrame, width: str = "1 minute", late: str = "10 minutes", closing: DataFrame | None = None) -> DataFrame:
+    """Per-series aggregates of tumbling windows; only built-in operators.
+
+    First and last are the finite values that come first and last in stream order. A window
+    is written once the watermark passes its end; ``closing`` ticks move the watermark only.
+    """
+    if closing is not None:
+        readings = readings.unionByName(closing.select("ts"), allowMissingColumns=True)
     v = S.finite_or_null(F.col("value"))
+    at = F.when(v.isNotNull(), F.struct("blk", "ord", "pos"))
     out = readings.withWatermark("ts", late).groupBy(F.window("ts", width), "feed_id", "sensor", "reading").agg(
-        F.count(F.lit(1)).alias("samples"), F.min(v).alias("min"), F.max(v).alias("max"), F.avg(v).alias("avg"))
-    return out.select("feed_id", "sensor", "reading", F.col("window.start").alias("start"), "samples", "min", "max", "avg")
+        F.count("feed_id").alias("samples"), (F.count("feed_id") - F.count(v)).alias("non_finite"), F.min_by(v, at).alias("first"), F.max_by(v, at).alias("last"),
+        F.min(v).alias("min"), F.max(v).alias("max"), F.avg(v).alias("avg"))
+    # A filter on a count stays above the watermark; one on the feed would be pushed below it, and take the ticks away.
+    return out.where("samples > 0").select(
+        "feed_id", "sensor", "reading", F.col("window.start").alias("start"), "samples", "non_finite", "first", "last", "min", "max", "avg",
+        (F.col("last") - F.col("first")).alias("delta"))
 
 
 _GAP = "feed_id string, from string, to string, seconds long"
