@@ -19,7 +19,7 @@ from fleetpulse.llm.sequence_pack import pack_documents
 from fleetpulse.llm.source_mix import mix_sources, mix_sql
 from fleetpulse.llm.suffix_dedup import suffix_dedup
 from fleetpulse.llm.toxicity_knn import toxicity
-from fleetpulse.llm.url_templates import document_labels, judge_urls
+from fleetpulse.llm.url_templates import document_labels, judge_urls, urls_sql
 from fleetpulse.llm.whitening import whiten
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -58,7 +58,7 @@ def op7_sequence_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(table(spark, sf_dir, "documents"))
 
 
-@query("op3_url_templates")
+@query("op3_url_templates", urls_sql())
 def op3_url_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A verdict for every page's url."""
     pages = table(spark, sf_dir, "pages").select("page_id", "url")

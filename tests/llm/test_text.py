@@ -71,6 +71,20 @@ def test_url_rules_and_templates(spark):
     assert judge_urls(pages.limit(0), marks).count() == 0 and judge_urls(pages, marks.limit(0)).count() == n + 80
 
 
+def test_url_branches_below_a_variable_segment(spark):
+    """What stands below a wildcard is counted over all values of the wildcard."""
+    r = random.Random(3)
+    word = lambda: "".join(r.choice("ghijklmnop") for _ in range(9))
+    urls = [(f"http://h.net/{word()}/{end}{tail}", end) for end in ("spam", "news") for k in range(200) for tail in ["/" + "d/" * 5000 if k < 6 else ""]]
+    pages = spark.createDataFrame([(i, u, "x") for i, (u, _) in enumerate(urls)], "page_id long, url string, host string")
+    marks = spark.createDataFrame([(u, int(end == "spam")) for u, end in urls[::2]], "url string, bad int")
+    got = {g.page_id: g for g in judge_urls(pages, marks).collect()}
+    assert len(got) == len(urls)
+    for i, (u, end) in enumerate(urls):
+        if u.endswith(end):
+            assert (got[i].template, got[i].verdict) == (f"/*/{end}", "block" if end == "spam" else "allow")
+
+
 def test_pack_holds_every_token_once():
     r = random.Random(1)
     for sizes in ([1], [4096], [4097, 1], [0], [], [3] * 50, [r.choice([1, 7, 300, 1000, 5000, 20_000]) for _ in range(400)]):
