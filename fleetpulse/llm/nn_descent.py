@@ -43,6 +43,7 @@ def quantised(reps: DataFrame, plane_sets: int, seed: int) -> DataFrame:
                 continue
             x = batch.column(1).values.to_numpy(zero_copy_only=False)[batch.column(1).offsets[0].as_py() : batch.column(1).offsets[-1].as_py()]
             x = x.reshape(batch.num_rows, -1)
+            x = x / np.abs(x).max(axis=1, keepdims=True)
             planes = np.random.default_rng(seed).standard_normal((x.shape[1], plane_sets * 48))
             sides = (x @ planes > 0).reshape(len(x), plane_sets, 48)
             codes = (sides * (1 << np.arange(47, -1, -1, dtype=np.int64))).sum(axis=2)
@@ -195,7 +196,15 @@ def greedy_search(graph: DataFrame, points: DataFrame, queries: DataFrame, k: in
             return state.select("q", "w")
 
 
+def evened(v: Column) -> Column:
+    """The vector times the power of two that brings its largest component near 1: its direction, exactly, without overflow."""
+    largest = F.array_max(F.transform(v, F.abs))
+    factor = F.pow(F.lit(2.0), F.greatest(F.lit(-1000), F.least(F.lit(1000), -F.floor(F.log2(largest)))))
+    return F.zip_with(v, F.array_repeat(factor, F.size(v)), lambda x, f: x * f)
+
+
 def cosine(a: Column, b: Column) -> Column:
+    a, b = evened(a), evened(b)
     dot = lambda x, y: F.aggregate(F.zip_with(x, y, lambda p, r: p * r), F.lit(0.0), lambda t, p: t + p)
     return dot(a, b) / (F.sqrt(dot(a, a)) * F.sqrt(dot(b, b)))
 

@@ -45,6 +45,18 @@ def test_search_goes_on_until_nothing_is_left_to_open(spark):
     assert got == {q: {(q + d) % 60 for d in range(-8, 9) if d} for q in (0, 20, 40)}
 
 
+def test_very_large_and_very_small_vectors(spark):
+    rng = np.random.default_rng(4)
+    x = rng.standard_normal((40, 8)) * 10.0 ** np.array([-310, -200, -1, 0, 1, 200, 306, 150])[np.arange(40) % 8, None]
+    table = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id bigint, embedding array<double>")
+    got = {}
+    for r in nearest_neighbours(table, F.col("vec_id") % 10 == 0).orderBy("query_id", "rank").collect():
+        assert -1.000001 <= r.score <= 1.000001
+        got.setdefault(r.query_id, []).append(r.vec_id)
+    unit = x / np.abs(x).max(axis=1, keepdims=True)
+    assert got == brute(np.arange(40), unit, lambda q: q % 10 == 0, 5)
+
+
 def test_few_vectors(spark):
     table = spark.createDataFrame([(0, [1.0, 0.0]), (1, [0.0, 1.0]), (2, [1.0, 1.0])], "vec_id bigint, embedding array<float>")
     got = sorted((r.query_id, r["rank"], r.vec_id, round(r.score, 9)) for r in nearest_neighbours(table, F.col("vec_id") % 50 == 0).collect())
