@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 
-from fleetpulse.llm.common import BASE, BYTE_KEYS, doc_slices, mix64, powers
+from fleetpulse.llm.common import BYTE_KEYS, doc_slices, mix64
 
 STEP = np.uint64(0xD6E8FEB86659FD93)
 
@@ -30,7 +30,9 @@ def word_hashes(data: np.ndarray, offsets: np.ndarray, letters_only: bool = Fals
     starts = np.flatnonzero(first[at])
     lengths = np.diff(np.append(starts, len(at)))
     inside = np.arange(len(at)) - np.repeat(starts, lengths)
-    sums = np.add.reduceat(BYTE_KEYS[data[at]] * powers(BASE, int(lengths.max()))[inside], starts)
+    # A random odd factor for each place: with powers of one number, some patterns of letters always clash.
+    places = mix64(np.arange(1, int(lengths.max()) + 1, dtype=np.uint64) * STEP) | np.uint64(1)
+    sums = np.add.reduceat(BYTE_KEYS[data[at]] * places[inside], starts)
     return mix64(sums + lengths.astype(np.uint64)), np.searchsorted(offsets, at[starts], side="right") - 1
 
 
