@@ -24,9 +24,10 @@ ENDS = {
     "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"},
     "option": {"option"}, "thead": {"tr", "td", "th"}, "tbody": {"thead", "tr", "td", "th"}, "tfoot": {"tbody", "tr", "td", "th"},
 }
-#: Words in class, id or role that mark matter beside the article.
+#: Words in class, id or role that mark matter beside the article. What says only that
+#: a layout has such matter or has none ("with-sidebar", "no-sidebar") marks nothing.
 ASIDE_WORDS = regex.compile(
-    r"(?:^|[\s_-])(?:ad|ads|advert|adverts|advertisement|advertising|banner|sponsor|sponsored|promo|nav|navbar|navigation|menu|breadcrumb|"
+    r"(?:^|[\s_-])(?<!(?:^|[\s_-])(?:no|without|with|has|hide)[_-])(?:ad|ads|advert|adverts|advertisement|advertising|banner|sponsor|sponsored|promo|nav|navbar|navigation|menu|breadcrumb|"
     r"breadcrumbs|sidebar|aside|footer|header|masthead|cookie|cookies|consent|notice|notices|popup|modal|newsletter|subscribe|signup|login|"
     r"search|share|sharing|social|related|recommended|comment|comments|disqus|reply|replies|widget|pagination|pager|legal|copyright|"
     r"complementary|contentinfo|alert)(?:$|[\s_-]|\d)", regex.IGNORECASE)

@@ -71,6 +71,13 @@ def test_url_rules_and_templates(spark):
     assert judge_urls(pages.limit(0), marks).count() == 0 and judge_urls(pages, marks.limit(0)).count() == n + 80
 
 
+@pytest.mark.parametrize("layout", ["page no-sidebar", "layout with-sidebar", "has_sidebar", "without-ads page"])
+def test_layout_classes_are_no_asides(spark, layout):
+    html = f'<body><div class="{layout}"><p>{"The story goes on here. " * 9}</p><div class="left-sidebar">Links and more</div></div></body>'
+    got = extract_pages(spark.createDataFrame([(1, "u", html)], "page_id long, url string, html string")).first()
+    assert got.text == ("The story goes on here. " * 9).strip()
+
+
 def test_url_branches_below_a_variable_segment(spark):
     """What stands below a wildcard is counted over all values of the wildcard."""
     r = random.Random(3)
