@@ -63,8 +63,15 @@ def pivot_readings(readings: DataFrame, names: dict[str, str], keys: list[str] |
 
 
 def correlation(wide: DataFrame, a: str, b: str, keys: list[str] | None = None) -> DataFrame:
+    """Pearson's correlation and the number of pairs; NaN where a column does not vary, NULL for a single pair.
+
+    ``corr`` itself divides by zero there, which is an error in ANSI mode.
+    """
     both = wide.where(F.col(a).isNotNull() & F.col(b).isNotNull() & ~F.isnan(a) & ~F.isnan(b))
-    return both.groupBy(*(keys or [])).agg(F.round(F.corr(a, b), 6).alias("corr"), F.count(F.lit(1)).alias("n"))
+    spread = F.stddev_pop(a) * F.stddev_pop(b)
+    found = F.when(spread == 0, F.lit(float("nan"))).otherwise(F.covar_pop(a, b) / spread)
+    return both.groupBy(*(keys or [])).agg(
+        F.round(F.when(F.count(F.lit(1)) > 1, found), 6).alias("corr"), F.count(F.lit(1)).alias("n"))
 
 
 def peak_per_reading(export: DataFrame, type_label: str) -> DataFrame:
