@@ -81,6 +81,11 @@ def gaps(ticks: DataFrame, interval_seconds: int) -> DataFrame:
         F.floor(delta / 1_000_000).cast("long").alias("seconds"))
 
 
+def latest_largest_gaps(found: DataFrame, keep: int) -> DataFrame:
+    """The ``keep`` largest gaps of each feed; of equal ones the latest, whenever they came."""
+    return blocked.top_per_key(found, ["feed_id"], [F.desc("seconds"), F.desc("blk"), F.desc("ord")], keep)
+
+
 def largest_gaps(found: DataFrame, keep: int = MAX_GAPS_SHOWN) -> DataFrame:
     """The ``keep`` largest gaps of each feed, as a stream that keeps the largest
     so far would hold them.
