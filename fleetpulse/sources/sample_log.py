@@ -73,7 +73,17 @@ def read_written(
     Folders outside the padded window are pruned before any file is opened. A part's number
     goes into its block, so that the parts of a day keep their order.
     """
-    text = spark.read.schema("value string, feed_id string, dt date").option("lineSep", "\n").text(root)
+    return _parts(spark.read.schema("value string, feed_id string, dt date").option("lineSep", "\n").text(root), since, until, zone)
+
+
+def read_day_log(
+    spark: SparkSession, root: str, since: datetime | None = None, until: datetime | None = None, zone: str = "UTC",
+) -> DataFrame:
+    """Lines of a log that ``tables.write_day_log`` wrote, as ``read_written`` gives them."""
+    return _parts(spark.read.schema("value string, feed_id string, dt date").parquet(root), since, until, zone)
+
+
+def _parts(text: DataFrame, since: datetime | None, until: datetime | None, zone: str) -> DataFrame:
     if since or until:
         days = candidate_dates(*window(since, until), zone)
         text = text.where(F.col("dt").between(days[0], days[-1]))

@@ -72,6 +72,18 @@ def write_log(samples: DataFrame, root: str) -> None:
      .select("feed_id", "dt", "value").write.mode("append").partitionBy("feed_id", "dt").text(root))
 
 
+def write_day_log(samples: DataFrame, root: str) -> None:
+    """Write the log of a whole fleet, in stream order inside each feed's day, as Parquet by day only.
+
+    ``write_log`` makes a folder for each feed and day, which suits a few feeds; here there are as many
+    files as range partitions and days, however many feeds there are. ``sample_log.read_day_log`` reads it.
+    """
+    lines = record_json(samples)
+    (lines.repartitionByRange("dt", "feed_id", "blk", "ord")
+     .sortWithinPartitions("dt", "feed_id", "blk", "ord")
+     .select("dt", "feed_id", "value").write.partitionBy("dt").parquet(root))
+
+
 def write_daily_files(lines: DataFrame, root: str, prefix: str = PREFIX) -> int:
     """Lines (feed_id, dt, blk, ord, value) as ``<root>/<feed_id>/<prefix>YYYY-MM-DD.jsonl``, one file for each
     feed and day, as ``sample_log.read_lines`` reads them; returns how many. A day of a feed is one
