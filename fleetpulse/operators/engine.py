@@ -422,7 +422,8 @@ def transitions(stream: DataFrame, rules: list[Rule], chunk: int = DEFAULT_CHUNK
     back = max([r.lookback for r in rules], default=1)
     large = large_feeds(stream, chunk, back)
     matched = match_rules(stream, rules)
-    whole = _whole_feeds(matched.join(F.broadcast(large.select("feed_id")), "feed_id", "left_anti"), rules)
+    small = matched.join(F.broadcast(large.select("feed_id")), "feed_id", "left_anti")
+    whole = _whole_feeds(small.repartition(blocked.partitions_for(stream), "feed_id"), rules)
     numbered = whole.unionByName(_cut_feeds(matched, stream, large, back, rules))
     no_series = _by_rule(rules, lambda r: r.kind, "string") == "source-unavailable"
     # What follows from the rule alone is added last, outside the shuffles.
