@@ -33,18 +33,25 @@ def _blocked(events: DataFrame) -> DataFrame:
 # --- event contract ---------------------------------------------------------------
 
 def check_events(lines: DataFrame, column: str = "line") -> DataFrame:
-    """Add ``reasons`` (array of text, empty when valid) to JSON event lines."""
-    doc = F.try_parse_json(F.col(column))
-    base = lines.withColumn("__doc", doc)
-    kind = F.schema_of_variant("__doc")
-    is_object = F.coalesce(kind.startswith("OBJECT"), F.lit(False))
-    present = F.from_json(F.col(column), "map<string,string>")
+    """Add ``reasons`` (array of text, empty when valid) to JSON event lines.
+
+    Every line is made and parsed once, and every field is read once: as plain columns they would be
+    put into each of the checks that use them, and be worked out again there.
+    """
+    once = lambda df, name, **cols: df.withColumn(name, F.explode(F.array(F.struct(*[c.alias(k) for k, c in cols.items()]))))
+    base = once(lines, "__at", line=F.col(column))
+    base = once(base, "__in", doc=F.try_parse_json("__at.line"), keys=F.map_keys(F.from_json("__at.line", "map<string,string>")))
+    fields = {}
+    for key in EVENT_KINDS:
+        fields[f"{key}_type"] = F.schema_of_variant(F.try_variant_get("__in.doc", f"$.{key}", "variant"))
+        fields[f"{key}_text"] = F.try_variant_get("__in.doc", f"$.{key}", "string")
+        fields[f"{key}_there"] = F.coalesce(F.array_contains("__in.keys", key), F.lit(False))
+    base = once(base, "__got", kind=F.schema_of_variant("__in.doc"), **fields)
+    is_object = F.coalesce(F.col("__got.kind").startswith("OBJECT"), F.lit(False))
     checks = [F.when(~is_object, F.lit("not an object"))]
     for key in EVENT_KINDS:
-        got = F.try_variant_get("__doc", f"$.{key}", "variant")
-        ty = F.schema_of_variant(got)
-        text = F.try_variant_get("__doc", f"$.{key}", "string")
-        absent = ~F.coalesce(F.map_contains_key(present, key), F.lit(False))
+        ty, text = F.col(f"__got.{key}_type"), F.col(f"__got.{key}_text")
+        absent = ~F.col(f"__got.{key}_there")
         is_null = F.coalesce(ty == "VOID", F.lit(True))
         is_text = F.coalesce(ty == "STRING", F.lit(False))
         is_int = F.coalesce(ty == "BIGINT", F.lit(False))
@@ -61,7 +68,7 @@ def check_events(lines: DataFrame, column: str = "line") -> DataFrame:
         checks.append(F.when(is_object & absent, F.lit(f"{key} missing")))
         checks.append(F.when(is_object & ~absent & ~F.coalesce(ok, F.lit(False)), F.lit(f"{key} invalid")))
     reasons = F.filter(F.array(*checks), lambda r: r.isNotNull())
-    return base.withColumn("reasons", reasons).drop("__doc")
+    return base.withColumn("reasons", reasons).drop("__at", "__in", "__got")
 
 
 # --- acknowledgement ---------------------------------------------------------------
