@@ -16,8 +16,10 @@ from __future__ import annotations
 
 import json
 import math
+import zlib
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
@@ -27,14 +29,18 @@ from fleetpulse.operators.rules import Rule
 from fleetpulse.schema import EVENT_KEYS
 from fleetpulse.session import ROCKSDB
 
-OUTPUT = (
-    "feed_id string, part int, seq long, tick long, rule_idx int, late int, pos long, rule string, type string, "
-    "severity string, state string, timestamp string, sensor string, reading string, value double, unit string, "
-    "threshold double, samples_in_violation long"
-)
+_EDGE = {
+    "part": "int", "seq": "long", "tick": "long", "rule_idx": "int", "late": "int", "pos": "long", "state": "string", "timestamp": "string",
+    "sensor": "string", "reading": "string", "value": "double", "unit": "string", "samples_in_violation": "long"}
+_OF_RULE = {"rule": ("name", "string"), "type": ("kind", "string"), "severity": ("severity", "string"), "threshold": ("threshold", "double")}
+_NAMES = [
+    "feed_id", "part", "seq", "tick", "rule_idx", "late", "pos", "rule", "type", "severity", "state", "timestamp", "sensor", "reading", "value", "unit",
+    "threshold", "samples_in_violation"]
+PACKED = "feed_id string, edges string"  # a key has few edges: many narrow frames cost far less than many wide ones
+PACK = 1_000  # edges to a text
+PAGE = 32  # gates to a page of the state, about
 _HIT = "array<struct<rule_idx:int,pos:int,sensor:string,reading:string,x:double,sig:string,unit:string>>"
 QUIET, ALIVE = "quiet", "alive"
-_NAMES = [c.split()[0] for c in OUTPUT.split(", ")]
 
 
 def watched(samples: DataFrame, rules: list[Rule], spread: int = 1) -> DataFrame:
@@ -67,10 +73,8 @@ def watched(samples: DataFrame, rules: list[Rule], spread: int = 1) -> DataFrame
     if spread > 1:
         mine = F.filter("hits", lambda h: F.pmod(F.xxhash64(h["sensor"], h["reading"]), F.lit(spread)) == F.col("part"))
         rows = rows.withColumn("hits", mine)
-    # Flat arrays cross to Python more cheaply than arrays of structs.
-    names = ["rule_idx", "pos", "sensor", "reading", "x", "sig", "unit"]
-    return rows.select("feed_id", "part", "blk", "ord", "raw_timestamp", "available",
-                       *[F.col(f"hits.{n}").alias(f"h_{n}") for n in names])
+    # Each column of each key is converted on its own on the way to Python, so the readings cross as one text, if there are any.
+    return rows.select("feed_id", "part", "blk", "ord", "raw_timestamp", "available", F.when(F.size("hits") > 0, F.to_json("hits")).alias("hits"))
 
 
 class Gate:
@@ -140,120 +144,157 @@ def _rearm(handle: StatefulProcessorHandle, timerValues, seconds: float, again:
     handle.registerTimer(timerValues.getCurrentProcessingTimeInMs() + int(seconds * 1000))
 
 
+def _frames(rows: Iterator[pd.DataFrame]) -> pd.DataFrame:
+    frames = list(rows)
+    return frames[0] if len(frames) == 1 else pd.concat(frames, ignore_index=True)
+
+
+def _packed(feed: str, edges: list[dict]) -> pd.DataFrame:
+    texts = [json.dumps(edges[at:at + PACK]) for at in range(0, len(edges), PACK)]
+    return pd.DataFrame({"feed_id": pd.Series([feed] * len(texts), dtype=object), "edges": pd.Series(texts, dtype=object)})
+
+
 def _signal(feed: str, part: int, seq: int, tick: int, state: str) -> pd.DataFrame:
-    blank = dict.fromkeys(_NAMES)
-    return pd.DataFrame([{**blank, "feed_id": feed, "part": part, "seq": seq, "tick": tick, "rule_idx": -1, "late": 0, "pos": 0,
-                          "state": state, "samples_in_violation": 0}], columns=_NAMES)
+    return _packed(feed, [{"part": part, "seq": seq, "tick": tick, "rule_idx": -1, "late": 0, "pos": 0, "state": state, "samples_in_violation": 0}])
+
+
+def _dumped(gates: dict[tuple, Gate]) -> str:
+    return json.dumps([[name, g.dump()] for name, g in gates.items()])
+
+
+def _loaded(text: str | None) -> dict[tuple, Gate]:
+    return {tuple(name): Gate.load(g) for name, g in json.loads(text)} if text else {}
+
+
+class _Gates:
+    """The gates of one key. Few stand in the key's head; more are dealt over pages, of which only those in use are read and written."""
+
+    def __init__(self, store, inline: str | None, pages: int, kept: int):
+        self.store, self.pages, self.kept = store, pages, kept
+        self.read = {} if pages else {0: _loaded(inline)}
+        self.found: dict[tuple, Gate] = {}
+
+    def _page(self, name: tuple) -> int:
+        return zlib.crc32(json.dumps(name).encode()) % self.pages if self.pages else 0
+
+    def _open(self, at: int) -> dict[tuple, Gate]:
+        if at not in self.read:
+            self.read[at] = _loaded(self.store.getValue((at,))[0]) if self.store.containsKey((at,)) else {}
+        return self.read[at]
+
+    def get(self, name: tuple) -> Gate:
+        g = self.found.get(name)
+        if g is None:
+            page = self._open(self._page(name))
+            g = page.get(name)
+            if g is None:
+                g = page[name] = Gate()
+                self.kept += 1
+            self.found[name] = g
+        return g
+
+    def save(self) -> str | None:
+        """Write the pages read; the text for the head, while there are none."""
+        if self.kept > 2 * PAGE * max(self.pages, 1):
+            every = [gate for at in range(max(self.pages, 1)) for gate in self._open(at).items()]
+            self.pages = 1 << math.ceil(math.log2(self.kept / PAGE))
+            self.read = {at: {} for at in range(self.pages)}
+            for name, g in every:
+                self.read[self._page(name)][name] = g
+        if not self.pages:
+            return _dumped(self.read[0])
+        for at, gates in self.read.items():
+            self.store.updateValue((at,), (_dumped(gates),))
+        return None
 
 
 class RuleProcessor(StatefulProcessor):
     def __init__(self, rules: list[Rule], quiet_seconds: float | None = None, alive: bool = False):
         self.rules, self.quiet_seconds, self.alive = rules, quiet_seconds, alive
         self.sources = [i for i, r in enumerate(rules) if r.kind == "source-unavailable"]
-        self.has_missing = any(r.kind == "missing" for r in rules)
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.head = handle.getValueState("head", "tick long, sample long, seq long, sources string")
-        self.gates = handle.getMapState("gates", "k string", "v string")
-        self.seen = handle.getMapState("seen", "k string", "v string")
+        # Absences need every gate of missing rules in each batch, so those stand in the head; each call of the state costs.
+        self.head = handle.getValueState("head", "tick long, sample long, seq long, sources string, seen string, gates string, pages int, kept int")
+        self.store = handle.getMapState("pages", "k int", "v string")
 
     def close(self) -> None:
         pass
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
         feed, part = key[0], int(key[1])
-        frame = pd.concat(list(rows), ignore_index=True).sort_values(["blk", "ord"], kind="stable")
-        tick, sample, seq, sources = self.head.get() if self.head.exists() else (0, 0, 0, None)
-        sources = {int(k): Gate.load(v) for k, v in json.loads(sources).items()} if sources else {}
-        touched: dict[tuple, Gate] = {}
+        frame = _frames(rows)
+        order = np.lexsort((frame["ord"].to_numpy(), frame["blk"].to_numpy()))
+        tick, sample, seq, sources, seen, inline, pages, kept = self.head.get() or (0, 0, 0, None, None, None, 0, 0)
+        sources = {name[0]: g for name, g in _loaded(sources).items()}
+        missing = _loaded(seen)
+        gates = _Gates(self.store, inline, pages, kept)
         due: dict[int, set] = {}
-        if self.has_missing:
-            for (k,), (v,) in self.seen.iterator():
-                name = tuple(json.loads(k))
-                touched[name] = Gate.load(v)
-                self._expect(due, name, touched[name])
-        out: list[tuple] = []
-
-        for row in frame.itertuples(index=False):
+        for name, g in missing.items():
+            self._expect(due, name, g)
+        out: list[dict] = []
+
+        for raw, available, hits in zip(*[frame[c].to_numpy()[order] for c in ("raw_timestamp", "available", "hits")]):
             tick += 1
             edges = []
             for i in self.sources if part == 0 else []:
                 g = sources.setdefault(i, Gate())
-                e = g.step(not row.available, bool(row.available), self.rules[i].for_samples)
+                e = g.step(not available, bool(available), self.rules[i].for_samples)
                 if e:
                     edges.append((i, 0, 0, "", "", e, None, None))
-            if row.available:
+            if available:
                 sample += 1
-                for i, pos, s, n, x, sig, unit in zip(row.h_rule_idx, row.h_pos, row.h_sensor, row.h_reading, row.h_x, row.h_sig, row.h_unit):
-                    name = (int(i), s, n)
-                    rule, g = self.rules[name[0]], self._gate(touched, name)
+                for h in json.loads(hits) if hits else ():
+                    name = (h["rule_idx"], h.get("sensor"), h.get("reading"))
+                    rule = self.rules[name[0]]
+                    absent = rule.kind == "missing"
+                    g = (missing.get(name) or missing.setdefault(name, Gate())) if absent else gates.get(name)
                     if g.last == sample:
                         continue  # repeated in this sample: the first one counts
-                    g.unit = unit
-                    if rule.kind == "missing":
+                    g.unit = h.get("unit")
+                    if absent:
                         e, shown = (("cleared", sample - g.last - 1) if g.fired else None), None
                         g.fired = False
                     else:
-                        shown, violates, clears = _judge(rule, g, sample, float(x), sig)
+                        shown, violates, clears = _judge(rule, g, sample, float(h.get("x", math.nan)), h.get("sig"))
                         e = g.step(violates, clears, rule.for_samples)
                     g.last = sample
-                    if rule.kind == "missing":
+                    if absent:
                         self._expect(due, name, g)
                     if e:
-                        edges.append((name[0], 0, int(pos), s, n, e, shown, unit))
+                        edges.append((name[0], 0, h["pos"], *name[1:], e, shown, g.unit))
                 for name in due.pop(sample, ()):
-                    g, need = touched[name], self.rules[name[0]].for_samples
+                    g, need = missing[name], self.rules[name[0]].for_samples
                     if g.last == sample - need and not g.fired:
                         g.fired = True
                         edges.append((name[0], 1, 0, name[1], name[2], ("fired", need), None, g.unit))
             for i, late, pos, s, n, (state, count), shown, unit in sorted(edges, key=lambda e: e[:5]):
                 seq += 1
-                out.append((feed, part, seq, tick, i, late, pos, state,
-                            row.raw_timestamp, s or None, n or None, shown, unit, count))
-
-        for name, g in touched.items():
-            if self.rules[name[0]].kind == "missing":
-                self.seen.updateValue((json.dumps(name),), (g.dump(),))
-            else:
-                self.gates.updateValue((json.dumps(name),), (g.dump(),))
-        self.head.update((tick, sample, seq, json.dumps({i: g.dump() for i, g in sources.items()})))
+                out.append({"part": part, "seq": seq, "tick": tick, "rule_idx": i, "late": late, "pos": pos, "state": state, "timestamp": raw,
+                            "sensor": s or None, "reading": n or None, "value": shown if shown is not None and math.isfinite(shown) else None,
+                            "unit": unit, "samples_in_violation": count})
+
+        inline = gates.save()
+        self.head.update((tick, sample, seq, _dumped({(i,): g for i, g in sources.items()}), _dumped(missing), inline, gates.pages, gates.kept))
+        fired = any(e["state"] == "fired" for e in out)
         if self.quiet_seconds is not None:
-            _rearm(self.handle, timerValues, self.quiet_seconds, any(o[7] == "fired" for o in out))
+            _rearm(self.handle, timerValues, self.quiet_seconds, fired)
         if self.alive and part == 0:
             yield _signal(feed, part, seq, tick, ALIVE)
         if out:
-            yield self._frame(out)
+            yield _packed(feed, out)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        tick, _, seq, _ = self.head.get()
+        tick, _, seq, *_ = self.head.get()
         _rearm(self.handle, timerValues, self.quiet_seconds, True)
         yield _signal(key[0], int(key[1]), seq, tick, QUIET)
 
-    def _gate(self, touched: dict, name: tuple) -> Gate:
-        g = touched.get(name)
-        if g is None:
-            k = (json.dumps(name),)
-            known = self.rules[name[0]].kind != "missing" and self.gates.containsKey(k)
-            g = touched[name] = Gate.load(self.gates.getValue(k)[0]) if known else Gate()
-        return g
-
     def _expect(self, due: dict, name: tuple, g: Gate) -> None:
         """A series last seen at sample n is missing at sample n + for_samples."""
         if not g.fired:
             due.setdefault(g.last + self.rules[name[0]].for_samples, set()).add(name)
 
-    def _frame(self, out: list[tuple]) -> pd.DataFrame:
-        cols = ["feed_id", "part", "seq", "tick", "rule_idx", "late", "pos", "state", "timestamp", "sensor", "reading", "value", "unit", "samples_in_violation"]
-        df = pd.DataFrame(out, columns=cols)
-        for name, get in (("rule", lambda r: r.name), ("type", lambda r: r.kind), ("severity", lambda r: r.severity), ("threshold", lambda r: r.threshold)):
-            df[name] = [get(self.rules[i]) for i in df["rule_idx"]]
-        for name in ("feed_id", "state", "timestamp", "sensor", "reading", "unit", "rule", "type", "severity"):
-            df[name] = df[name].astype(object)
-        df["value"] = pd.to_numeric(df["value"]).astype("float64")
-        df["threshold"] = pd.to_numeric(df["threshold"]).astype("float64")
-        return df[_NAMES]
-
 
 class Numbering(StatefulProcessor):
     """Dense numbers for the edges of a feed's parts.
@@ -273,15 +314,18 @@ class Numbering(StatefulProcessor):
         pass
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        both = pd.concat(list(rows), ignore_index=True)
-        seq, _ = self.head.get() if self.head.exists() else (0, 0)
-        edges = both[both["state"] != ALIVE].sort_values(["tick", "rule_idx", "late", "pos", "sensor", "reading"], kind="stable", na_position="first")
-        edges = edges.assign(seq=range(seq + 1, seq + len(edges) + 1))
-        self.head.update((seq + len(edges), int(both["tick"].max())))
+        both = [e for text in _frames(rows)["edges"] for e in json.loads(text)]
+        seq, _ = self.head.get() or (0, 0)
+        edges = sorted((e for e in both if e["state"] != ALIVE),
+                       key=lambda e: (e["tick"], e["rule_idx"], e["late"], e["pos"], e["sensor"] or "", e["reading"] or ""))
+        for e in edges:
+            seq += 1
+            e["seq"] = seq
+        self.head.update((seq, max(e["tick"] for e in both)))
         if self.quiet_seconds is not None:
-            _rearm(self.handle, timerValues, self.quiet_seconds, bool((edges["state"] == "fired").any()))
-        if len(edges):
-            yield edges[_NAMES]
+            _rearm(self.handle, timerValues, self.quiet_seconds, any(e["state"] == "fired" for e in edges))
+        if edges:
+            yield _packed(key[0], edges)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         seq, tick = self.head.get()
@@ -295,9 +339,13 @@ def stream_transitions(samples: DataFrame, rules: list[Rule], spread: int = 1, q
     mode = "None" if quiet_seconds is None else "ProcessingTime"
     split = spread > 1
     edges = watched(samples, rules, spread).groupBy("feed_id", "part").transformWithStateInPandas(
-        RuleProcessor(rules, None if split else quiet_seconds, split and quiet_seconds is not None), OUTPUT, "Append", "None" if split else mode)
+        RuleProcessor(rules, None if split else quiet_seconds, split and quiet_seconds is not None), PACKED, "Append", "None" if split else mode)
     if split:
-        edges = edges.groupBy("feed_id").transformWithStateInPandas(Numbering(quiet_seconds), OUTPUT, "Append", mode)
+        edges = edges.groupBy("feed_id").transformWithStateInPandas(Numbering(quiet_seconds), PACKED, "Append", mode)
+    each = F.from_json("edges", "array<struct<" + ",".join(f"{n}:{t}" for n, t in _EDGE.items()) + ">>")
+    edges = edges.select("feed_id", F.inline(each))
+    of_rule = {c: F.get(F.from_json(F.lit(json.dumps([getattr(r, n) for r in rules])), f"array<{t}>"), F.col("rule_idx")) for c, (n, t) in _OF_RULE.items()}
+    edges = edges.withColumns(of_rule).select(*_NAMES)
     return edges.withColumn("value", S.finite_or_null(F.col("value"))).withColumn("threshold", S.finite_or_null(F.col("threshold")))
 
 

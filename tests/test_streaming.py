@@ -1,10 +1,13 @@
 """The streaming engine over several micro-batches and restarts."""
 
+import json
 import random
 import time
 
+import pandas as pd
 import pytest
 
+from fleetpulse.operators.rules import make_rule
 from fleetpulse.plans.catalog.streams import drain
 from fleetpulse.schema import SAMPLE_SCHEMA
 from fleetpulse.streaming import engine as E
@@ -121,3 +124,70 @@ def test_closed_panel_has_every_window(spark, tmp_path):
     panels.close_windows(spark, closing, t0 + timedelta(hours=3))
     got = [(r.start.hour, r.samples, r.non_finite, r.first, r.last, r.min, r.max, r.avg, r.delta) for r in sorted(run(), key=lambda r: r.start)]
     assert got == [(0, 3, 1, 3.0, 9.0, 3.0, 9.0, 6.0, 6.0), (1, 2, 1, 4.0, 4.0, 4.0, 4.0, 4.0, 0.0)]
+
+
+class _Value:
+    def __init__(self, log):
+        self.log, self.v = log, None
+
+    def get(self):
+        self.log.append("get")
+        return self.v
+
+    def update(self, v):
+        self.log.append("update")
+        self.v = v
+
+
+class _Map(dict):
+    def __init__(self, log):
+        super().__init__()
+        self.log = log
+
+    def containsKey(self, k):
+        self.log.append("contains")
+        return k in self
+
+    def getValue(self, k):
+        return self[k]
+
+    def updateValue(self, k, v):
+        self.log.append("page")
+        self[k] = v
+
+
+class _Handle:
+    def __init__(self):
+        self.log = []
+
+    def getValueState(self, *_):
+        return _Value(self.log)
+
+    def getMapState(self, *_):
+        return _Map(self.log)
+
+
+def test_a_key_makes_few_state_calls_and_many_gates_use_pages():
+    """A feed of few series reads and writes its state once a batch; one of many touches only the pages in use."""
+    hot = make_rule(name="hot", kind="threshold", sensor="s", op=">", threshold=1.0)
+
+    def batch(names, x, at):
+        hits = [{"rule_idx": 0, "pos": i, "sensor": s, "reading": "r", "x": x, "unit": "u"} for i, s in enumerate(names)]
+        return pd.DataFrame({"blk": [0], "ord": [at], "raw_timestamp": [f"t{at}"], "available": [True], "hits": [json.dumps(hits)]})
+
+    def step(p, names, x, at):
+        p.handle.log.clear()
+        out = list(p.handleInputRows(("f", 0), iter([batch(names, x, at)]), None))
+        return [e for f in out for text in f["edges"] for e in json.loads(text)], len(p.handle.log)
+
+    small, large = E.RuleProcessor([hot]), E.RuleProcessor([hot])
+    small.init(_Handle())
+    large.init(_Handle())
+    few, many = [f"s{i}" for i in range(6)], [f"s{i}" for i in range(5000)]
+    assert [e["sensor"] for e in step(small, few, 2.0, 0)[0]] == few
+    edges, calls = step(small, few, 0.0, 1)
+    assert [e["state"] for e in edges] == ["cleared"] * 6 and calls <= 2
+    assert len(step(large, many, 2.0, 0)[0]) == 5000 and step(large, many, 2.0, 1)[0] == []
+    edges, calls = step(large, many[:1], 0.0, 2)
+    assert [(e["state"], e["seq"], e["samples_in_violation"]) for e in edges] == [("cleared", 5001, 2)] and calls <= 6
+    assert [e["state"] for e in step(large, many[::-1], 0.0, 3)[0]] == ["cleared"] * 4999
