@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 from datetime import datetime
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
@@ -60,24 +61,25 @@ class _GapProcessor(StatefulProcessor):
         pass
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        t = pd.concat(list(rows), ignore_index=True).sort_values(["blk", "ord"], kind="stable")
-        us, raw = self.newest.get() if self.newest.exists() else (int(t["us"].iloc[0]), t["raw_timestamp"].iloc[0])
+        frames = list(rows)
+        t = frames[0] if len(frames) == 1 else pd.concat(frames, ignore_index=True)
+        order = np.lexsort((t["ord"].to_numpy(), t["blk"].to_numpy()))
+        at, names = t["us"].to_numpy()[order], t["raw_timestamp"].to_numpy()[order]
+        us, raw = self.newest.get() or (int(at[0]), names[0])
         # Whole columns at a time: the baseline is the running maximum.
-        top = t["us"].cummax().clip(lower=us)
-        before = top.shift(fill_value=us)
-        moved = t["us"] > before
-        names = t["raw_timestamp"].where(moved).ffill().fillna(raw)
-        gap = moved & (t["us"] - before > self.limit)
-        seen = names.shift(fill_value=raw)
-        if len(t):
-            self.newest.update((int(top.iloc[-1]), names.iloc[-1]))
-        if gap.any():
-            yield pd.DataFrame({"feed_id": key[0], "from": seen[gap].astype(object), "to": t["raw_timestamp"][gap].astype(object),
-                                "seconds": ((t["us"] - before)[gap] // 1_000_000).astype("int64")}).astype({"feed_id": object})
+        top = np.maximum.accumulate(np.append(us, at))
+        moved = np.flatnonzero(top[1:] > top[:-1])
+        gap = np.flatnonzero((top[1:] - top[:-1])[moved] > self.limit)
+        seen = np.append(np.array([raw], dtype=object), names[moved])
+        self.newest.update((int(top[-1]), seen[-1]))
+        if len(gap):
+            here = moved[gap]
+            yield pd.DataFrame({"feed_id": np.full(len(gap), key[0], dtype=object), "from": seen[gap], "to": names[here],
+                                "seconds": (top[here + 1] - top[here]) // 1_000_000})
 
 
 def stream_gaps(ticks: DataFrame, interval_seconds: int) -> DataFrame:
     """Sampling gaps as they appear; the state per feed is one time."""
     ticks.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
-    t = ticks.where("available").select("feed_id", "blk", "ord", F.unix_micros("ts").alias("us"), "raw_timestamp")
+    t = ticks.where(F.col("available") & F.col("ts").isNotNull()).select("feed_id", "blk", "ord", F.unix_micros("ts").alias("us"), "raw_timestamp")
     return t.groupBy("feed_id").transformWithStateInPandas(_GapProcessor(interval_seconds), _GAP, "Append", "None")

@@ -191,3 +191,19 @@ def test_a_key_makes_few_state_calls_and_many_gates_use_pages():
     edges, calls = step(large, many[:1], 0.0, 2)
     assert [(e["state"], e["seq"], e["samples_in_violation"]) for e in edges] == [("cleared", 5001, 2)] and calls <= 6
     assert [e["state"] for e in step(large, many[::-1], 0.0, 3)[0]] == ["cleared"] * 4999
+
+
+def test_gaps_make_two_state_calls_a_batch_and_go_on():
+    p = panels._GapProcessor(8)
+    p.init(_Handle())
+    newest = p.newest
+
+    def step(at):
+        newest.log.clear()
+        rows = pd.DataFrame({"blk": [0] * len(at), "ord": at, "us": [s * 1_000_000 for s in at], "raw_timestamp": [f"t{s}" for s in at]})
+        found = [tuple(r) for f in p.handleInputRows(("f",), iter([rows]), None) for r in f.itertuples(index=False)]
+        assert newest.log == ["get", "update"]
+        return found
+
+    assert step([60, 0, 100, 70]) == [("f", "t0", "t60", 60), ("f", "t70", "t100", 30)]
+    assert step([50, 101]) == [] and step([200]) == [("f", "t101", "t200", 99)]
