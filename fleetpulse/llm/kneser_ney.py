@@ -22,11 +22,12 @@ SLICE_CHARS = 1 << 20
 
 def ranked(keys: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
     """(distinct keys in order, index of each key among them)."""
-    if size > 1 << 24:
+    if size > 1 << 22:
         return np.unique(keys, return_inverse=True)
     present = np.zeros(size, bool)
     present[keys] = True
-    return np.flatnonzero(present), (np.cumsum(present) - 1)[keys]
+    place = np.cumsum(present, dtype=np.int32)
+    return np.flatnonzero(present), place[keys].astype(np.int64) - 1
 
 
 def text_slices(docs: pa.Table) -> Iterator[tuple[str, np.ndarray, list[str]]]:
