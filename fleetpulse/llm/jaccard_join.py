@@ -146,30 +146,59 @@ def possible_overlap(maps: np.ndarray, one: int, others: np.ndarray, n: np.ndarr
     return np.minimum(mine, theirs)
 
 
+def dealt_blocks(named: DataFrame, tile: int, few: bool) -> DataFrame:
+    """The rows of tiles of several components with ``i, j, block, partial``: for each pair of blocks that they meet in.
+
+    Pairs inside a component are not wanted, so the rows of a large tile's main component get blocks of their own, which meet
+    the others' blocks only: with few others a tile costs a row or two a set, whatever its size. With ``few`` each block of the
+    main component meets one block of others, and those meet the next one; ``partial`` marks tiles where others are left.
+    """
+    held = named.groupBy("h", "band", "component").agg(F.count(F.lit(1)).alias("c"))
+    top = held.groupBy("h", "band").agg(F.max(F.struct("c", "component")).alias("top"), F.count(F.lit(1)).alias("components"))
+    rows = named.join(top.filter("components > 1").select("h", "band", "top"), ["h", "band"])
+    ways = rows.withColumn("large", F.col("size") > tile).withColumn("main", F.col("large") & (F.col("component") == F.col("top.component")))
+    most = F.greatest(F.lit(float(tile)), F.sqrt(F.col("size") * tile / 2))  # of a block: larger ones in larger tiles, where they are many
+    mains = F.when(F.col("large"), F.ceil(F.col("top.c") / most)).otherwise(0).cast("int")
+    others = F.when(F.col("large"), F.ceil((F.col("size") - F.col("top.c")) / most)).otherwise(1).cast("int")
+    ways = ways.withColumn("mains", mains).withColumn("others", others)
+    mark = F.xxhash64("rep")
+    block = F.when(F.col("main"), F.pmod(mark, F.col("mains"))).otherwise(F.pmod(mark, F.col("others")) + F.col("mains")).cast("int")
+    ways = ways.withColumn("block", block).withColumn("partial", F.lit(few) & (F.col("others") > 1))
+    own = F.col("block") - F.col("mains")  # of the others
+    if few:
+        step = lambda d: F.col("mains") + F.pmod(own + d, F.col("others"))
+        met = F.when(F.col("main"), F.array(F.col("mains") + F.pmod("block", "others"))).otherwise(F.array_distinct(F.concat(
+            F.array(F.col("block"), step(1), step(-1)),
+            F.when(own < F.col("mains"), F.sequence(own, F.col("mains") - 1, F.col("others"))).otherwise(F.array().cast("array<int>")))))
+    else:
+        every = F.col("mains") + F.col("others") - 1
+        met = F.when(F.col("main"), F.sequence(F.col("mains"), every)).otherwise(F.sequence(F.lit(0), every))
+    met = ways.withColumn("other", F.explode(met))
+    return met.withColumns({"i": F.least("block", "other"), "j": F.greatest("block", "other")}).drop("top", "large", "main", "mains", "others", "other")
+
+
 def tile_pairs(tiles: DataFrame, labels: DataFrame | None, sets: DataFrame, percent: int, tile: int, few: bool) -> DataFrame:
     """``a, b, h, band``: pairs of a tile whose bitmaps leave enough overlap possible.
 
-    A tile of more than ``tile`` sets is dealt to blocks, and each pair of blocks to a task. Without
+    A tile of more than ``tile`` sets is dealt to blocks, and pairs of blocks that may matter to a task each. Without
     ``labels`` each set looks for partners in one tile only, the first of its own, and there in its own block: at
     most two pairs a set, with the partner whose bitmap leaves the highest similarity possible, and with the possible
     partner of the smallest id. With ``labels`` pairs are made across components, in tiles that
     hold several. With ``few`` each component of a task gives its likeliest pair and its first, as in Boruvka's
-    rounds; tiles where more were possible are given as rows (h, band). Without, all possible pairs are given.
+    rounds; tiles where more were possible, or were not looked for, are given as rows (h, band). Without, all possible pairs are given.
     """
     first = labels is None
     if first:
         own = tiles.filter("home and strong").groupBy("rep").agg(F.min(F.struct("h", "band")).alias("own")).select("rep", "own.h", "own.band", F.lit(True).alias("looks"))
         open_rows = tiles.join(own.select("h", "band").distinct(), ["h", "band"], "left_semi").join(own, ["rep", "h", "band"], "left")
+        block = F.pmod(F.xxhash64("rep"), F.ceil(F.col("size") / tile).cast("bigint")).cast("int")
         open_rows = open_rows.withColumn("looks", F.coalesce("looks", F.lit(False))).withColumn("component", F.col("rep"))
+        open_rows = open_rows.withColumns({"block": block, "i": block, "j": block, "partial": F.lit(False)})
     else:
         named = tiles.join(labels.select(F.col("id").alias("rep"), "component"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
-        mixed = named.groupBy("h", "band").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo <> hi").select("h", "band")
-        open_rows = named.join(mixed, ["h", "band"]).withColumn("looks", F.col("strong"))
-    blocks = F.ceil(F.col("size") / tile).cast("int")
-    block = F.pmod(F.xxhash64("rep"), blocks.cast("bigint")).cast("int")
-    dealt = open_rows.join(sets.select(F.col("doc_id").alias("rep"), "bits"), "rep").withColumn("blocks", blocks).withColumn("block", block)
-    dealt = dealt.withColumn("other", F.col("block") if first else F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    dealt = dealt.select("h", "band", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "rep", "n", "home", "strong", "looks", "component", "bits")
+        open_rows = dealt_blocks(named, tile, few).withColumn("looks", F.col("strong"))
+    dealt = open_rows.join(sets.select(F.col("doc_id").alias("rep"), "bits"), "rep").select(
+        "h", "band", "i", "j", "block", "partial", "rep", "n", "home", "strong", "looks", "component", "bits")
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("h", pa.int64()), ("band", pa.int32())])
 
     def compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -185,6 +214,8 @@ def tile_pairs(tiles: DataFrame, labels: DataFrame | None, sets: DataFrame, perc
         for run in runs(batches, ["h", "band", "i", "j"]):
             rep, n, home, strong, label = (run[c] for c in ("rep", "n", "home", "strong", "component"))
             block, apart = run["block"], run["i"][0] != run["j"][0]
+            if run["partial"][0]:
+                tiles_left.append((int(run["h"][0]), int(run["band"][0])))
             if len(rep) < 2 or not run["looks"].any():
                 continue
             maps, order, best, possible = folded(run["bits"]), np.arange(len(rep)), {}, 0
@@ -216,7 +247,7 @@ def tile_pairs(tiles: DataFrame, labels: DataFrame | None, sets: DataFrame, perc
                     seconds.append(np.maximum(rep[x], rep[others]))
                     held += len(others)
             chosen = {offer[1:] for offer in best.values()}
-            if not first and possible > len(chosen):
+            if not first and possible > len(chosen) and not run["partial"][0]:
                 tiles_left.append((int(run["h"][0]), int(run["band"][0])))
             if fresh := chosen - given:
                 firsts.append(np.array([a for a, _ in fresh], np.int64))

@@ -50,24 +50,18 @@ def shingle_sets(data: np.ndarray, offsets: np.ndarray, k: int):
             acc = mix64(acc * STEP + words[step : step + n])
         whole = owner[:n] == owner[k - 1 : k - 1 + n]
         hashes, texts = acc[whole], owner[:n][whole]
-        short = np.flatnonzero((per_text > 0) & (per_text < k))
-        if len(short):
-            begin = np.concatenate([[0], np.cumsum(per_text)])
-            extra = []
-            for t in short:
-                one = np.array([per_text[t]], np.uint64)
-                for w in words[begin[t] : begin[t + 1]]:
-                    one = mix64(one * STEP + w)
-                extra.append(one)
-            hashes, texts = np.concatenate([hashes, *extra]), np.concatenate([texts, short])
-        order = np.lexsort((hashes, texts))
-        hashes, texts = hashes[order], texts[order]
-        new = np.ones(len(hashes), bool)
-        new[1:] = (hashes[1:] != hashes[:-1]) | (texts[1:] != texts[:-1])
-        hashes, texts = hashes[new], texts[new]
         cuts = np.searchsorted(texts, np.arange(j - i + 1))
+        begin = np.concatenate([[0], np.cumsum(per_text)])
         for t in range(j - i):
-            yield hashes[cuts[t] : cuts[t + 1]]
+            if 0 < per_text[t] < k:
+                own = np.array([per_text[t]], np.uint64)
+                for w in words[begin[t] : begin[t + 1]]:
+                    own = mix64(own * STEP + w)
+            else:
+                own = np.sort(hashes[cuts[t] : cuts[t + 1]])
+                new = np.append(True, own[1:] != own[:-1]) if len(own) else np.zeros(0, bool)
+                own = own if new.all() else own[new]
+            yield own
 
 
 def bitmap(hashes: np.ndarray) -> bytes:
